@@ -34,17 +34,33 @@ TELUGU = ScriptBlock("telugu", 0x0C00, 0x0C7F)
 # U+1F300-1FAFF, U+2600-27BF, U+1F1E0-1F1FF, U+2300-23FF, U+FE0F).
 EMOJI_CLASS = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E0}-\\x{1F1FF}\\x{2300}-\\x{23FF}\\x{FE0F}]"
 
-# Characters Python's str.strip()/str.split()/\s treat as whitespace.
-WS_CLASS = (
-    "[\\t-\\r\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
-)
+# Characters Python's str.strip()/str.split()/\s treat as whitespace, as
+# code-point ranges (inclusive).
+WS_RANGES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+             (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F),
+             (0x3000, 0x3000))
 
 # Characters JavaScript's String.prototype.trim() removes.
-JS_WS_CLASS = (
-    "[\\t-\\r\\x{20}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
-)
+JS_WS_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+                (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+                (0xFEFF, 0xFEFF))
+
+
+def ranges_class(ranges) -> str:
+    """Regex character class (Java and RE2 syntax) for code-point ranges."""
+    parts = [f"\\x{{{lo:04X}}}" if lo == hi else f"\\x{{{lo:04X}}}-\\x{{{hi:04X}}}" for lo, hi in ranges]
+    return "[" + "".join(parts) + "]"
+
+
+def ranges_chars(ranges) -> str:
+    """All characters of the code-point ranges, as one string."""
+    return "".join(chr(c) for lo, hi in ranges for c in range(lo, hi + 1))
+
+
+WS_CLASS = ranges_class(WS_RANGES)
+WS_CHARS = ranges_chars(WS_RANGES)
+JS_WS_CLASS = ranges_class(JS_WS_RANGES)
+JS_WS_CHARS = ranges_chars(JS_WS_RANGES)
 
 # Separator between word tokens: anything that is not a letter, number or '_'.
 NON_WORD_CLASS = "[^\\p{L}\\p{N}_]"

@@ -24,14 +24,23 @@ def _c(c: ColumnOrName) -> Column:
 
 # --- P1 / P2 / P3 / P4 / P5 -------------------------------------------------
 
-def unicode_trim(c: ColumnOrName, ws: str = K.WS_CLASS) -> Column:
-    """Strip Unicode whitespace at both ends (``F.trim`` strips only U+0020)."""
-    return F.regexp_replace(_c(c), f"^{ws}+|{ws}+$", "")
+def unicode_trim(c: ColumnOrName, chars: str = K.WS_CHARS) -> Column:
+    """Strip Unicode whitespace at both ends.
+
+    ``trim(BOTH chars FROM c)`` with the explicit character set (plain
+    ``F.trim`` strips only U+0020); a set scan from both ends, no regex.
+    """
+    return F.trim(_c(c), F.lit(chars))
 
 
 def js_trim(c: ColumnOrName) -> Column:
     """Whitespace trim with JavaScript ``String.trim`` semantics."""
-    return unicode_trim(c, K.JS_WS_CLASS)
+    return unicode_trim(c, K.JS_WS_CHARS)
+
+
+def ws_to_space(c: ColumnOrName) -> Column:
+    """Every Unicode whitespace character mapped to U+0020 (a code-point map, no regex)."""
+    return F.translate(_c(c), K.WS_CHARS, " " * len(K.WS_CHARS))
 
 
 def strip_emoji(c: ColumnOrName) -> Column:
@@ -45,8 +54,19 @@ def has_alpha_content(c: ColumnOrName, block: K.ScriptBlock = K.TELUGU) -> Colum
 
 
 def word_count(c: ColumnOrName) -> Column:
-    """Number of whitespace-separated tokens (maximal non-space runs)."""
-    return F.regexp_count(_c(c), F.lit("[^" + K.WS_CLASS[1:-1] + "]+"))
+    """Number of whitespace-separated tokens (maximal non-space runs).
+
+    Whitespace -> U+0020, trim, split on space runs; blank text has 0 tokens.
+    """
+    spaced = F.trim(ws_to_space(c))
+    return F.when(spaced == "", F.lit(0)).otherwise(F.size(F.split(spaced, " +")))
+
+
+def has_min_words(c: ColumnOrName, n: int) -> Column:
+    """At least ``n`` whitespace-separated tokens; the anchored regex stops at the n-th token."""
+    if n <= 0:
+        return F.lit(True)
+    return ws_to_space(c).rlike("^ *(?:[^ ]+ +){%d}[^ ]" % (n - 1))
 
 
 def has_native_script(c: ColumnOrName, block: K.ScriptBlock = K.TELUGU) -> Column:
@@ -57,8 +77,12 @@ def has_native_script(c: ColumnOrName, block: K.ScriptBlock = K.TELUGU) -> Colum
 # --- P6 / P7 / P8 / P9 / P10 / P11 ------------------------------------------
 
 def dedup_key(stripped: ColumnOrName) -> Column:
-    """Lower case + whitespace runs collapsed to one space."""
-    return F.regexp_replace(F.lower(_c(stripped)), K.WS_CLASS + "+", " ")
+    """Lower case + whitespace runs collapsed to one space.
+
+    Whitespace is first mapped to U+0020 by ``translate``; the regex then
+    only touches runs of two or more spaces, which are rare.
+    """
+    return F.regexp_replace(ws_to_space(F.lower(_c(stripped))), "  +", " ")
 
 
 def native_char_count(c: ColumnOrName, block: K.ScriptBlock = K.TELUGU) -> Column:

@@ -33,7 +33,7 @@ def drop_symbol_only(stripped: Column, block: K.ScriptBlock = K.TELUGU) -> Colum
 def drop_short_non_native(stripped: Column, trimmed: Column, block: K.ScriptBlock = K.TELUGU,
                           min_words: int = K.MIN_WORDS) -> Column:
     """fewer than ``min_words`` words and no native character."""
-    return (T.word_count(stripped) < min_words) & ~T.has_native_script(trimmed, block)
+    return ~T.has_min_words(stripped, min_words) & ~T.has_native_script(trimmed, block)
 
 
 def with_rule_columns(df: DataFrame, text_col: str = "text", block: K.ScriptBlock = K.TELUGU,
@@ -62,12 +62,15 @@ def keep_first_per_key(ruled: DataFrame, order_col: str = "ord") -> DataFrame:
     ``min_by`` over a struct of the row is a declarative aggregate, so Spark
     runs a partial aggregation per input partition before the shuffle: a hot
     key costs one row per partition on the wire, never a whole group.
+    Dropped rows share the null key (one group, collapsed by the partial
+    aggregation) and are removed *after* the aggregate: a filter on the
+    rule verdict before it would be pushed into the scan and re-run the
+    whole regex chain there.
     """
-    cols = [c for c in ruled.columns if c not in (REASON, KEY)]
-    survivors = ruled.where(F.col(REASON).isNull())
-    firsts = (survivors.groupBy(KEY)
+    cols = [c for c in ruled.columns if c != KEY]
+    firsts = (ruled.groupBy(KEY)
               .agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_row")))
-    return firsts.select("_row.*")
+    return firsts.where(F.col(f"_row.{REASON}").isNull()).select("_row.*").drop(REASON)
 
 
 def clean_corpus(df: DataFrame, text_col: str = "text", order_col: str = "ord",
@@ -82,16 +85,24 @@ def per_row_reason(df: DataFrame, text_col: str = "text", order_col: str = "ord"
                    block: K.ScriptBlock = K.TELUGU, min_words: int = K.MIN_WORDS) -> DataFrame:
     """F4 with rule 4: every row with its final ``drop_reason`` (null = kept).
 
-    The first ``ord`` per key comes from a partial aggregation; it is joined
-    back on the key (AQE splits a skewed key partition of the large side).
+    The first ``ord`` per key comes from a partial aggregation and is joined
+    back on the key.  Rows dropped by rules 1–3 get a private key
+    (NUL + ord, which no survivor key can equal: survivor keys contain a
+    letter, this one only digits), so the join key is never null — no
+    ``isnotnull`` filter is inferred and pushed into the scan — and the
+    dropped rows do not pile up in one join group.  AQE splits a skewed
+    survivor key on the large side.
     """
     ruled = with_rule_columns(df, text_col, block, min_words)
-    firsts = (ruled.where(F.col(REASON).isNull())
-              .groupBy(KEY).agg(F.min(order_col).alias("_first_ord")))
-    joined = ruled.join(firsts, on=KEY, how="left")
+    private = F.concat(F.lit("\u0000"), F.coalesce(F.col(order_col).cast("string"), F.lit("")))
+    gkey = F.coalesce(F.col(KEY), private)  # non-nullable by construction
+    keyed = ruled.withColumn("_gkey", gkey)
+    firsts = keyed.groupBy("_gkey").agg(
+        F.min(F.when(F.col(REASON).isNull(), F.col(order_col))).alias("_first_ord"))
+    joined = keyed.join(firsts, on="_gkey", how="left")
     final = F.when(F.col(REASON).isNotNull(), F.col(REASON)) \
         .when(F.col(order_col) > F.col("_first_ord"), F.lit(K.DROP_REASONS[3]))
-    return joined.withColumn(REASON, final).drop("_first_ord")
+    return joined.withColumn(REASON, final).drop("_first_ord", "_gkey")
 
 
 def _reason_totals(ruled: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ sum is computed in three distributed steps instead:
 
 1. a range-partitioned sort on the order key (balanced by sampling, a hot
    value cannot pile up because the full key is unique), each row tagged
-   with its partition id; the result is checkpointed to the shared
-   checkpoint folder so partition ids survive executor loss and recompute;
+   with its partition id; the result is written once as a table in the
+   shared checkpoint folder, so partition ids survive executor loss and
+   recompute (one pass, unlike ``DataFrame.checkpoint`` which computes its
+   input twice);
 2. a running sum inside each partition (window partitioned by that id);
 3. per-partition totals -> offsets over at most ``numPartitions`` rows,
    broadcast back (its size is bounded by the partition count, not the data).
@@ -20,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 
 def exclusive_running_sum(df: DataFrame, order_cols: Sequence[Column | str], value_col: str,
@@ -29,10 +31,12 @@ def exclusive_running_sum(df: DataFrame, order_cols: Sequence[Column | str], val
 
     ``order_cols`` must define a total order (end with a unique column).
     """
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     tagged = df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
-    frozen = tagged.checkpoint(eager=True)
+    path = scratch_path(spark, "prefix")
+    tagged.write.mode("errorifexists").parquet(path)
+    frozen = spark.read.parquet(path)
     local_w = (Window.partitionBy("_pid").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = frozen.withColumn("_local", F.coalesce(F.sum(value_col).over(local_w), F.lit(0)))

@@ -86,9 +86,9 @@ def fetched_threads(spark, sf):
     return videos, L.paged_soft_cap(threads, P.ROWS_PER_VIDEO, P.PAGE_SIZE)
 
 
-def processed_videos(spark, sf):
+def processed_videos(spark, sf, front=None):
     """W4 soft budget over the per-video rows after W3 (zero-row videos included)."""
-    videos, fetched = fetched_threads(spark, sf)
+    videos, fetched = front or fetched_threads(spark, sf)
     per_video = fetched.groupBy("video_id").agg(F.sum("n_rows").cast("bigint").alias("n"))
     pv = (videos.join(per_video, "video_id", "left")
           .select("video_id", "channel_idx", "video_rank",
@@ -530,8 +530,9 @@ def order_by_count(spark, sf):
 @q("collect_comments")
 def collect_comments(spark, sf):
     """E2 end to end: listing cut, paged cap, soft budget, enrichment + score."""
-    videos, fetched = fetched_threads(spark, sf)
-    done = processed_videos(spark, sf).select("video_id")
+    front = fetched_threads(spark, sf)
+    videos, fetched = front
+    done = processed_videos(spark, sf, front).select("video_id")
     threads = fetched.join(done, "video_id", "left_semi")
     rows = L.fetched_comment_rows(_t(spark, sf, "comments_fx"), threads, True, P.INLINE_REPLIES)
     e = L.enrich_comments(rows, _t(spark, sf, "videos_fx"), _t(spark, sf, "channels_fx"))
@@ -555,6 +556,7 @@ def union_comments_posts(spark, sf):
 # --- 2.9 streaming ------------------------------------------------------------------
 
 def _stream_corpus(spark, sf):
+    V.forget(spark)
     docs = ST.file_stream(spark, sf, "documents")
     docs.createOrReplaceTempView("documents")
     return spark.sql(V.CORPUS_FX)
@@ -564,11 +566,12 @@ def _stream_corpus(spark, sf):
 def stream_clean(spark, sf):
     out, ck = ST.scratch_pair(spark, "stream_clean")
     ST.stream_clean(_stream_corpus(spark, sf), out, ck)
-    V.register(spark, sf)
+    V.register(spark, sf, force=True)
     return spark.read.parquet(out).select("dedup_key")
 
 
 def _stream_label_events(spark, sf):
+    V.forget(spark)
     ev = ST.file_stream(spark, sf, "events")
     ev.createOrReplaceTempView("events")
     return spark.sql(V.LABEL_EVENTS_FX)
@@ -578,7 +581,7 @@ def _stream_label_events(spark, sf):
 def stream_label_distribution(spark, sf):
     out, ck = ST.scratch_pair(spark, "stream_labels")
     ST.stream_latest_labels(_stream_label_events(spark, sf), out, ck)
-    V.register(spark, sf)
+    V.register(spark, sf, force=True)
     return A.label_distribution(ST.current_labels(spark, out))
 
 
@@ -586,7 +589,7 @@ def stream_label_distribution(spark, sf):
 def stream_rate(spark, sf):
     out, ck = ST.scratch_pair(spark, "stream_rate")
     ST.stream_rate(_stream_label_events(spark, sf), out, ck, P.RATE_WINDOW, P.RATE_DELAY)
-    V.register(spark, sf)
+    V.register(spark, sf, force=True)
     return spark.read.parquet(out)
 
 

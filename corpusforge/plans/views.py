@@ -114,12 +114,53 @@ DERIVED_VIEWS = {
 }
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Register driver tables and derived views as temp views on ``spark``."""
+# Text-heavy tables and a unique key to spread them by when a scan yields
+# fewer splits than there are cores (a file with one row group is one task).
+SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id",
+               "events": "event_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition ``df`` on a unique key if its scan has fewer partitions than cores.
+
+    CPU-heavy text expressions then run on every core.  Large inputs (many
+    files / row groups) already have more splits than cores and are left
+    as they are: no extra shuffle at scale.  Hash partitioning on a key is
+    deterministic, so a recomputed partition holds the same rows.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+_REGISTERED: dict[int, str] = {}
+
+
+def register(spark: SparkSession, sf_dir: str, force: bool = False) -> None:
+    """Register driver tables and derived views as temp views on ``spark``.
+
+    Registration is remembered per session and data folder; ``force``
+    re-registers (e.g. after a streaming job bound a view name to a stream).
+    """
+    key = id(spark)
+    if not force and _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("corpus_fx"):
+        return
+    _REGISTERED.pop(key, None)
     for t in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        if t in SPREAD_KEYS:
+            df = spread(df, SPREAD_KEYS[t])
+        df.createOrReplaceTempView(t)
     for name, sql in DERIVED_VIEWS.items():
         spark.sql(sql).createOrReplaceTempView(name)
+    _REGISTERED[key] = sf_dir
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop the registration memo (a view name is about to be rebound)."""
+    _REGISTERED.pop(id(spark), None)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # ~128 MiB scan splits keep long-text partitions within executor memory.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),

@@ -141,7 +141,7 @@ def extract_posts(pages: DataFrame) -> DataFrame:
     post_id = F.when(href != "", T.permalink_id(href)).otherwise(F.nullif(seg, F.lit("")))
     date = F.regexp_extract(art, r"<time[^>]*datetime=\"([^\"]*)\"", 1)
     likes = F.regexp_extract(art, r"data-testid=\"like\"[^>]*aria-label=\"([^\"]*)\"", 1)
-    out = pages.select(
+    row = F.struct(
         F.col("page_id"),
         T.fallback_id(post_id, text).alias("post_id"),
         text.alias("text"),
@@ -150,4 +150,8 @@ def extract_posts(pages: DataFrame) -> DataFrame:
         T.default_stat(likes).alias("likes"),
         F.regexp_count(art, F.lit("<p[ >]")).cast("bigint").alias("n_paragraphs"),
     )
-    return out.where(F.col("text") != "")
+    # Emit 0 or 1 rows per page from an array instead of a Filter: a filter
+    # on the extracted text would be pushed below this projection and run
+    # the article regexes a second time.
+    kept = F.filter(F.array(row), lambda r: r["text"] != "")
+    return pages.select(F.inline(kept))
