@@ -415,6 +415,10 @@ def build() -> dict[str, str]:
                                                      "AS post_rank FROM capped", "posts_fx")
     o["budget_hard"] = _q(COLLECTED_POSTS, "SELECT username, post_id, ord, CAST(post_rank AS BIGINT) AS post_rank "
                                            "FROM collected", "posts_fx")
+    o["collect_posts"] = _q(posts_ctes, "SELECT tweet_id, source_account, text, date, likes, "
+                                        "coalesce(CAST(nullif(replace(regexp_extract(likes, '([0-9][0-9,]*)', 1), "
+                                        "',', ''), '') AS BIGINT), 0) AS likes_n, is_tenglish, scraped_at "
+                                        "FROM cstamped", "posts_fx")
     o["order_by_count"] = _q(posts_ctes, f"SELECT source_account, CAST(count(*) AS BIGINT) AS n FROM cstamped "
                                          f"GROUP BY source_account ORDER BY n DESC, source_account "
                                          f"LIMIT {P.TOP_ACCOUNTS}", "posts_fx")

@@ -527,6 +527,12 @@ def order_by_count(spark, sf):
     return S.posts_per_account(stamped_posts(spark, sf, collected_posts(spark, sf))).limit(P.TOP_ACCOUNTS)
 
 
+@q("collect_posts")
+def collect_posts(spark, sf):
+    """E4 end to end: F5 -> D2 -> W2 -> W5, then the raw_tweets schema."""
+    return stamped_posts(spark, sf, collected_posts(spark, sf))
+
+
 @q("collect_comments")
 def collect_comments(spark, sf):
     """E2 end to end: listing cut, paged cap, soft budget, enrichment + score."""

@@ -24,6 +24,10 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations")
 
+# Tables this domain reads (the star-schema tables are not used); only these
+# are listed and registered on the Spark side.
+USED_TABLES = ("documents", "conversations", "labels", "events", "pages")
+
 # Offset of the re-cased copy rows; far above any doc_id.
 COPY_OFFSET = 1_000_000_000_000
 
@@ -148,7 +152,7 @@ def register(spark: SparkSession, sf_dir: str, force: bool = False) -> None:
     if not force and _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("corpus_fx"):
         return
     _REGISTERED.pop(key, None)
-    for t in BASE_TABLES:
+    for t in USED_TABLES:
         df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
         if t in SPREAD_KEYS:
             df = spread(df, SPREAD_KEYS[t])
