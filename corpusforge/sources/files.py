@@ -63,6 +63,16 @@ def write_export_csv(df: DataFrame, path: str) -> None:
     write_corpus_csv(df, path)
 
 
+def write_report_text(report: DataFrame, path: str) -> None:
+    """S9 text form: one ``metric: value`` line per report row.
+
+    Reports are a handful of rows (one per metric), so a single output file
+    is a bounded write.
+    """
+    line = F.concat_ws(": ", F.col("metric"), F.col("value").cast("string")).alias("value")
+    report.select(line).coalesce(1).write.mode("overwrite").text(path)
+
+
 # --- S8: label snapshots -----------------------------------------------------
 
 LABEL_STRUCT = T_.StructType([T_.StructField("sent", T_.IntegerType()),

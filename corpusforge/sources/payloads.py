@@ -39,6 +39,26 @@ THREAD_PAGE = T_.StructType([T_.StructField("items", T_.ArrayType(THREAD_ITEM)),
                              T_.StructField("nextPageToken", S)])
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_payloads(spark, path: str, schema: T_.StructType) -> DataFrame:
+    """Read JSON-lines payloads with a declared schema; malformed lines are kept, not fatal.
+
+    A fetch that failed half-way leaves a truncated line: it lands in
+    ``_corrupt_record`` (PERMISSIVE mode) instead of failing the job, and the
+    rows fetched before it still flow through.
+    """
+    full = T_.StructType(schema.fields + [T_.StructField(CORRUPT, S)])
+    return (spark.read.schema(full).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+
+
+def valid_payloads(df: DataFrame) -> DataFrame:
+    """Only the well-formed payloads (corrupt-record column dropped)."""
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
 # --- S2 ----------------------------------------------------------------------
 
 def build_video_listing(videos: DataFrame, channels: DataFrame, page: int = 50) -> DataFrame:

@@ -48,12 +48,22 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1
 
 def stream_clean(comments: DataFrame, out_path: str, checkpoint: str,
                  block: K.ScriptBlock = K.TELUGU, min_words: int = K.MIN_WORDS,
-                 available_now: bool = True):
-    """Rules 1–3 + emoji strip on arriving rows, first arrival per normalized key kept."""
+                 available_now: bool = True, event_time: str | None = None, delay: str = "7 days"):
+    """Rules 1–3 + emoji strip on arriving rows, first arrival per normalized key kept.
+
+    Without ``event_time`` every key ever seen is kept in state (exact
+    batch answer; state grows with distinct keys, partitioned by key).
+    With ``event_time`` the state is bounded by the watermark
+    (``dropDuplicatesWithinWatermark``): repeats further apart than
+    ``delay`` both pass, so the batch D1 stays the reference answer.
+    """
     ruled = C.with_rule_columns(comments, "text", block, min_words)
-    kept = (ruled.where(F.col(C.REASON).isNull())
-            .dropDuplicates([C.KEY])
-            .withColumn("text", F.col("text_stripped")).drop("text_stripped", C.REASON))
+    survivors = ruled.where(F.col(C.REASON).isNull())
+    if event_time:
+        deduped = survivors.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([C.KEY])
+    else:
+        deduped = survivors.dropDuplicates([C.KEY])
+    kept = deduped.withColumn("text", F.col("text_stripped")).drop("text_stripped", C.REASON)
     w = (kept.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     return _run(w, available_now)

@@ -73,3 +73,24 @@ def test_restore_progress_object(spark):
                    "saved_at": "2024"}, f, indent=2)
     rows = IO.restore_progress_object(spark, path).collect()
     assert [(r.key, r.sent, r.tox, r.sta, r.cur) for r in rows] == [("3", 0, 1, 2, 3)]
+
+
+def test_permissive_payloads_keep_good_pages(spark):
+    path, local = local_dir(spark, "t_permissive")
+    good = {"channelId": "c1", "items": [{"id": {"videoId": "v1"},
+                                          "snippet": {"title": "t", "publishedAt": "2024", "channelTitle": "C"}}]}
+    with open(f"{local}/p.json", "w") as f:
+        f.write(json.dumps(good) + "\n" + '{"channelId": "c2", "items": [{"id": ' + "\n")
+    df = PL.read_payloads(spark, path, PL.VIDEO_LISTING).cache()
+    assert df.where(df[PL.CORRUPT].isNotNull()).count() == 1
+    rows = PL.flatten_video_listing(PL.valid_payloads(df)).collect()
+    assert [(r.video_id, r.channel_name) for r in rows] == [("v1", "C")]
+
+
+def test_report_text_sink(spark):
+    from corpusforge.operators import clean as C
+    df = spark.createDataFrame([(1, "a b c", 1), (2, "", 2)], "comment_id long, text string, ord long")
+    path, local = local_dir(spark, "t_report")
+    IO.write_report_text(C.cleaning_report(df), path + "/r")
+    lines = spark.read.text(path + "/r").collect()
+    assert any(r.value == "original_count: 2.0" for r in lines)
