@@ -56,10 +56,10 @@ def has_alpha_content(c: ColumnOrName, block: K.ScriptBlock = K.TELUGU) -> Colum
 def word_count(c: ColumnOrName) -> Column:
     """Number of whitespace-separated tokens (maximal non-space runs).
 
-    Whitespace -> U+0020, trim, split on space runs; blank text has 0 tokens.
+    Trim, then split on whitespace runs; blank text has 0 tokens.
     """
-    spaced = F.trim(ws_to_space(c))
-    return F.when(spaced == "", F.lit(0)).otherwise(F.size(F.split(spaced, " +")))
+    trimmed = unicode_trim(c)
+    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, K.WS_CLASS + "+")))
 
 
 def has_min_words(c: ColumnOrName, n: int) -> Column:

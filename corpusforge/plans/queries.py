@@ -563,7 +563,7 @@ def union_comments_posts(spark, sf):
 
 def _stream_corpus(spark, sf):
     V.forget(spark)
-    docs = ST.file_stream(spark, sf, "documents")
+    docs = ST.file_stream(spark, sf, "documents", spread_key=V.SPREAD_KEYS["documents"])
     docs.createOrReplaceTempView("documents")
     return spark.sql(V.CORPUS_FX)
 
@@ -578,7 +578,7 @@ def stream_clean(spark, sf):
 
 def _stream_label_events(spark, sf):
     V.forget(spark)
-    ev = ST.file_stream(spark, sf, "events")
+    ev = ST.file_stream(spark, sf, "events", spread_key=V.SPREAD_KEYS["events"])
     ev.createOrReplaceTempView("events")
     return spark.sql(V.LABEL_EVENTS_FX)
 
