@@ -75,10 +75,16 @@ def keep_first_per_key(ruled: DataFrame, order_col: str = "ord") -> DataFrame:
 
 def clean_corpus(df: DataFrame, text_col: str = "text", order_col: str = "ord",
                  block: K.ScriptBlock = K.TELUGU, min_words: int = K.MIN_WORDS) -> DataFrame:
-    """The cleaned corpus: survivors, first per key, ``text`` = stripped, ``text_original`` = trimmed."""
-    ruled = with_rule_columns(df, text_col, block, min_words)
+    """The cleaned corpus: survivors, first per key, ``text`` = stripped, ``text_original`` = trimmed.
+
+    Only the trimmed text travels through the dedup shuffle (next to the
+    key); the raw text is dropped before it and the emoji-stripped text is
+    recomputed from the trimmed one for the kept rows only.
+    """
+    ruled = with_rule_columns(df, text_col, block, min_words).drop(text_col, "text_stripped")
     kept = keep_first_per_key(ruled, order_col)
-    return (kept.withColumn(text_col, F.col("text_stripped")).drop("text_stripped"))
+    out = kept.withColumn(text_col, T.strip_emoji(F.col("text_original")))
+    return out.select(*[c for c in df.columns], "text_original")
 
 
 def per_row_reason(df: DataFrame, text_col: str = "text", order_col: str = "ord",
