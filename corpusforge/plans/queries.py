@@ -561,33 +561,37 @@ def union_comments_posts(spark, sf):
 
 # --- 2.9 streaming ------------------------------------------------------------------
 
+def _stream_view(spark, sf, table: str, view_sql: str) -> DataFrame:
+    """A derived view over a file stream of ``table``, bound under a private name.
+
+    The shared batch view names are never rebound, so queries built at the
+    same time in the same session are unaffected.
+    """
+    stream = ST.file_stream(spark, sf, table, spread_key=V.SPREAD_KEYS[table])
+    private = f"_stream_{table}"
+    stream.createOrReplaceTempView(private)
+    return spark.sql(view_sql.replace(f"FROM {table}", f"FROM {private}"))
+
+
 def _stream_corpus(spark, sf):
-    V.forget(spark)
-    docs = ST.file_stream(spark, sf, "documents", spread_key=V.SPREAD_KEYS["documents"])
-    docs.createOrReplaceTempView("documents")
-    return spark.sql(V.CORPUS_FX)
+    return _stream_view(spark, sf, "documents", V.CORPUS_FX)
 
 
 @q("stream_clean")
 def stream_clean(spark, sf):
     out, ck = ST.scratch_pair(spark, "stream_clean")
     ST.stream_clean(_stream_corpus(spark, sf), out, ck)
-    V.register(spark, sf, force=True)
     return spark.read.parquet(out).select("dedup_key")
 
 
 def _stream_label_events(spark, sf):
-    V.forget(spark)
-    ev = ST.file_stream(spark, sf, "events", spread_key=V.SPREAD_KEYS["events"])
-    ev.createOrReplaceTempView("events")
-    return spark.sql(V.LABEL_EVENTS_FX)
+    return _stream_view(spark, sf, "events", V.LABEL_EVENTS_FX)
 
 
 @q("stream_label_distribution")
 def stream_label_distribution(spark, sf):
     out, ck = ST.scratch_pair(spark, "stream_labels")
     ST.stream_latest_labels(_stream_label_events(spark, sf), out, ck)
-    V.register(spark, sf, force=True)
     return A.label_distribution(ST.current_labels(spark, out))
 
 
@@ -595,7 +599,6 @@ def stream_label_distribution(spark, sf):
 def stream_rate(spark, sf):
     out, ck = ST.scratch_pair(spark, "stream_rate")
     ST.stream_rate(_stream_label_events(spark, sf), out, ck, P.RATE_WINDOW, P.RATE_DELAY)
-    V.register(spark, sf, force=True)
     return spark.read.parquet(out)
 
 

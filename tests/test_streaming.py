@@ -35,13 +35,9 @@ def test_stream_rate_closed_windows(spark, sf_dir):
 
 def test_stream_clean_with_watermark(spark, sf_dir):
     from corpusforge.streaming import jobs as ST
-    V.forget(spark)
-    docs = ST.file_stream(spark, sf_dir, "documents")
-    docs.createOrReplaceTempView("documents")
-    stream = spark.sql(V.CORPUS_FX).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    stream = Q._stream_corpus(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
     out, ck = ST.scratch_pair(spark, "t_wm")
     ST.stream_clean(stream, out, ck, event_time="ts", delay="1 hour")
-    V.register(spark, sf_dir, force=True)
     streamed = {r.dedup_key for r in spark.read.parquet(out).select("dedup_key").collect()}
     ruled = C.with_rule_columns(V.view(spark, sf_dir, "corpus_fx"))
     batch = {r.dedup_key for r in ruled.where(F.col("drop_reason").isNull()).select("dedup_key").distinct().collect()}
