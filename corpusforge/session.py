@@ -51,7 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d.rstrip("/")
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf:
-        conf = tempfile.mkdtemp(prefix="corpusforge-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                               "(jobs write lineage cuts and stream checkpoints there)")
+        conf = tempfile.mkdtemp(prefix="corpusforge-ckpt-")  # local runs / tests only
     sc.setCheckpointDir(conf)
     return (sc.getCheckpointDir() or conf).rstrip("/")
 
