@@ -25,10 +25,20 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "corpusforge", extra: dict | None = None) -> SparkSession:
-    """Local/test session. On a cluster, pass the cluster's master and sizes."""
-    b = SparkSession.builder.master(master).appName(app_name)
+    """Session with the settings the jobs rely on.
+
+    ``master=None`` keeps the master given by ``spark-submit`` (falls back to
+    ``local[*]`` when none is configured).  On a cluster pass a shuffle
+    partition count sized to the data (AQE coalesces small partitions).
+    """
+    from pyspark import SparkConf
+    if master is None and not SparkConf().contains("spark.master"):
+        master = "local[*]"
+    b = SparkSession.builder.appName(app_name)
+    if master is not None:
+        b = b.master(master)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
