@@ -136,7 +136,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    # two partitions per core even out texts of very different lengths
+    return df.repartition(2 * cores, key)
 
 
 _REGISTERED: dict[int, str] = {}
