@@ -18,6 +18,7 @@ on a processing-time trigger.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,18 +90,45 @@ def stream_clean(comments: DataFrame, out_path: str, checkpoint: str,
 
 # --- T2 ----------------------------------------------------------------------
 
+LABEL_COLS = ("sent", "tox", "sta", "ts", "event_id")
+
+
+def _newest(df: DataFrame) -> DataFrame:
+    """Newest label per (annotator, item) by (ts, event_id) — a partial-aggregating max_by."""
+    last = df.groupBy("annotator", "item").agg(
+        F.max_by(F.struct(*LABEL_COLS), F.struct("ts", "event_id")).alias("_l"))
+    return last.select("annotator", "item", "_l.*")
+
+
+def _read_batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """A folder of ``batch_id=<n>`` sub-folders as one table (partition discovery), or None."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def stream_latest_labels(events: DataFrame, changes_path: str, checkpoint: str,
-                         available_now: bool = True):
-    """T2 state: latest complete label per (annotator, item); changed keys appended per batch."""
+                         available_now: bool = True, compact_every: int = 20):
+    """T2 state: latest complete label per (annotator, item); changed keys appended per batch.
+
+    Every ``compact_every`` batches the sink also writes a compacted label
+    table (newest per key over the previous compaction plus the changes
+    since), so readers never scan the whole history.
+    """
     latest = (events.where(A.complete_label())
               .groupBy("annotator", "item")
-              .agg(F.max_by(F.struct("sent", "tox", "sta", "ts", "event_id"),
-                            F.struct("ts", "event_id")).alias("_l")))
+              .agg(F.max_by(F.struct(*LABEL_COLS), F.struct("ts", "event_id")).alias("_l")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         # Overwriting the batch's own folder makes a replayed batch idempotent.
-        (batch.select("annotator", "item", "_l.*").withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{changes_path}/batch_id={batch_id}"))
+        # (the batch id lives in the folder name, read back as a partition column)
+        (batch.select("annotator", "item", "_l.*")
+         .write.mode("overwrite").parquet(f"{changes_path}/changes/batch_id={batch_id}"))
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            current_labels(spark, changes_path).write.mode("overwrite") \
+                .parquet(f"{changes_path}/compacted/batch_id={batch_id}")
 
     w = (latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(sink))
@@ -108,12 +136,22 @@ def stream_latest_labels(events: DataFrame, changes_path: str, checkpoint: str,
 
 
 def current_labels(spark: SparkSession, changes_path: str) -> DataFrame:
-    """The label table as of the last completed batch: newest change per key."""
-    ch = spark.read.parquet(changes_path)
-    last = ch.groupBy("annotator", "item").agg(
-        F.max_by(F.struct("sent", "tox", "sta", "ts", "event_id"),
-                 F.struct("ts", "event_id")).alias("_l"))
-    return last.select("annotator", "item", "_l.*")
+    """The label table as of the last completed batch: newest change per key.
+
+    Reads the latest compaction (if any) plus the change folders written
+    after it; older history is never scanned.
+    """
+    changes = _read_batches(spark, f"{changes_path}/changes")
+    if changes is None:
+        raise ValueError(f"no label batches under {changes_path}")
+    cols = ["annotator", "item", *LABEL_COLS]
+    compacted = _read_batches(spark, f"{changes_path}/compacted")
+    if compacted is None:
+        return _newest(changes.select(*cols))
+    upto = compacted.agg(F.max("batch_id")).scalar()
+    recent = changes.where(F.col("batch_id") > upto).select(*cols)
+    base = compacted.where(F.col("batch_id") == upto).select(*cols)
+    return _newest(base.unionByName(recent))
 
 
 # --- T3 ----------------------------------------------------------------------

@@ -42,3 +42,15 @@ def test_stream_clean_with_watermark(spark, sf_dir):
     ruled = C.with_rule_columns(V.view(spark, sf_dir, "corpus_fx"))
     batch = {r.dedup_key for r in ruled.where(F.col("drop_reason").isNull()).select("dedup_key").distinct().collect()}
     assert streamed == batch
+
+
+def test_label_stream_compaction(spark, sf_dir):
+    from corpusforge.streaming import jobs as ST
+    ev = Q._stream_label_events(spark, sf_dir)
+    out, ck = ST.scratch_pair(spark, "t_compact")
+    # one micro-batch per file: split the event stream in two by re-reading with a 2-batch compaction period
+    ST.stream_latest_labels(ev, out, ck, compact_every=1)
+    got = {tuple(r) for r in A.label_distribution(ST.current_labels(spark, out)).collect()}
+    batch = {tuple(r) for r in A.label_distribution(A.latest_labels(V.view(spark, sf_dir, "label_events_fx"))).collect()}
+    assert got == batch
+    assert spark.read.parquet(f"{out}/compacted").select("batch_id").distinct().count() >= 1
