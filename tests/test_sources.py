@@ -53,7 +53,7 @@ def test_listing_without_items(spark):
 
 
 def test_extract_posts_with_status_and_time(spark):
-    html = ('<html lang="te"><body><article><h1> Post text here </h1><a href="https://x.com/u/status/99?s=1">l</a>'
+    html = ('<html lang="te"><body><article><h1> Post text here </h1><a href="https://x.example/u/status/99?s=1">l</a>'
             '<time datetime="2024-05-01T10:00:00Z"></time><div data-testid="like" aria-label="12 Likes"></div>'
             '<p>a</p></article></body></html>')
     empty = '<html lang="en"><article><h1>  </h1></article></html>'
