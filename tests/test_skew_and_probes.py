@@ -79,3 +79,11 @@ def test_survey_probed_figures(spark):
     assert lab.select("sent", "tox", "sta").distinct().count() == 27
     assert lab.select("item").distinct().count() == 150
     assert L.reply_to_parent(comments).count() == 436
+    posts = V.view(spark, SF01, "posts_fx")
+    deduped = L.dedup_posts(posts)
+    assert deduped.count() == 699 and deduped.select("username").distinct().count() == 20
+    hard = L.budget_hard(L.cap_posts_per_account(deduped, 20), 300)
+    assert hard.count() == 300 and hard.select("username").distinct().count() == 15
+    from corpusforge.operators import agreement as G
+    pairs = V.view(spark, SF01, "raters_fx").withColumn("task", F.lit("toxicity"))
+    assert G.cohens_kappa(pairs).first().kappa == 0.201738
