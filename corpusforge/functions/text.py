@@ -63,10 +63,15 @@ def word_count(c: ColumnOrName) -> Column:
 
 
 def has_min_words(c: ColumnOrName, n: int) -> Column:
-    """At least ``n`` whitespace-separated tokens; the anchored regex stops at the n-th token."""
+    """At least ``n`` whitespace-separated tokens.
+
+    The anchored regex stops at the start of the n-th token, so its cost
+    does not depend on the text length (no full-text pass or copy).
+    """
     if n <= 0:
         return F.lit(True)
-    return ws_to_space(c).rlike("^ *(?:[^ ]+ +){%d}[^ ]" % (n - 1))
+    ws, nws = K.WS_CLASS, "[^" + K.WS_CLASS[1:-1] + "]"
+    return _c(c).rlike(f"^{ws}*(?:{nws}+{ws}+){{{n - 1}}}{nws}")
 
 
 def has_native_script(c: ColumnOrName, block: K.ScriptBlock = K.TELUGU) -> Column:
