@@ -486,6 +486,18 @@ def build() -> dict[str, str]:
       AND c.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})""",
                                 "videos_fx", "comments_fx", "channels_fx").replace("WITH ", "WITH RECURSIVE ", 1))
 
+    o["collection_log"] = (_q(soft + "," + ENRICHED, f"""
+    SELECT ch.channel_name AS channel, v.video_id, substring(v.video_title, 1, 80) AS video_title,
+           CAST(count(e.comment_id) AS BIGINT) AS total_comments,
+           CAST(count(*) FILTER (WHERE e.is_tenglish) AS BIGINT) AS tenglish
+    FROM videos_fx v JOIN channels_fx ch USING (channel_idx)
+    LEFT JOIN (SELECT e.* FROM enriched e JOIN comments_fx c ON c.comment_id = e.comment_id
+               JOIN fetched f ON f.video_id = c.video_id AND f.thread_id = c.thread_id
+               WHERE c.turn <= {P.INLINE_REPLIES}) e ON e.video_id = v.video_id
+    WHERE v.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})
+    GROUP BY ch.channel_name, v.video_id, v.video_title""",
+                                "videos_fx", "comments_fx", "channels_fx").replace("WITH ", "WITH RECURSIVE ", 1))
+
     # ---- set operations
     o["union_sources"] = _q(ENRICHED + "," + STAMPED, """
     SELECT comment_id, channel_name, text, is_tenglish, NULL AS tweet_id, NULL AS source_account FROM enriched

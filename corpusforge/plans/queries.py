@@ -533,18 +533,31 @@ def collect_posts(spark, sf):
     return stamped_posts(spark, sf, collected_posts(spark, sf))
 
 
-@q("collect_comments")
-def collect_comments(spark, sf):
-    """E2 end to end: listing cut, paged cap, soft budget, enrichment + score."""
+def collected_comments(spark, sf):
+    """(processed video ids, collected and scored comment rows)."""
     front = fetched_threads(spark, sf)
     videos, fetched = front
     done = processed_videos(spark, sf, front).select("video_id")
     threads = fetched.join(done, "video_id", "left_semi")
     rows = L.fetched_comment_rows(_t(spark, sf, "comments_fx"), threads, True, P.INLINE_REPLIES)
-    e = L.enrich_comments(rows, _t(spark, sf, "videos_fx"), _t(spark, sf, "channels_fx"))
+    return done, L.enrich_comments(rows, _t(spark, sf, "videos_fx"), _t(spark, sf, "channels_fx"))
+
+
+@q("collect_comments")
+def collect_comments(spark, sf):
+    """E2 end to end: listing cut, paged cap, soft budget, enrichment + score."""
+    _, e = collected_comments(spark, sf)
     return e.select("comment_id", "parent_id", "video_id", "reply_count", "channel_name", "is_tenglish")
 
 
+@q("collection_log")
+def collection_log(spark, sf):
+    """A3 as the collection run writes it: processed videos only, with their collected rows."""
+    done, e = collected_comments(spark, sf)
+    videos = _t(spark, sf, "videos_fx").join(done, "video_id", "left_semi")
+    return S.per_video_log(videos, _t(spark, sf, "channels_fx"), e)
+
+
 # --- 2.7 set operations -----------------------------------------------------------
 
 @q("union_sources")
