@@ -498,6 +498,31 @@ def build() -> dict[str, str]:
     GROUP BY ch.channel_name, v.video_id, v.video_title""",
                                 "videos_fx", "comments_fx", "channels_fx").replace("WITH ", "WITH RECURSIVE ", 1))
 
+    coll = f"""
+    coll AS (SELECT e.* FROM enriched e JOIN comments_fx c ON c.comment_id = e.comment_id
+             JOIN fetched f ON f.video_id = c.video_id AND f.thread_id = c.thread_id
+             WHERE c.turn <= {P.INLINE_REPLIES}
+               AND c.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})),
+    cpv AS (SELECT ch.channel_name AS channel, v.video_id, CAST(count(e.comment_id) AS BIGINT) AS total_comments,
+                   CAST(count(*) FILTER (WHERE e.is_tenglish) AS BIGINT) AS tenglish
+            FROM videos_fx v JOIN channels_fx ch USING (channel_idx) LEFT JOIN coll e ON e.video_id = v.video_id
+            WHERE v.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})
+            GROUP BY ch.channel_name, v.video_id),
+    cst AS (SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE is_tenglish) AS BIGINT) AS tenglish,
+                   CAST(count(*) FILTER (WHERE has_telugu_script) AS BIGINT) AS has_script FROM coll)"""
+    o["collection_card"] = (_q(soft + "," + ENRICHED + "," + coll, f"""
+    SELECT 'sources' AS section, channel || ':' || CAST(video_id AS VARCHAR) AS item, 'comments' AS metric,
+           CAST(total_comments AS VARCHAR) AS value FROM cpv UNION ALL
+    SELECT 'sources', channel || ':' || CAST(video_id AS VARCHAR), 'tenglish', CAST(tenglish AS VARCHAR) FROM cpv
+    UNION ALL SELECT 'statistics', 'corpus', 'total', CAST(total AS VARCHAR) FROM cst
+    UNION ALL SELECT 'statistics', 'corpus', 'tenglish', CAST(tenglish AS VARCHAR) FROM cst
+    UNION ALL SELECT 'statistics', 'corpus', 'telugu_script', CAST(has_script AS VARCHAR) FROM cst
+    UNION ALL SELECT 'statistics', 'corpus', 'roman_only', CAST(tenglish - has_script AS VARCHAR) FROM cst
+    UNION ALL SELECT 'statistics', 'corpus', 'pct_tenglish', CAST({pct1('tenglish', 'total')} AS VARCHAR) FROM cst
+    UNION ALL SELECT 'collection', 'window', 'first_date', min(substring(published_at, 1, 10)) FROM coll
+    UNION ALL SELECT 'collection', 'window', 'last_date', max(substring(published_at, 1, 10)) FROM coll""",
+                                 "videos_fx", "comments_fx", "channels_fx").replace("WITH ", "WITH RECURSIVE ", 1))
+
     # ---- set operations
     o["union_sources"] = _q(ENRICHED + "," + STAMPED, """
     SELECT comment_id, channel_name, text, is_tenglish, NULL AS tweet_id, NULL AS source_account FROM enriched

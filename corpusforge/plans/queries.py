@@ -108,13 +108,15 @@ def read_corpus(spark, sf):
 @q("flatten_video_listing")
 def flatten_video_listing(spark, sf):
     payload = PL.build_video_listing(_t(spark, sf, "videos_fx"), _t(spark, sf, "channels_fx"))
-    return PL.flatten_video_listing(payload)
+    text = PL.payload_text(payload)                        # responses as JSON text
+    return PL.flatten_video_listing(PL.parse_payload(text, "payload", PL.VIDEO_LISTING))
 
 
 @q("flatten_threads")
 def flatten_threads(spark, sf):
     pages = PL.build_thread_pages(_t(spark, sf, "comments_fx"), P.INLINE_REPLIES)
-    return PL.flatten_threads(pages, collect_replies=True)
+    text = PL.payload_text(pages)                          # responses as JSON text
+    return PL.flatten_threads(PL.parse_payload(text, "payload", PL.THREAD_PAGE), collect_replies=True)
 
 
 @q("extract_posts")
@@ -558,6 +560,14 @@ def collection_log(spark, sf):
     return S.per_video_log(videos, _t(spark, sf, "channels_fx"), e)
 
 
+@q("collection_card")
+def collection_card(spark, sf):
+    """A12 as the collection run writes it: log of processed videos + stats of the collected rows."""
+    done, e = collected_comments(spark, sf)
+    videos = _t(spark, sf, "videos_fx").join(done, "video_id", "left_semi")
+    return S.dataset_card(videos, _t(spark, sf, "channels_fx"), e)
+
+
 # --- 2.7 set operations -----------------------------------------------------------
 
 @q("union_sources")

@@ -54,6 +54,19 @@ def read_payloads(spark, path: str, schema: T_.StructType) -> DataFrame:
             .option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
+def parse_payload(df: DataFrame, col: str, schema: T_.StructType) -> DataFrame:
+    """JSON text column -> the declared payload struct's fields (``from_json``; malformed text -> null row)."""
+    parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
+    # 0/1-element array + inline: the JSON is parsed once (a Filter on the
+    # parsed column would be evaluated separately from the projection).
+    return df.select(F.inline(F.filter(F.array(parsed), lambda p: p.isNotNull())))
+
+
+def payload_text(df: DataFrame) -> DataFrame:
+    """Payload rows -> one JSON text column ``payload`` (what an API call returns)."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("payload"))
+
+
 def valid_payloads(df: DataFrame) -> DataFrame:
     """Only the well-formed payloads (corrupt-record column dropped)."""
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
