@@ -18,3 +18,21 @@ def test_cli_clean(spark):
     clean = spark.read.options(header="true", multiLine="true", escape='"').csv(f"{base}/out/clean_csv")
     assert sorted(r.comment_id for r in clean.collect()) == ["1", "4"]
     assert set(clean.columns) == {"comment_id", "text", "text_original"}
+
+
+def test_cli_export(spark):
+    import datetime as dt
+
+    from corpusforge.__main__ import cmd_export
+    base = scratch_path(spark, "t_cli_export")
+    spark.createDataFrame([(1, "a"), (2, "b")], "item long, text string").write.parquet(f"{base}/corpus")
+    t0 = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, t0, 1, 0, 0, 1, 2), (2, t0 + dt.timedelta(hours=1), 1, 0, 2, 1, 2)],
+                          "event_id long, ts timestamp, item long, annotator int, sent int, tox int, sta int") \
+        .write.parquet(f"{base}/labels")
+    cmd_export(spark, f"{base}/corpus", f"{base}/labels", f"{base}/out", 0, "ann")
+    out = {r.item: r for r in spark.read.options(header="true", multiLine="true", escape='"')
+           .csv(f"{base}/out/annotated_csv").collect()}
+    assert out["1"].sentiment_label == "neutral" and out["1"].annotation_date == "2024-01-01"
+    assert out["2"].annotated == "false"
+    assert out["2"].sentiment_numeric in (None, "")      # unlabeled: blank cell
