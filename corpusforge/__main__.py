@@ -50,10 +50,12 @@ def cmd_card(spark: SparkSession, src: str, out: str) -> None:
         .write.mode("overwrite").parquet(f"{out}/corpus_stats")
 
 
-def cmd_export(spark: SparkSession, corpus: str, labels: str, out: str, annotator: int, name: str) -> None:
+def cmd_export(spark: SparkSession, corpus: str, labels: str, out: str, annotator: int, name: str,
+               export_date: str | None = None) -> None:
     items = _read(spark, corpus)
     latest = A.latest_labels(_read(spark, labels))
-    IO.write_export_csv(A.export_annotations(items, latest, annotator, name), f"{out}/annotated_csv")
+    IO.write_export_csv(A.export_annotations(items, latest, annotator, name, export_date=export_date),
+                        f"{out}/annotated_csv")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -71,6 +73,7 @@ def main(argv: list[str] | None = None) -> None:
     e.add_argument("out")
     e.add_argument("--annotator", type=int, default=0)
     e.add_argument("--name", default="annotator")
+    e.add_argument("--date", default=None, help="export date stamped on every row (default: today)")
     args = ap.parse_args(argv)
     spark = build_session(master=os.environ.get("SPARK_MASTER"))
     if args.cmd == "clean":
@@ -78,7 +81,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.cmd == "card":
         cmd_card(spark, args.src, args.out)
     else:
-        cmd_export(spark, args.corpus, args.labels, args.out, args.annotator, args.name)
+        cmd_export(spark, args.corpus, args.labels, args.out, args.annotator, args.name, args.date)
 
 
 if __name__ == "__main__":

@@ -52,8 +52,13 @@ def unannotated_items(corpus: DataFrame, labels: DataFrame, annotator: int,
 
 
 def export_annotations(corpus: DataFrame, labels: DataFrame, annotator: int,
-                       annotator_name: str, item_col: str = "item") -> DataFrame:
-    """S7 + P21 + P22: corpus rows with the nine export columns (label code 0 is kept as '0')."""
+                       annotator_name: str, item_col: str = "item",
+                       export_date: str | None = None) -> DataFrame:
+    """S7 + P21 + P22: corpus rows with the nine export columns (label code 0 is kept as '0').
+
+    ``annotated_by`` and ``annotation_date`` stamp every row, labeled or not,
+    with the annotator and the export date (``export_date``, default today).
+    """
     j = attach_labels(corpus, labels, annotator, item_col)
     extra = {}
     for task, code, names in K.TASKS:
@@ -62,7 +67,8 @@ def export_annotations(corpus: DataFrame, labels: DataFrame, annotator: int,
     done = complete_label()
     extra["annotated"] = F.when(done, F.lit("true")).otherwise(F.lit("false"))
     extra["annotated_by"] = F.lit(annotator_name)
-    extra["annotation_date"] = F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit(""))
+    extra["annotation_date"] = (F.lit(export_date) if export_date
+                                else F.date_format(F.current_date(), "yyyy-MM-dd"))
     return j.withColumns(extra).drop(*CODES, "ts", "event_id")
 
 

@@ -203,7 +203,7 @@ def build() -> dict[str, str]:
     export = (f"SELECT d.doc_id AS item, d.source, d.lang, d.text, {', '.join(exp_cols)}, "
               f"CASE WHEN l.sent BETWEEN 0 AND 2 AND l.tox BETWEEN 0 AND 2 AND l.sta BETWEEN 0 AND 2 "
               f"THEN 'true' ELSE 'false' END AS annotated, '{P.ANNOTATOR_NAME}' AS annotated_by, "
-              f"coalesce(strftime(l.ts, '%Y-%m-%d'), '') AS annotation_date "
+              f"'{P.EXPORT_DATE}' AS annotation_date "
               f"FROM documents d LEFT JOIN (SELECT * FROM latest WHERE annotator = {P.ANNOTATOR}) l "
               f"ON d.doc_id = l.item")
     o["export_annotations"] = _q(LATEST, export, "label_events_fx")

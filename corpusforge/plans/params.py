@@ -20,6 +20,7 @@ ANNOTATORS = (0, 1)
 ANNOTATOR_NAME = "annotator_0"
 SALT = "corpusforge-release-salt"
 SCRAPED_AT = "2024-04-01T00:00:00+00:00"
+EXPORT_DATE = "2024-04-02"
 TOP_ACCOUNTS = 5
 RATE_WINDOW = "1 day"
 RATE_DELAY = "0 seconds"

@@ -141,7 +141,8 @@ def read_annotation_batch(spark, sf):
 
 @q("export_annotations")
 def export_annotations(spark, sf):
-    return A.export_annotations(items(spark, sf), latest(spark, sf), P.ANNOTATOR, P.ANNOTATOR_NAME)
+    return A.export_annotations(items(spark, sf), latest(spark, sf), P.ANNOTATOR, P.ANNOTATOR_NAME,
+                                export_date=P.EXPORT_DATE)
 
 
 @q("restore_labels")

@@ -19,9 +19,12 @@ def test_latest_label_and_export(spark):
     lab = {r.item: (r.sent, r.tox, r.sta) for r in A.latest_labels(ev).collect()}
     assert lab == {1: (2, 1, 1)}                      # re-label wins, incomplete ignored
     corpus = spark.createDataFrame([(1, "a"), (2, "b")], "item long, text string")
-    ex = {r.item: r for r in A.export_annotations(corpus, A.latest_labels(ev), 0, "ann").collect()}
+    ex = {r.item: r for r in A.export_annotations(corpus, A.latest_labels(ev), 0, "ann",
+                                                  export_date="2024-02-01").collect()}
     assert ex[1].sentiment_label == "neutral" and ex[1].toxicity_numeric == "1" and ex[1].annotated == "true"
-    assert ex[2].sentiment_label == "" and ex[2].annotated == "false" and ex[2].annotation_date == ""
+    assert ex[2].sentiment_label == "" and ex[2].annotated == "false"
+    assert ex[1].annotation_date == ex[2].annotation_date == "2024-02-01"   # every row stamped
+    assert ex[2].annotated_by == "ann"
 
 
 def test_code_zero_exported(spark):

@@ -30,9 +30,9 @@ def test_cli_export(spark):
     spark.createDataFrame([(1, t0, 1, 0, 0, 1, 2), (2, t0 + dt.timedelta(hours=1), 1, 0, 2, 1, 2)],
                           "event_id long, ts timestamp, item long, annotator int, sent int, tox int, sta int") \
         .write.parquet(f"{base}/labels")
-    cmd_export(spark, f"{base}/corpus", f"{base}/labels", f"{base}/out", 0, "ann")
+    cmd_export(spark, f"{base}/corpus", f"{base}/labels", f"{base}/out", 0, "ann", "2024-01-05")
     out = {r.item: r for r in spark.read.options(header="true", multiLine="true", escape='"')
            .csv(f"{base}/out/annotated_csv").collect()}
-    assert out["1"].sentiment_label == "neutral" and out["1"].annotation_date == "2024-01-01"
+    assert out["1"].sentiment_label == "neutral" and out["1"].annotation_date == "2024-01-05"
     assert out["2"].annotated == "false"
     assert out["2"].sentiment_numeric in (None, "")      # unlabeled: blank cell
