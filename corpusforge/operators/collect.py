@@ -213,13 +213,20 @@ def budget_hard(capped: DataFrame, target: int = K.TOTAL_TARGET,
 def stamp_posts(posts: DataFrame, scraped_at: Column, block: K.ScriptBlock = K.TELUGU) -> DataFrame:
     """The raw_tweets schema from archived post rows."""
     pid = T.fallback_id(T.permalink_id(F.col("href")), F.col("text"))
+
+    def stat(name: str) -> F.Column:
+        # a stat the archived page does not show is missing, i.e. "0"
+        return F.col(name) if name in posts.columns else F.lit(None).cast("string")
+
     return posts.select(
         pid.alias("tweet_id"),
         F.col("username").alias("source_account"),
         T.unicode_trim(F.col("text")).alias("text"),
         F.coalesce(F.col("date"), F.lit("")).alias("date"),
-        T.default_stat(F.col("likes")).alias("likes"),
-        T.stat_number(F.col("likes")).alias("likes_n"),
+        T.default_stat(stat("likes")).alias("likes"),
+        T.default_stat(stat("retweets")).alias("retweets"),
+        T.default_stat(stat("replies")).alias("replies"),
+        T.stat_number(stat("likes")).alias("likes_n"),
         T.is_code_mixed(F.col("text"), block).alias("is_tenglish"),
         scraped_at.alias("scraped_at"),
     )

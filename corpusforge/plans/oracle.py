@@ -416,6 +416,7 @@ def build() -> dict[str, str]:
     o["budget_hard"] = _q(COLLECTED_POSTS, "SELECT username, post_id, ord, CAST(post_rank AS BIGINT) AS post_rank "
                                            "FROM collected", "posts_fx")
     o["collect_posts"] = _q(posts_ctes, "SELECT tweet_id, source_account, text, date, likes, "
+                                        "'0' AS retweets, '0' AS replies, "
                                         "coalesce(CAST(nullif(replace(regexp_extract(likes, '([0-9][0-9,]*)', 1), "
                                         "',', ''), '') AS BIGINT), 0) AS likes_n, is_tenglish, scraped_at "
                                         "FROM cstamped", "posts_fx")
