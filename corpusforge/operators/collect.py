@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import consts as K
 from ..functions import text as T
+from ..session import materialize
 from .prefix import exclusive_running_sum
 
 
@@ -168,6 +169,30 @@ def reply_to_parent(comments: DataFrame) -> DataFrame:
     return r.join(p, "parent_id")
 
 
+def collect_comment_rows(videos: DataFrame, comments: DataFrame, channels: DataFrame,
+                         videos_per_channel: int = K.VIDEOS_PER_CHANNEL, rows_per_video: int = K.ROWS_PER_VIDEO,
+                         page: int = K.PAGE_SIZE, target: int = K.TOTAL_TARGET, collect_replies: bool = True,
+                         inline_replies: int = K.INLINE_REPLIES, block: K.ScriptBlock = K.TELUGU):
+    """Listing cut (W1) -> paged soft cap (W3) -> soft budget (W4) -> rows + score.
+
+    Returns ``(processed videos with rows_before, collected comment rows)``.
+    The fetched threads are bounded (<= ``rows_per_video`` per video) and
+    used twice, so they are written once: the pass over all comments runs once.
+    """
+    listed = recent_videos_per_channel(videos, videos_per_channel)
+    own = comments.join(listed.select("video_id"), "video_id", "left_semi")
+    fetched = materialize(paged_soft_cap(thread_rows(own, collect_replies, inline_replies),
+                                         rows_per_video, page), "fetched_threads")
+    per_video = fetched.groupBy("video_id").agg(F.sum("n_rows").cast("bigint").alias("n"))
+    pv = (listed.join(per_video, "video_id", "left")
+          .select("video_id", "channel_idx", "video_rank",
+                  F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows")))
+    done = budget_soft(pv, target, ("channel_idx", "video_rank", "video_id"))
+    threads = fetched.join(done.select("video_id"), "video_id", "left_semi")
+    rows = fetched_comment_rows(comments, threads, collect_replies, inline_replies)
+    return done, enrich_comments(rows, videos, channels, block)
+
+
 # --- posts ------------------------------------------------------------------
 
 def min_text_length(text: Column, n: int = K.MIN_POST_CHARS) -> Column:
@@ -202,6 +227,8 @@ def budget_hard(capped: DataFrame, target: int = K.TOTAL_TARGET,
     ``c`` = posts an account yields under its own cap and ``S`` the sum of
     ``c`` over earlier accounts, the account keeps ``least(c, max(0, target - S))``.
     """
+    # capped rows are bounded (<= cap per account) and read twice: write them once
+    capped = materialize(capped, "capped_posts")
     per_acc = capped.groupBy(*account_order).agg(F.count(F.lit(1)).cast("bigint").alias("c"))
     pref = exclusive_running_sum(per_acc, list(account_order), "c", "rows_before")
     allowed = pref.select(*account_order, F.least(

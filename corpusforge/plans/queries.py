@@ -78,22 +78,11 @@ def collected_posts(spark, sf):
     return L.budget_hard(capped, P.TOTAL_TARGET)
 
 
-def fetched_threads(spark, sf):
-    """E2 front half: W1 listing cut -> per-thread rows -> W3 paged soft cap."""
-    videos = L.recent_videos_per_channel(_t(spark, sf, "videos_fx"), P.VIDEOS_PER_CHANNEL)
-    comments = _t(spark, sf, "comments_fx").join(videos.select("video_id"), "video_id", "left_semi")
-    threads = L.thread_rows(comments, True, P.INLINE_REPLIES)
-    return videos, L.paged_soft_cap(threads, P.ROWS_PER_VIDEO, P.PAGE_SIZE)
-
-
-def processed_videos(spark, sf, front=None):
-    """W4 soft budget over the per-video rows after W3 (zero-row videos included)."""
-    videos, fetched = front or fetched_threads(spark, sf)
-    per_video = fetched.groupBy("video_id").agg(F.sum("n_rows").cast("bigint").alias("n"))
-    pv = (videos.join(per_video, "video_id", "left")
-          .select("video_id", "channel_idx", "video_rank",
-                  F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows")))
-    return L.budget_soft(pv, P.TOTAL_TARGET, ("channel_idx", "video_rank", "video_id"))
+def collected_comments(spark, sf):
+    """(processed videos, collected and scored comment rows)."""
+    return L.collect_comment_rows(_t(spark, sf, "videos_fx"), _t(spark, sf, "comments_fx"),
+                                  _t(spark, sf, "channels_fx"), P.VIDEOS_PER_CHANNEL, P.ROWS_PER_VIDEO,
+                                  P.PAGE_SIZE, P.TOTAL_TARGET, True, P.INLINE_REPLIES)
 
 
 # --- 2.1 sources and sinks ------------------------------------------------------
@@ -504,7 +493,7 @@ def paged_soft_cap(spark, sf):
 
 @q("budget_soft")
 def budget_soft(spark, sf):
-    pv = processed_videos(spark, sf)
+    pv, _ = collected_comments(spark, sf)
     return pv.select("video_id", "channel_idx", F.col("video_rank").cast("bigint").alias("video_rank"),
                      "n_rows", "rows_before")
 
@@ -536,16 +525,6 @@ def collect_posts(spark, sf):
     return stamped_posts(spark, sf, collected_posts(spark, sf))
 
 
-def collected_comments(spark, sf):
-    """(processed video ids, collected and scored comment rows)."""
-    front = fetched_threads(spark, sf)
-    videos, fetched = front
-    done = processed_videos(spark, sf, front).select("video_id")
-    threads = fetched.join(done, "video_id", "left_semi")
-    rows = L.fetched_comment_rows(_t(spark, sf, "comments_fx"), threads, True, P.INLINE_REPLIES)
-    return done, L.enrich_comments(rows, _t(spark, sf, "videos_fx"), _t(spark, sf, "channels_fx"))
-
-
 @q("collect_comments")
 def collect_comments(spark, sf):
     """E2 end to end: listing cut, paged cap, soft budget, enrichment + score."""
@@ -557,7 +536,7 @@ def collect_comments(spark, sf):
 def collection_log(spark, sf):
     """A3 as the collection run writes it: processed videos only, with their collected rows."""
     done, e = collected_comments(spark, sf)
-    videos = _t(spark, sf, "videos_fx").join(done, "video_id", "left_semi")
+    videos = _t(spark, sf, "videos_fx").join(done.select("video_id"), "video_id", "left_semi")
     return S.per_video_log(videos, _t(spark, sf, "channels_fx"), e)
 
 
@@ -565,7 +544,7 @@ def collection_log(spark, sf):
 def collection_card(spark, sf):
     """A12 as the collection run writes it: log of processed videos + stats of the collected rows."""
     done, e = collected_comments(spark, sf)
-    videos = _t(spark, sf, "videos_fx").join(done, "video_id", "left_semi")
+    videos = _t(spark, sf, "videos_fx").join(done.select("video_id"), "video_id", "left_semi")
     return S.dataset_card(videos, _t(spark, sf, "channels_fx"), e)
 
 

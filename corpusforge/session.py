@@ -69,6 +69,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or conf).rstrip("/")
 
 
+def materialize(df, name: str):
+    """Write ``df`` once as a table under the shared checkpoint folder and read it back.
+
+    A lineage cut for an intermediate consumed more than once: the upstream
+    runs once, and a lost executor re-reads the table instead of recomputing.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
