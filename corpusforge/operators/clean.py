@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import consts as K
 from ..functions import text as T
+from ..session import materialize
 
 REASON = "drop_reason"
 KEY = "dedup_key"
@@ -89,20 +90,25 @@ def clean_corpus(df: DataFrame, text_col: str = "text", order_col: str = "ord",
 
 def per_row_reason(df: DataFrame, text_col: str = "text", order_col: str = "ord",
                    block: K.ScriptBlock = K.TELUGU, min_words: int = K.MIN_WORDS) -> DataFrame:
-    """F4 with rule 4: every row with its final ``drop_reason`` (null = kept).
-
-    The first ``ord`` per key comes from a partial aggregation and is joined
-    back on the key.  Rows dropped by rules 1–3 get a private key
-    (NUL + ord, which no survivor key can equal: survivor keys contain a
-    letter, this one only digits), so the join key is never null — no
-    ``isnotnull`` filter is inferred and pushed into the scan — and the
-    dropped rows do not pile up in one join group.  AQE splits a skewed
-    survivor key on the large side.
+    """F4 with rule 4: every row (its non-text columns) with its final ``drop_reason`` (null = kept).
+
+    The rule chain runs once; the narrow result (ids, verdict, key) is
+    written once under the shared checkpoint folder and read by both sides
+    of the join, which is cheaper than running the regex chain twice and
+    cuts the lineage.  The first ``ord`` per key comes from a partial
+    aggregation and is joined back on the key.  Rows dropped by rules 1–3
+    get a private key (NUL + ord, which no survivor key can equal: survivor
+    keys contain a letter, this one only digits), so the join key is never
+    null — no ``isnotnull`` filter is inferred and pushed into the scan —
+    and the dropped rows do not pile up in one join group.  AQE splits a
+    skewed survivor key on the large side.
     """
     ruled = with_rule_columns(df, text_col, block, min_words)
     private = F.concat(F.lit("\u0000"), F.coalesce(F.col(order_col).cast("string"), F.lit("")))
     gkey = F.coalesce(F.col(KEY), private)  # non-nullable by construction
-    keyed = ruled.withColumn("_gkey", gkey)
+    narrow = (ruled.withColumn("_gkey", gkey)
+              .drop(text_col, "text_original", "text_stripped", KEY))
+    keyed = materialize(narrow, "rule_verdicts")
     firsts = keyed.groupBy("_gkey").agg(
         F.min(F.when(F.col(REASON).isNull(), F.col(order_col))).alias("_first_ord"))
     joined = keyed.join(firsts, on="_gkey", how="left")
