@@ -147,7 +147,7 @@ def register(spark: SparkSession, sf_dir: str, force: bool = False) -> None:
     """Register driver tables and derived views as temp views on ``spark``.
 
     Registration is remembered per session and data folder; ``force``
-    re-registers (e.g. after a streaming job bound a view name to a stream).
+    re-registers.
     """
     key = id(spark)
     if not force and _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("corpus_fx"):
@@ -163,16 +163,6 @@ def register(spark: SparkSession, sf_dir: str, force: bool = False) -> None:
     _REGISTERED[key] = sf_dir
 
 
-def forget(spark: SparkSession) -> None:
-    """Drop the registration memo (a view name is about to be rebound)."""
-    _REGISTERED.pop(id(spark), None)
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     register(spark, sf_dir)
     return spark.table(name)
-
-
-def duckdb_view_sql() -> list[str]:
-    """The same derived views as DuckDB ``CREATE VIEW`` statements (oracle side)."""
-    return [f"CREATE OR REPLACE VIEW {n} AS {sql}" for n, sql in DERIVED_VIEWS.items()]
