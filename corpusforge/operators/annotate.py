@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import consts as K
 from ..functions import text as T
+from .prefix import exclusive_running_sum
 
 CODES = ("sent", "tox", "sta")
 
@@ -116,21 +117,53 @@ def cursor(events: DataFrame) -> DataFrame:
 
 
 def next_unannotated(corpus: DataFrame, labels: DataFrame, events: DataFrame,
-                     annotators: Sequence[int], item_col: str = "item") -> DataFrame:
-    """Per annotator, the first unlabeled item after the cursor, else the first unlabeled, else -1."""
+                     annotators: Sequence[int] | None = None, item_col: str = "item") -> DataFrame:
+    """Per annotator, the first unlabeled item after the cursor, else the first unlabeled, else -1.
+
+    Fully distributed, no per-annotator loop: corpus items get their rank
+    (distributed running count), each annotator's labeled ranks form runs,
+    and a run *ends* at a labeled rank whose successor is unlabeled (an
+    anti-join).  The first free rank at or after a start ``s`` is ``s`` when
+    ``s`` is unlabeled, else the smallest run end >= ``s`` plus one — only
+    equi-joins and aggregates, so a very active annotator is never one group.
+    """
     cur = cursor(events)
-    parts = []
-    for a in annotators:
-        todo = unannotated_items(corpus.select(item_col), labels, a, item_col)
-        c = cur.where(F.col("annotator") == a).select("cur").scalar()
-        parts.append(todo.agg(
-            F.lit(a).alias("annotator"),
-            F.coalesce(F.min(F.when(F.col(item_col) > c, F.col(item_col))), F.min(item_col),
-                       F.lit(-1).cast("bigint")).cast("bigint").alias("next_item")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if annotators is not None:
+        cur = cur.where(F.col("annotator").isin(list(annotators)))
+    # One distributed running count over corpus items (weight 1) and cursors
+    # (weight 0): an item's count gives its rank, a cursor's count gives the
+    # number of items at or before it — also for a cursor outside the corpus.
+    pts = (corpus.select(F.col(item_col).alias("_pos")).distinct()
+           .select("_pos", F.lit(1).alias("_one"), F.lit(0).alias("_kind"),
+                   F.lit(None).cast(cur.schema["annotator"].dataType).alias("annotator"))
+           .unionByName(cur.select(F.col("cur").alias("_pos"), F.lit(0).alias("_one"), F.lit(1).alias("_kind"),
+                                   "annotator")))
+    counted = exclusive_running_sum(pts, ["_pos", "_kind", "annotator"], "_one", "_before")
+    ranked = counted.where(F.col("_kind") == 0).select(F.col("_pos").alias(item_col),
+                                                       (F.col("_before") + 1).alias("_rank"))
+    n_items = ranked.agg(F.count(F.lit(1))).scalar()
+    lab = labels.select("annotator", item_col).join(ranked, item_col).select("annotator", "_rank")
+    successor_labeled = lab.select("annotator", (F.col("_rank") - 1).alias("_rank"))
+    ends = lab.join(successor_labeled, ["annotator", "_rank"], "left_anti") \
+        .select("annotator", F.col("_rank").alias("_end"))
+    starts = counted.where(F.col("_kind") == 1).select(
+        "annotator", (F.col("_before") + 1).cast("bigint").alias("_s1"), F.lit(1).cast("bigint").alias("_s0"))
+
+    def first_free(df: DataFrame, s: str, out: str) -> DataFrame:
+        taken = lab.select("annotator", F.col("_rank").alias(s), F.lit(True).alias("_taken"))
+        x = df.join(taken, ["annotator", s], "left")
+        run_end = (x.join(ends, "annotator", "left")
+                   .where(F.col("_end").isNull() | (F.col("_end") >= F.col(s)))
+                   .groupBy("annotator").agg(F.min("_end").alias("_e")))
+        y = x.join(run_end, "annotator", "left")
+        free = F.when(F.col("_taken").isNull(), F.col(s)).otherwise(F.col("_e") + 1)
+        return y.withColumn(out, F.when(free <= n_items, free)).drop("_taken", "_e")
+
+    picked = first_free(first_free(starts, "_s1", "_r1"), "_s0", "_r0")
+    chosen = picked.select("annotator", F.coalesce("_r1", "_r0").alias("_rank"))
+    return (chosen.join(ranked, "_rank", "left")
+            .select("annotator", F.coalesce(F.col(item_col).cast("bigint"), F.lit(-1).cast("bigint"))
+                    .alias("next_item")))
 
 
 def milestone_reached(events: DataFrame, milestone: int = K.MILESTONE) -> DataFrame:

@@ -65,3 +65,29 @@ def test_milestone(spark):
     ev = events(spark, [(i, i, 0, 0, 0, 0) for i in range(5)] + [(10, 0, 0, 1, 1, 1)])
     r = A.milestone_reached(ev, 3).first()
     assert (r.item, r.n_labeled) == (2, 3)
+
+
+def test_next_unannotated_random_vs_loop(spark):
+    import random
+    rnd = random.Random(9)
+    corpus_items = sorted(rnd.sample(range(200), 60))
+    corpus = spark.createDataFrame([(i,) for i in corpus_items], "item long")
+    ev_rows, labeled = [], {}
+    for a in range(40):
+        k = rnd.choice([0, 1, 5, 30, 59, 60])
+        chosen = set(rnd.sample(corpus_items, k))
+        labeled[a] = chosen
+        for i in sorted(chosen):
+            ev_rows.append((len(ev_rows), i, a))
+        cur = rnd.choice(corpus_items + list(range(0, 260, 7)))   # cursors also between / past corpus items
+        ev_rows.append((len(ev_rows) + 10_000, cur, a))     # latest event = cursor (incomplete label)
+    ev = spark.createDataFrame(
+        [(eid, T0 + dt.timedelta(seconds=eid), item, a, 0 if eid < 10_000 else None, 0, 0) for eid, item, a in ev_rows],
+        "event_id long, ts timestamp, item long, annotator int, sent int, tox int, sta int")
+    got = {r.annotator: r.next_item for r in A.next_unannotated(corpus, A.latest_labels(ev), ev).collect()}
+    for a in range(40):
+        cur = [i for e, i, b in ev_rows if b == a and e >= 10_000][0]
+        free = [i for i in corpus_items if i not in labeled[a]]
+        after = [i for i in free if i > cur]
+        expect = after[0] if after else (free[0] if free else -1)
+        assert got[a] == expect, (a, cur, sorted(labeled[a])[:5])
