@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import consts as K
 from ..functions import text as T
+from ..session import materialize
 from .prefix import exclusive_running_sum
 
 CODES = ("sent", "tox", "sta")
@@ -138,11 +139,14 @@ def next_unannotated(corpus: DataFrame, labels: DataFrame, events: DataFrame,
                    F.lit(None).cast(cur.schema["annotator"].dataType).alias("annotator"))
            .unionByName(cur.select(F.col("cur").alias("_pos"), F.lit(0).alias("_one"), F.lit(1).alias("_kind"),
                                    "annotator")))
-    counted = exclusive_running_sum(pts, ["_pos", "_kind", "annotator"], "_one", "_before")
+    # both tables below are read several times: each is written once and re-read
+    counted = materialize(exclusive_running_sum(pts, ["_pos", "_kind", "annotator"], "_one", "_before"),
+                          "ranks")
     ranked = counted.where(F.col("_kind") == 0).select(F.col("_pos").alias(item_col),
                                                        (F.col("_before") + 1).alias("_rank"))
     n_items = ranked.agg(F.count(F.lit(1))).scalar()
-    lab = labels.select("annotator", item_col).join(ranked, item_col).select("annotator", "_rank")
+    lab = materialize(labels.select("annotator", item_col).join(ranked, item_col).select("annotator", "_rank"),
+                      "labeled_ranks")
     successor_labeled = lab.select("annotator", (F.col("_rank") - 1).alias("_rank"))
     ends = lab.join(successor_labeled, ["annotator", "_rank"], "left_anti") \
         .select("annotator", F.col("_rank").alias("_end"))
