@@ -36,3 +36,14 @@ def test_cli_export(spark):
     assert out["1"].sentiment_label == "neutral" and out["1"].annotation_date == "2024-01-05"
     assert out["2"].annotated == "false"
     assert out["2"].sentiment_numeric in (None, "")      # unlabeled: blank cell
+
+
+def test_cli_card(spark):
+    from corpusforge.__main__ import cmd_card
+    base = scratch_path(spark, "t_cli_card")
+    spark.createDataFrame([("1", "True", "False"), ("2", "True", "True"), ("3", "False", "False")],
+                          "comment_id string, is_tenglish string, has_telugu_script string") \
+        .write.parquet(f"{base}/comments")
+    cmd_card(spark, f"{base}/comments", f"{base}/out")
+    r = spark.read.parquet(f"{base}/out/corpus_stats").first()
+    assert (r.total, r.tenglish, r.has_script, r.roman_only, r.pct_tenglish) == (3, 2, 1, 1, 66.7)
