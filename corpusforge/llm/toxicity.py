@@ -2,10 +2,10 @@
 
 Every token gets a log-odds score under an informative Dirichlet prior (its background rate), taken
 at the lower end of its confidence interval; a token without evidence of its own takes the score of
-its 4- or 5-letter stem.  All other tokens score ``-DRIFT``.  A linear-time scan (Ruzzo and Tompa) finds
+its 4- or 5-letter stem.  All other tokens, and repeats in the same text, score ``-DRIFT``.  A linear-time scan (Ruzzo and Tompa) finds
 every maximal segment of a text.  Karlin-Altschul parameters, fitted on the clean training texts, turn
-a segment's score into an E-value for a text of that length; the sum of ``-ln E`` over the significant
-segments (E < 1) is calibrated to a probability.
+a segment's score into an E-value for a text of that length; the sum of ``-ln E`` over the
+significant segments (the sum statistic of extreme values) is calibrated to a probability.
 
 Nulls and empty texts: no token, no segment, the score of a text without evidence.  Repeated rows are
 scored alike; a text that several labelled rows share is learned once.  Without labels of both classes
@@ -29,8 +29,11 @@ from .common import fit_logistic, labelled_sample, map_batches, sigmoid, text_of
 
 TOKEN = re.compile(r"[^\W_]+")
 DRIFT = 0.5
-CONFIDENCE = 1.645
+CONFIDENCE = 2.33       # many thousand tokens are tested at once
+LEAST_SCORE = 1.0
+SIGNIFICANT = 3.0        # -ln E of a segment that counts (E below 0.05)
 STEMS = (5, 4)
+ALL = " "                 # not a token: the row that counts all tokens
 MAX_TRAIN = 200_000      # labelled rows used to fit, at most
 MAX_FEATURES = 50_000    # scored features kept, by score
 
@@ -116,32 +119,42 @@ def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for text, label in zip(pdf["text"], pdf["label"]):
-            counts[label].update(_features(set(TOKEN.findall(text.lower()))))
+            tokens = set(TOKEN.findall(text.lower()))
+            counts[label].update(_features(tokens))
+            counts[label][ALL] += len(tokens)
             if len(counts[0]) + len(counts[1]) > 400_000:
                 yield flush()
     yield flush()
 
 
 def _evidence(model: ToxicModel):
-    """Per text: E-value statistic T, number of significant segments, best segment."""
+    """Per text: the statistic T, the number of significant segments, these segments."""
     cache = TokenScores(model)
 
-    def of(text: str) -> tuple[float, int, float, list]:
+    def of(text: str) -> tuple[float, int, list]:
         tokens = TOKEN.findall(text.lower())
         if not tokens:
-            return 0.0, 0, 0.0, []
+            return 0.0, 0, []
         scores = np.fromiter(map(cache.__getitem__, tokens), float, len(tokens))
+        hits = np.flatnonzero(scores > 0)
+        if not len(hits):
+            return 0.0, 0, []
+        seen: set[str] = set()
+        for i in hits.tolist():      # a token is evidence once: repeats say nothing new
+            if tokens[i] in seen:
+                scores[i] = -DRIFT
+            seen.add(tokens[i])
         found = maximal_segments(scores)
         if not found:
-            return 0.0, 0, 0.0, []
+            return 0.0, 0, []
         log_kn = np.log(model.k * len(tokens))
         t, kept = 0.0, []
         for s, e, score in found:
             x = model.lam * score - log_kn
-            if x > 0:
+            if x > SIGNIFICANT:
                 t += x
                 kept.append((s, e, x))
-        return t, len(kept), max(score for *_, score in found), kept
+        return t, len(kept), kept
 
     return of
 
@@ -162,34 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, max_t
     prior = alpha * (F.col("n0") + F.col("n1")) / float(n0 + n1)
     odds = F.log((F.col("n1") + prior) / (n1 + alpha)) - F.log((F.col("n0") + prior) / (n0 + alpha))
     doubt = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    scored = materialize(counts.where(F.col("n1") > 0).select(
-        "feature", "n0", "n1", (odds - CONFIDENCE * doubt).alias("score")).where(F.col("score") > 0.7), "toxic_terms")
-    top = scored.orderBy(F.desc("score"), "feature").limit(max_features).collect()
+    scored = materialize(counts.select(
+        "feature", "n0", "n1", (odds - CONFIDENCE * doubt).alias("score")).where(
+        (F.col("score") > LEAST_SCORE) | (F.col("feature") == ALL)), "toxic_terms")
+    total = scored.where(F.col("feature") == ALL).first() or {"n0": 0.0}
+    top = scored.where(F.col("feature") != ALL).orderBy(F.desc("score"), "feature").limit(max_features).collect()
     scores = {r["feature"]: float(r["score"]) for r in top}
-    # words that clean texts use keep their own (low) score although their stem is scored
-    stems = [s for s in scores if s.endswith("*")]
-    if stems:
-        stem_rows = docs.sparkSession.createDataFrame([(s,) for s in stems], "stem string")
-        word = F.col("feature")
-        stem = F.explode(F.array(*[F.concat(F.substring(word, 1, k), F.lit("*")) for k in STEMS])).alias("stem")
-        clean = (counts.where((F.col("n0") > 0) & ~word.endswith("*")).select("feature", stem)
-                 .join(F.broadcast(stem_rows), "stem").select("feature").distinct().limit(max_features).collect())
-        for r in clean:
-            scores.setdefault(r["feature"], -DRIFT)
     # Karlin-Altschul parameters from the clean training texts; then the calibration of T
-    first = ToxicModel(scores, 1.0, 1.0, 0.0, 0.0)
-
-    def null_scores(batches):
-        cache, seen = TokenScores(first), Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                seen.update(round(cache[t], 2) for t in TOKEN.findall(text.lower()))
-        yield pd.DataFrame({"s": list(seen), "n": list(seen.values())})
-
-    hist = (map_batches(train.where("label = 0").select("text"), null_scores, "s double, n long")
-            .groupBy("s").agg(F.sum("n").alias("n")).collect())
-    lam, k = karlin_altschul(np.array([r["s"] for r in hist]), np.array([float(r["n"]) for r in hist]),
-                             [v for v in scores.values() if v > 0])
+    lam, k = karlin_altschul(np.array([scores[r["feature"]] for r in top]), np.array([r["n0"] for r in top]),
+                             total["n0"])
     second = ToxicModel(scores, lam, k, 0.0, 0.0)
 
     def statistics(batches):
@@ -204,23 +198,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, max_t
     return ToxicModel(scores, lam, k, a, b)
 
 
-def karlin_altschul(s: np.ndarray, n: np.ndarray, positive: list[float]) -> tuple[float, float]:
-    """Lambda solves sum p(s) exp(lambda s) = 1 over the clean tokens; K matches their rate of positive scores."""
-    total = n.sum()
-    if not total or not positive:
+def karlin_altschul(s: np.ndarray, n: np.ndarray, total: float) -> tuple[float, float]:
+    """Lambda solves sum p(s) exp(lambda s) = 1 over the tokens of clean texts; K matches their rate of positive
+    scores.  s, n: the positive scores and how often clean texts have them; total: all their tokens."""
+    if not total or not len(s):
         return 1.0, 1.0
-    mid = float(np.median(positive))
-    s, p = np.append(s, mid), np.append(n, 1.0) / (total + 1)   # one positive token more than was seen
+    mid = float(np.median(s))
+    positive = min(float(n.sum()), total)
+    s = np.concatenate((s, [mid, -DRIFT]))
+    p = np.concatenate((n, [1.0, total - positive])) / (total + 1)   # one positive token more than was seen
     if (s * p).sum() >= 0:
         return 0.05, 1.0
     lo, hi = 1e-6, 50.0 / mid
     for _ in range(80):
         x = (lo + hi) / 2
-        lo, hi = (x, hi) if (p * np.exp(x * s)).sum() < 1 else (lo, x)
-    lam = lo
+        lo, hi = (x, hi) if (p * np.exp(np.minimum(x * s, 700))).sum() < 1 else (lo, x)
     rate = p[s > 0].sum()
-    least = min(s[s > 0])
-    return lam, float(min(1.0, max(1e-12, rate * np.exp(lam * least))))
+    return lo, float(min(1.0, max(1e-12, rate * np.exp(lo * s[s > 0].min()))))
 
 
 def score(docs: DataFrame, model: ToxicModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -241,6 +235,6 @@ def score(docs: DataFrame, model: ToxicModel, keep: tuple[str, ...] = ("doc_id",
             yield pd.DataFrame(out | {
                 "score": p, "predicted": (p >= 0.5).astype("int32"), "evidence": t,
                 "n_segments": np.array([x[1] for x in found], dtype="int32"),
-                "segments": [[{"start": s, "end": e, "evidence": v} for s, e, v in x[3]] for x in found]})
+                "segments": [[{"start": s, "end": e, "evidence": v} for s, e, v in x[2]] for x in found]})
 
     return map_batches(docs.select(*keep, text_of().alias("_text")), run, schema)
