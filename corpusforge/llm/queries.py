@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, linededup, packing, quality_qda, toxicity, urlfilter
+from . import decontam, fertility, htmldiff, linededup, packing, quality_qda, toxicity, urlfilter
 from .common import crc_fold, table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -31,6 +31,10 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmldiff.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import materialize
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -49,5 +53,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxic_segments, op3_digest_url_filter, op4_line_runs, op7_quality_qda,
-                                   op8_fertility_rules, op9_packing)}
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxic_segments, op3_digest_url_filter, op4_line_runs, op5_page_differencing, op7_quality_qda,
+                                   op8_fertility_rules, op9_packing, op10_latent_decontamination)}
