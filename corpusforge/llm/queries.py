@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, htmldiff, linededup, packing, quality_qda, toxicity, urlfilter
+from . import decontam, fertility, htmldiff, linededup, lm_ctw, minhash_icws, packing, quality_qda, toxicity, urlfilter
 from .common import crc_fold, table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -22,6 +22,11 @@ def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted", "evidence", "n_segments")
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_ctw.score(table(spark, sf_dir, "documents"), crc_fold("doc_id", 7) != 2)
+    return out.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op3_digest_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -35,6 +40,11 @@ def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmldiff.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = minhash_icws.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes
+
+
 def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import materialize
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -57,5 +67,5 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxic_segments, op3_digest_url_filter, op4_line_runs, op5_page_differencing, op7_quality_qda,
-                                   op8_fertility_rules, op9_packing, op10_latent_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxic_segments, op2_context_tree, op3_digest_url_filter, op4_line_runs, op5_page_differencing,
+                                   op6_weighted_minhash, op7_quality_qda, op8_fertility_rules, op9_packing, op10_latent_decontamination)}
