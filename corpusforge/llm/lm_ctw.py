@@ -28,10 +28,10 @@ from ..session import materialize
 from .blocks import mix, pack_bytes, pack_numbers, pack_sorted, unpack_bytes, unpack_numbers, unpack_sorted
 from .common import block_count, map_batches, ship_package, text_of
 
-DEPTH = 4                   # context bytes; a gram is DEPTH + 1 bytes
+DEPTH = 5                   # context bytes; a gram is DEPTH + 1 bytes
 END = 0xFF                  # never a byte of UTF-8: end symbol, and the context before the text
 END_WORD = b" "             # the end as a token of the word base; words have no white space
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 MAX_PARTS = 2048
 LN2 = float(np.log(2.0))
 
