@@ -24,7 +24,9 @@ SPACE = " \t\n\x0b\f\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes of text that one grouped task works on
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: rows and bytes of an Arrow batch that a Python worker gets at once
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 _SHIPPED: set[str] = set()   # applications whose executors have the package
@@ -41,7 +43,12 @@ def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers (once per application)."""
+    """Make this package importable in the Python workers (once per application).
+
+    Texts may be long: Arrow batches are bounded by rows and bytes, so that a worker holds a few MB of them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -28,7 +28,7 @@ from .common import WORD_PATTERN, map_batches, text_of
 WORD = re.compile(WORD_PATTERN)
 SYMBOL = re.compile(r"[#*$%&|<>]")
 FALLBACK_VOCABULARY = "piece_bpe_32k.model"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: a band reaches so many interquartile ranges beyond the quartiles, and at least so far
 REACH = 6.0

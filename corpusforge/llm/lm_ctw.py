@@ -32,6 +32,7 @@ DEPTH = 5                   # context bytes; a gram is DEPTH + 1 bytes
 END = 0xFF                  # never a byte of UTF-8: end symbol, and the context before the text
 END_WORD = b" "             # the end as a token of the word base; words have no white space
 BLOCK_BYTES = 16 << 20
+AT_ONCE = 2 << 20           # grams sorted at a time within a block
 MAX_PARTS = 2048
 LN2 = float(np.log(2.0))
 
@@ -196,17 +197,20 @@ def _extract(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
 
 def block_grams(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct grams of a block's texts and their counts in its training texts."""
-    all_codes, trained = [], []
-    for text, train in zip(pdf["text"], pdf["train"]):
-        c = grams(text.encode().lower())
-        (trained if train else all_codes).append(c)
-    none = np.zeros(0, np.uint64)
-    seen, n = np.unique(np.concatenate([none, *trained]), return_counts=True)
-    del trained
-    codes = np.union1d(seen, np.concatenate([none, *all_codes]))
-    counts = np.zeros(len(codes), np.int64)
-    counts[np.searchsorted(codes, seen)] = n
-    return codes, counts
+    lists, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for learned in (True, False):
+        waiting, size = [], 0
+        texts = pdf["text"][pdf["train"] == learned]
+        for k, text in enumerate(texts, 1):
+            waiting.append(grams(text.encode().lower()))
+            size += len(waiting[-1])
+            if size > AT_ONCE or k == len(texts):
+                codes, n = np.unique(np.concatenate(waiting), return_counts=True)
+                lists.append(codes)
+                numbers.append(n if learned else np.zeros_like(n))
+                waiting, size = [], 0
+    codes, counts, _ = _sum_counts(lists, numbers)
+    return codes, counts.astype(np.int64)
 
 
 def _words(data: bytes) -> list[bytes]:

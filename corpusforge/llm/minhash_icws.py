@@ -39,7 +39,7 @@ TABLE = 1 << 14              # rows of random variates; a shingle's row is a has
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

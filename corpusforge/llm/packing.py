@@ -30,7 +30,7 @@ SIZE, END_ID = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
 #: white space to ``str.split`` but not to the tokenizer
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 
 
 def _vocabulary_path(name: str) -> str:

@@ -64,7 +64,7 @@ class TokenScores(dict):
         self.model = model
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         s = self[token] = self.model.token_score(token)
         return s
