@@ -124,7 +124,8 @@ def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts[label][ALL] += len(tokens)
             if len(counts[0]) + len(counts[1]) > 400_000:
                 yield flush()
-    yield flush()
+    if counts[0] or counts[1]:
+        yield flush()
 
 
 def _evidence(model: ToxicModel):
@@ -218,11 +219,12 @@ def karlin_altschul(s: np.ndarray, n: np.ndarray, total: float) -> tuple[float,
 
 
 def score(docs: DataFrame, model: ToxicModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and score, predicted, evidence (sum of -ln E), n_segments, segments (token spans and -ln E)."""
+    """Columns ``keep`` and score, predicted, evidence (sum of -ln E), n_segments, and the token
+    spans (starts, ends) of the significant segments."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", score double, predicted int, evidence double, " \
-        "n_segments int, segments array<struct<start:int,end:int,evidence:double>>"
+        "n_segments int, starts array<int>, ends array<int>"
 
     def run(batches):
         m = shared.value
@@ -235,6 +237,6 @@ def score(docs: DataFrame, model: ToxicModel, keep: tuple[str, ...] = ("doc_id",
             yield pd.DataFrame(out | {
                 "score": p, "predicted": (p >= 0.5).astype("int32"), "evidence": t,
                 "n_segments": np.array([x[1] for x in found], dtype="int32"),
-                "segments": [[{"start": s, "end": e, "evidence": v} for s, e, v in x[2]] for x in found]})
+                "starts": [[s for s, _, _ in x[2]] for x in found], "ends": [[e for _, e, _ in x[2]] for x in found]})
 
     return map_batches(docs.select(*keep, text_of().alias("_text")), run, schema)
