@@ -40,10 +40,10 @@ def cohens_kappa(pairs: DataFrame, group_cols: Sequence[str] = ("task",),
     ma = pairs.groupBy(*g, F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("na"))
     mb = pairs.groupBy(*g, F.col("b").alias("cls")).agg(F.count(F.lit(1)).alias("nb"))
     pe = (ma.join(mb, g + ["cls"]).groupBy(*g)
-          .agg(F.sum(F.col("na") * F.col("nb")).cast("double").alias("_pp")))
+          .agg(F.sum(F.col("na").cast("double") * F.col("nb")).alias("_pp")))
     j = n.join(pe, g, "left")
     po = F.col("agree") / F.col("n")
-    pe_ = F.coalesce(F.col("_pp"), F.lit(0.0)) / (F.col("n") * F.col("n"))
+    pe_ = F.coalesce(F.col("_pp"), F.lit(0.0)) / (F.col("n").cast("double") * F.col("n"))
     kappa = F.when(pe_ < 1.0, (po - pe_) / (F.lit(1.0) - pe_))
     return j.select(*g, "n", F.round(po, 6).alias("p_o"), F.round(pe_, 6).alias("p_e"),
                     F.round(kappa, 6).alias("kappa"),

@@ -92,11 +92,12 @@ def label_distribution(labels: DataFrame) -> DataFrame:
                        T.pct_int(F.col("n"), F.col("done")).alias("pct"))
 
 
-def annotation_progress(corpus: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per annotator: done, total, remaining and % done.
+def annotation_progress(corpus: DataFrame, labels: DataFrame, item_col: str = "item") -> DataFrame:
+    """Per annotator: done, total, remaining and % done; labels of items outside the corpus don't count.
 
     The corpus size is a scalar subquery, not a join.
     """
+    labels = labels.join(corpus.select(F.col(item_col).alias("item")), "item", "left_semi")
     total = corpus.agg(F.count(F.lit(1)).cast("bigint")).scalar()
     per = labels.groupBy("annotator").agg(F.count(F.lit(1)).cast("bigint").alias("done"))
     return per.select("annotator", "done", total.alias("total"),
@@ -112,8 +113,8 @@ def class_imbalance(distribution: DataFrame) -> DataFrame:
 
 
 def cursor(events: DataFrame) -> DataFrame:
-    """Each annotator's cursor: the item of the latest submission."""
-    return events.groupBy("annotator").agg(
+    """Each annotator's cursor: the item of the latest accepted submission (a rejected one moves nothing)."""
+    return events.where(complete_label()).groupBy("annotator").agg(
         F.max_by("item", F.struct("ts", "event_id")).alias("cur"))
 
 
@@ -156,8 +157,8 @@ def next_unannotated(corpus: DataFrame, labels: DataFrame, events: DataFrame,
     def first_free(df: DataFrame, s: str, out: str) -> DataFrame:
         taken = lab.select("annotator", F.col("_rank").alias(s), F.lit(True).alias("_taken"))
         x = df.join(taken, ["annotator", s], "left")
-        run_end = (x.join(ends, "annotator", "left")
-                   .where(F.col("_end").isNull() | (F.col("_end") >= F.col(s)))
+        run_end = (x.join(ends, "annotator")
+                   .where(F.col("_end") >= F.col(s))
                    .groupBy("annotator").agg(F.min("_end").alias("_e")))
         y = x.join(run_end, "annotator", "left")
         free = F.when(F.col("_taken").isNull(), F.col(s)).otherwise(F.col("_e") + 1)

@@ -365,7 +365,7 @@ def build() -> dict[str, str]:
     SELECT annotator, CAST(count(*) AS BIGINT) AS done, (SELECT CAST(count(*) AS BIGINT) FROM documents) AS total,
            (SELECT CAST(count(*) AS BIGINT) FROM documents) - CAST(count(*) AS BIGINT) AS remaining,
            round(100.0 * count(*) / greatest((SELECT count(*) FROM documents), 1), 1) AS pct_done
-    FROM latest GROUP BY annotator""", "label_events_fx")
+    FROM latest WHERE item IN (SELECT doc_id FROM documents) GROUP BY annotator""", "label_events_fx")
     kappa = lambda rel: f"""
     SELECT task, n, round(po, 6) AS p_o, round(pe, 6) AS p_e,
            round(CASE WHEN pe < 1.0 THEN (po - pe) / (1.0 - pe) END, 6) AS kappa,
@@ -425,7 +425,7 @@ def build() -> dict[str, str]:
                                          f"LIMIT {P.TOP_ACCOUNTS}", "posts_fx")
     o["next_unannotated"] = _q(LATEST + """,
     cur AS (SELECT annotator, item AS cur FROM (SELECT *, row_number() OVER (PARTITION BY annotator
-            ORDER BY ts DESC, event_id DESC) AS rn FROM label_events_fx) WHERE rn = 1)""", """
+            ORDER BY ts DESC, event_id DESC) AS rn FROM complete) WHERE rn = 1)""", """
     SELECT c.annotator, CAST(coalesce(
              (SELECT min(d.doc_id) FROM documents d WHERE d.doc_id > c.cur AND d.doc_id NOT IN
                 (SELECT item FROM latest l WHERE l.annotator = c.annotator)),

@@ -80,14 +80,27 @@ def test_next_unannotated_random_vs_loop(spark):
         for i in sorted(chosen):
             ev_rows.append((len(ev_rows), i, a))
         cur = rnd.choice(corpus_items + list(range(0, 260, 7)))   # cursors also between / past corpus items
-        ev_rows.append((len(ev_rows) + 10_000, cur, a))     # latest event = cursor (incomplete label)
+        ev_rows.append((len(ev_rows) + 10_000, cur, a))     # latest accepted submission = cursor
+        ev_rows.append((len(ev_rows) + 90_000, rnd.choice(corpus_items), a))   # rejected: moves nothing
+        labeled[a].add(cur)
     ev = spark.createDataFrame(
-        [(eid, T0 + dt.timedelta(seconds=eid), item, a, 0 if eid < 10_000 else None, 0, 0) for eid, item, a in ev_rows],
+        [(eid, T0 + dt.timedelta(seconds=eid), item, a, 0 if eid < 90_000 else None, 0, 0) for eid, item, a in ev_rows],
         "event_id long, ts timestamp, item long, annotator int, sent int, tox int, sta int")
     got = {r.annotator: r.next_item for r in A.next_unannotated(corpus, A.latest_labels(ev), ev).collect()}
     for a in range(40):
-        cur = [i for e, i, b in ev_rows if b == a and e >= 10_000][0]
+        cur = [i for e, i, b in ev_rows if b == a and 10_000 <= e < 90_000][0]
         free = [i for i in corpus_items if i not in labeled[a]]
         after = [i for i in free if i > cur]
         expect = after[0] if after else (free[0] if free else -1)
         assert got[a] == expect, (a, cur, sorted(labeled[a])[:5])
+
+
+def test_rejected_submission_and_foreign_labels(spark):
+    """A rejected submission does not move the cursor; labels of items outside the corpus are no progress."""
+    ev = spark.createDataFrame([(1, T0, 1, 0, 0, 0, 0), (2, T0 + dt.timedelta(seconds=1), 5, 0, None, 0, 0)],
+                               "event_id long, ts timestamp, item long, annotator int, sent int, tox int, sta int")
+    corpus = spark.createDataFrame([(i,) for i in range(1, 8)], "item long")
+    assert A.next_unannotated(corpus, A.latest_labels(ev), ev).first().next_item == 2
+    labels = spark.createDataFrame([(0, 1), (0, 5)], "annotator int, item long")
+    got = A.annotation_progress(corpus.where("item <= 3"), labels).first()
+    assert (got.done, got.total, got.remaining) == (1, 3, 2)
