@@ -6,10 +6,13 @@ weighs tf * idf.  A pair that is similar enough shares most of its weight, so a
 (document frequency of two or more) hold less than the threshold of its weight and of its number has no partner
 and is done.  The others get ``BANDS * ROWS`` consistent weighted samples, banded.  Classes that meet in a band
 are compared with the band's center by their exact weighted Jaccard similarity (the plain one counts too, which
-a large group of copies would otherwise push under the threshold by its own document frequencies); after each
-round the bands that still hold different components get another center.  Links make components.
+a large group of copies would otherwise push under the threshold by its own document frequencies).  Links make
+components.  After each round the bands that still hold different components get other centers, until every
+member of such a band has been one: no two texts that meet in a band and are not already linked through others
+go uncompared.
 
-No bucket is capped and no group is expanded into all pairs: a bucket costs its members once per round.
+No bucket is capped, and a group of near copies is not expanded into all pairs: its members link to the first
+centers, and a bucket of one component is done.
 Texts of fewer than five words have one shingle of all their words; texts without words are near-duplicates
 only of equal texts.  Nulls are empty texts.  Rows with a null id get a class but never name one unless the
 whole class has no id.  Repeated rows are copies.
@@ -31,7 +34,8 @@ from .common import BLOCK_BYTES, block_count, map_batches, ship_package, text_of
 
 TOKEN = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS, ROUNDS = 32, 3, 3
+BANDS, ROWS = 32, 3
+SMALL_BUCKET = 16            # buckets of so few members are compared whole after the first round
 KEY_BITS = 48
 MAX_PARTS = 4096
 TABLE = 1 << 14              # rows of random variates; a shingle's row is a hash of its key
@@ -223,6 +227,38 @@ def components(links: DataFrame) -> DataFrame:
         roots = new.select("digest", "root")
 
 
+def _meetings(live: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
+    """The members of the buckets that still hold different components, and which of them are centers of round k.
+
+    Round 0 takes the least digest, so that a group of copies has one center in all its buckets; later rounds
+    take others in every bucket, four times as many each round.  Small buckets end at once."""
+    root = F.col("digest").alias("root") if roots is None else F.coalesce("root", "digest").alias("root")
+    named = live if roots is None else live.join(roots, "digest", "left")
+    named = named.select("digest", "weight", "n", "bucket", root)
+    mixed = (named.groupBy("bucket").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("members"),
+                                         F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where("lo <> hi").drop("lo", "hi"))
+    center = F.col("digest") == F.col("first")
+    if k:
+        drawn = F.pmod(F.xxhash64("digest", "bucket", F.lit(k)), F.col("members")) < 4 ** (k - 1)
+        center = center | (F.col("members") <= SMALL_BUCKET) | drawn
+    return materialize(named.join(mixed, "bucket").select("digest", "weight", "n", "bucket", "root",
+                                                          center.alias("center")), "nd_members")
+
+
+def _candidates(member: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): centers with the members of other components, unless their sizes rule out the threshold."""
+    center = member.where("center").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("digest", "root", "weight", "n")])
+
+    def near(c: str):
+        return F.least(c, f"c_{c}") >= (threshold - 1e-5) * F.greatest(c, f"c_{c}")
+
+    return (member.join(center, "bucket")
+            .where((F.col("root") != F.col("c_root")) & (~F.col("center") | (F.col("c_digest") < F.col("digest")))
+                   & (near("n") | near("weight")))
+            .select(F.least("digest", "c_digest").alias("a"), F.greatest("digest", "c_digest").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
                     block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(key, class_id, n_copies) of every row, and the verified links between texts.
@@ -236,27 +272,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     texts = _first_texts(rows, blocks)
     signed = materialize(signatures(texts, document_frequencies(texts, min(max(blocks, 2), MAX_PARTS)), classes.count(),
                                     threshold), "nd_signed")
-    buckets = materialize(signed.select("digest", F.explode("bands").alias("bucket")), "nd_buckets")
+    live = materialize(signed.select("digest", "weight", "n", F.explode("bands").alias("bucket")), "nd_buckets")
     links = signed.sparkSession.createDataFrame([], "a binary, b binary, weighted double, plain double")
-    tried, roots = None, None
-    for k in range(ROUNDS):
-        member = buckets if roots is None else (
-            buckets.join(roots, "digest", "left").select("digest", "bucket", F.coalesce("root", "digest").alias("root")))
-        if roots is None:
-            member = member.withColumn("root", F.col("digest"))
-        order = F.col("digest") if k == 0 else F.xxhash64("digest", F.lit(k))
-        centers = member.groupBy("bucket").agg(F.min_by(F.struct("digest", "root"), order).alias("c"), F.min("root").alias("lo"),
-                                               F.max("root").alias("hi")).where("lo <> hi")
-        pairs = (member.join(centers, "bucket").where(F.col("c.root") != F.col("root"))
-                 .select(F.least("digest", "c.digest").alias("a"), F.greatest("digest", "c.digest").alias("b")).distinct())
+    tried, roots, k = None, None, 0
+    while True:
+        member = _meetings(live, roots, k)
+        if member.isEmpty():
+            break
+        live = member.where(~F.col("center")).select("digest", "weight", "n", "bucket")
+        pairs = _candidates(member, threshold)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "nd_pairs")
+        k += 1
         if pairs.isEmpty():
-            break
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialize(_verified(pairs, signed, threshold), "nd_found")
-        if k and found.isEmpty():
+        if found.isEmpty():
             continue
         links = links.unionByName(found)
         roots = components(links)
