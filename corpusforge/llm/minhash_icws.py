@@ -7,12 +7,11 @@ weighs tf * idf.  A pair that is similar enough shares most of its weight, so a
 and is done.  The others get ``BANDS * ROWS`` consistent weighted samples, banded.  Classes that meet in a band
 are compared with the band's center by their exact weighted Jaccard similarity (the plain one counts too, which
 a large group of copies would otherwise push under the threshold by its own document frequencies).  Links make
-components.  After each round the bands that still hold different components get other centers, until every
-member of such a band has been one: no two texts that meet in a band and are not already linked through others
-go uncompared.
+components.  After each round the bands that still hold different components get other centers, twice as many
+as before; bands of few members are compared whole.  The rounds end when no band holds different components or
+when a round finds no link at all, so a band full of texts below the threshold is not expanded into all pairs.
 
-No bucket is capped, and a group of near copies is not expanded into all pairs: its members link to the first
-centers, and a bucket of one component is done.
+No bucket is capped: its members link to the first centers, and a bucket of one component is done.
 Texts of fewer than five words have one shingle of all their words; texts without words are near-duplicates
 only of equal texts.  Nulls are empty texts.  Rows with a null id get a class but never name one unless the
 whole class has no id.  Repeated rows are copies.
@@ -35,6 +34,7 @@ from .common import BLOCK_BYTES, block_count, map_batches, ship_package, text_of
 TOKEN = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 3
+MIN_ROUNDS = 3               # from then on a round without a link is the last one
 SMALL_BUCKET = 16            # buckets of so few members are compared whole after the first round
 KEY_BITS = 48
 MAX_PARTS = 4096
@@ -231,7 +231,7 @@ def _meetings(live: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
     """The members of the buckets that still hold different components, and which of them are centers of round k.
 
     Round 0 takes the least digest, so that a group of copies has one center in all its buckets; later rounds
-    take others in every bucket, four times as many each round.  Small buckets end at once."""
+    take others in every bucket, twice as many each round.  Small buckets end at once."""
     root = F.col("digest").alias("root") if roots is None else F.coalesce("root", "digest").alias("root")
     named = live if roots is None else live.join(roots, "digest", "left")
     named = named.select("digest", "weight", "n", "bucket", root)
@@ -240,7 +240,7 @@ def _meetings(live: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
              .where("lo <> hi").drop("lo", "hi"))
     center = F.col("digest") == F.col("first")
     if k:
-        drawn = F.pmod(F.xxhash64("digest", "bucket", F.lit(k)), F.col("members")) < 4 ** (k - 1)
+        drawn = F.pmod(F.xxhash64("digest", "bucket", F.lit(k)), F.col("members")) < 2 ** (k - 1)
         center = center | (F.col("members") <= SMALL_BUCKET) | drawn
     return materialize(named.join(mixed, "bucket").select("digest", "weight", "n", "bucket", "root",
                                                           center.alias("center")), "nd_members")
@@ -290,6 +290,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialize(_verified(pairs, signed, threshold), "nd_found")
         if found.isEmpty():
+            if k > MIN_ROUNDS:
+                break
             continue
         links = links.unionByName(found)
         roots = components(links)
