@@ -123,7 +123,6 @@ MIX_RATIO = 0.05
 VIDEOS_PER_CHANNEL = 50
 ROWS_PER_VIDEO = 200
 PAGE_SIZE = 100
-INLINE_REPLIES = 5
 TOTAL_TARGET = 5000
 POSTS_PER_ACCOUNT = 300
 MILESTONE = 100

@@ -66,11 +66,11 @@ def keep_first_per_key(ruled: DataFrame, order_col: str = "ord") -> DataFrame:
     Dropped rows share the null key (one group, collapsed by the partial
     aggregation) and are removed *after* the aggregate: a filter on the
     rule verdict before it would be pushed into the scan and re-run the
-    whole regex chain there.
+    whole regex chain there.  Rows without an order come last.
     """
     cols = [c for c in ruled.columns if c != KEY]
     firsts = (ruled.groupBy(KEY)
-              .agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_row")))
+              .agg(F.min_by(F.struct(*cols), F.struct(F.col(order_col).isNull(), F.col(order_col))).alias("_row")))
     return firsts.where(F.col(f"_row.{REASON}").isNull()).select("_row.*").drop(REASON)
 
 

@@ -53,19 +53,18 @@ def enabled_sources(channels: DataFrame, videos: DataFrame) -> DataFrame:
 
 # --- threads and comment rows ------------------------------------------------
 
-def thread_rows(comments: DataFrame, collect_replies: bool = True,
-                inline_replies: int = K.INLINE_REPLIES) -> DataFrame:
+def thread_rows(comments: DataFrame, collect_replies: bool = True) -> DataFrame:
     """Per thread: its relevance inputs and the number of rows fetching it yields.
 
-    A thread yields its top-level comment plus the replies embedded inline
-    in the payload (at most ``inline_replies``) when replies are collected.
+    A thread yields its top-level comment plus all its replies when replies
+    are collected.
     """
     per_thread = comments.groupBy("video_id", "thread_id").agg(
         F.count(F.when(F.col("turn") > 0, 1)).cast("bigint").alias("reply_count"),
         F.max(F.when(F.col("turn") == 0, F.col("like_count"))).alias("top_likes"),
     )
-    inline = F.least(F.col("reply_count"), F.lit(inline_replies)) if collect_replies else F.lit(0)
-    return per_thread.withColumn("n_rows", (F.lit(1) + inline).cast("bigint"))
+    replies = F.col("reply_count") if collect_replies else F.lit(0)
+    return per_thread.withColumn("n_rows", (F.lit(1) + replies).cast("bigint"))
 
 
 def paged_soft_cap(threads: DataFrame, cap: int = K.ROWS_PER_VIDEO, page: int = K.PAGE_SIZE,
@@ -102,12 +101,9 @@ def paged_soft_cap(threads: DataFrame, cap: int = K.ROWS_PER_VIDEO, page: int =
 
 
 def fetched_comment_rows(comments: DataFrame, fetched_threads: DataFrame,
-                         collect_replies: bool = True, inline_replies: int = K.INLINE_REPLIES) -> DataFrame:
-    """Comment rows of fetched threads: the top comment and its inline replies."""
-    keep_turn = (F.col("turn") == 0)
-    if collect_replies:
-        keep_turn = keep_turn | (F.col("turn").between(1, inline_replies))
-    return (comments.where(keep_turn)
+                         collect_replies: bool = True) -> DataFrame:
+    """Comment rows of fetched threads: the top comment and, if collected, its replies."""
+    return ((comments if collect_replies else comments.where("turn = 0"))
             .join(fetched_threads.select("video_id", "thread_id", "reply_count"),
                   ["video_id", "thread_id"])
             .withColumn("reply_count", F.when(F.col("turn") == 0, F.col("reply_count"))
@@ -164,7 +160,9 @@ def reply_to_parent(comments: DataFrame) -> DataFrame:
     """Every reply joined to its parent comment (self equi-join)."""
     r = comments.where(F.col("parent_id").isNotNull()).select(
         F.col("comment_id").alias("reply_id"), "parent_id", F.col("text").alias("reply_text"))
-    p = comments.select(F.col("comment_id").alias("parent_id"), F.col("text").alias("parent_text"),
+    # replies are never parents
+    p = comments.where(F.col("parent_id").isNull()).select(
+        F.col("comment_id").alias("parent_id"), F.col("text").alias("parent_text"),
                         F.col("author").alias("parent_author"))
     return r.join(p, "parent_id")
 
@@ -172,7 +170,7 @@ def reply_to_parent(comments: DataFrame) -> DataFrame:
 def collect_comment_rows(videos: DataFrame, comments: DataFrame, channels: DataFrame,
                          videos_per_channel: int = K.VIDEOS_PER_CHANNEL, rows_per_video: int = K.ROWS_PER_VIDEO,
                          page: int = K.PAGE_SIZE, target: int = K.TOTAL_TARGET, collect_replies: bool = True,
-                         inline_replies: int = K.INLINE_REPLIES, block: K.ScriptBlock = K.TELUGU):
+                         block: K.ScriptBlock = K.TELUGU):
     """Listing cut (W1) -> paged soft cap (W3) -> soft budget (W4) -> rows + score.
 
     Returns ``(processed videos with rows_before, collected comment rows)``.
@@ -181,7 +179,7 @@ def collect_comment_rows(videos: DataFrame, comments: DataFrame, channels: DataF
     """
     listed = recent_videos_per_channel(videos, videos_per_channel)
     own = comments.join(listed.select("video_id"), "video_id", "left_semi")
-    fetched = materialize(paged_soft_cap(thread_rows(own, collect_replies, inline_replies),
+    fetched = materialize(paged_soft_cap(thread_rows(own, collect_replies),
                                          rows_per_video, page), "fetched_threads")
     per_video = fetched.groupBy("video_id").agg(F.sum("n_rows").cast("bigint").alias("n"))
     pv = (listed.join(per_video, "video_id", "left")
@@ -189,7 +187,7 @@ def collect_comment_rows(videos: DataFrame, comments: DataFrame, channels: DataF
                   F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows")))
     done = budget_soft(pv, target, ("channel_idx", "video_rank", "video_id"))
     threads = fetched.join(done.select("video_id"), "video_id", "left_semi")
-    rows = fetched_comment_rows(comments, threads, collect_replies, inline_replies)
+    rows = fetched_comment_rows(comments, threads, collect_replies)
     return done, enrich_comments(rows, videos, channels, block)
 
 
@@ -209,7 +207,7 @@ def dedup_posts(posts: DataFrame, order_col: str = "ord", min_chars: int = K.MIN
     cols = posts.columns
     ok = posts.where(min_text_length(F.col("text"), min_chars))
     firsts = ok.groupBy("username", "post_id").agg(
-        F.min_by(F.struct(*cols), F.col(order_col)).alias("_row"))
+        F.min_by(F.struct(*cols), F.struct(F.col(order_col).isNull(), F.col(order_col))).alias("_row"))
     return firsts.select("_row.*")
 
 

@@ -176,7 +176,7 @@ def build() -> dict[str, str]:
         "rc AS (SELECT thread_id, count(*) FILTER (WHERE turn > 0) AS total FROM comments_fx GROUP BY thread_id)",
         f"SELECT c.comment_id, c.parent_id, CAST(c.video_id AS VARCHAR) AS video_id, c.text, c.author, "
         f"c.like_count, c.published_at, CAST(CASE WHEN c.turn = 0 THEN rc.total ELSE 0 END AS BIGINT) AS reply_count "
-        f"FROM comments_fx c JOIN rc USING (thread_id) WHERE c.turn <= {P.INLINE_REPLIES}", "comments_fx")
+        "FROM comments_fx c JOIN rc USING (thread_id)", "comments_fx")
     art = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
     o["extract_posts"] = f"""
     WITH a AS (SELECT page_id, url, html, {art} AS art FROM pages),
@@ -421,8 +421,7 @@ def build() -> dict[str, str]:
                                         "',', ''), '') AS BIGINT), 0) AS likes_n, is_tenglish, scraped_at "
                                         "FROM cstamped", "posts_fx")
     o["order_by_count"] = _q(posts_ctes, f"SELECT source_account, CAST(count(*) AS BIGINT) AS n FROM cstamped "
-                                         f"GROUP BY source_account ORDER BY n DESC, source_account "
-                                         f"LIMIT {P.TOP_ACCOUNTS}", "posts_fx")
+                                         f"GROUP BY source_account ORDER BY n DESC, source_account", "posts_fx")
     o["next_unannotated"] = _q(LATEST + """,
     cur AS (SELECT annotator, item AS cur FROM (SELECT *, row_number() OVER (PARTITION BY annotator
             ORDER BY ts DESC, event_id DESC) AS rn FROM complete) WHERE rn = 1)""", """
@@ -443,7 +442,7 @@ def build() -> dict[str, str]:
     threads_all = f"""
     th AS (SELECT video_id, thread_id, CAST(count(*) FILTER (WHERE turn > 0) AS BIGINT) AS reply_count,
                   max(CASE WHEN turn = 0 THEN like_count END) AS top_likes FROM {{src}} GROUP BY video_id, thread_id),
-    th2 AS (SELECT *, CAST(1 + least(reply_count, {P.INLINE_REPLIES}) AS BIGINT) AS n_rows,
+    th2 AS (SELECT *, CAST(1 + reply_count AS BIGINT) AS n_rows,
                    row_number() OVER (PARTITION BY video_id ORDER BY top_likes DESC NULLS LAST, thread_id) AS thread_rank
             FROM th),
     -- page recurrence per video, row by row in rank order
@@ -483,8 +482,7 @@ def build() -> dict[str, str]:
            e.channel_name, e.is_tenglish
     FROM enriched e JOIN comments_fx c ON c.comment_id = e.comment_id
     JOIN fetched f ON f.video_id = c.video_id AND f.thread_id = c.thread_id
-    WHERE c.turn <= {P.INLINE_REPLIES}
-      AND c.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})""",
+    WHERE c.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})""",
                                 "videos_fx", "comments_fx", "channels_fx").replace("WITH ", "WITH RECURSIVE ", 1))
 
     o["collection_log"] = (_q(soft + "," + ENRICHED, f"""
@@ -493,8 +491,7 @@ def build() -> dict[str, str]:
            CAST(count(*) FILTER (WHERE e.is_tenglish) AS BIGINT) AS tenglish
     FROM videos_fx v JOIN channels_fx ch USING (channel_idx)
     LEFT JOIN (SELECT e.* FROM enriched e JOIN comments_fx c ON c.comment_id = e.comment_id
-               JOIN fetched f ON f.video_id = c.video_id AND f.thread_id = c.thread_id
-               WHERE c.turn <= {P.INLINE_REPLIES}) e ON e.video_id = v.video_id
+               JOIN fetched f ON f.video_id = c.video_id AND f.thread_id = c.thread_id) e ON e.video_id = v.video_id
     WHERE v.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})
     GROUP BY ch.channel_name, v.video_id, v.video_title""",
                                 "videos_fx", "comments_fx", "channels_fx").replace("WITH ", "WITH RECURSIVE ", 1))
@@ -502,8 +499,7 @@ def build() -> dict[str, str]:
     coll = f"""
     coll AS (SELECT e.* FROM enriched e JOIN comments_fx c ON c.comment_id = e.comment_id
              JOIN fetched f ON f.video_id = c.video_id AND f.thread_id = c.thread_id
-             WHERE c.turn <= {P.INLINE_REPLIES}
-               AND c.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})),
+             WHERE c.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})),
     cpv AS (SELECT ch.channel_name AS channel, v.video_id, CAST(count(e.comment_id) AS BIGINT) AS total_comments,
                    CAST(count(*) FILTER (WHERE e.is_tenglish) AS BIGINT) AS tenglish
             FROM videos_fx v JOIN channels_fx ch USING (channel_idx) LEFT JOIN coll e ON e.video_id = v.video_id

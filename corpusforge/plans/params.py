@@ -11,7 +11,6 @@ a query cheap.
 VIDEOS_PER_CHANNEL = 3
 ROWS_PER_VIDEO = 12
 PAGE_SIZE = 2
-INLINE_REPLIES = 5
 POSTS_PER_ACCOUNT = 20
 TOTAL_TARGET = 300
 MILESTONE = 100
@@ -21,6 +20,5 @@ ANNOTATOR_NAME = "annotator_0"
 SALT = "corpusforge-release-salt"
 SCRAPED_AT = "2024-04-01T00:00:00+00:00"
 EXPORT_DATE = "2024-04-02"
-TOP_ACCOUNTS = 5
 RATE_WINDOW = "1 day"
 RATE_DELAY = "0 seconds"

@@ -82,7 +82,7 @@ def collected_comments(spark, sf):
     """(processed videos, collected and scored comment rows)."""
     return L.collect_comment_rows(_t(spark, sf, "videos_fx"), _t(spark, sf, "comments_fx"),
                                   _t(spark, sf, "channels_fx"), P.VIDEOS_PER_CHANNEL, P.ROWS_PER_VIDEO,
-                                  P.PAGE_SIZE, P.TOTAL_TARGET, True, P.INLINE_REPLIES)
+                                  P.PAGE_SIZE, P.TOTAL_TARGET, True)
 
 
 # --- 2.1 sources and sinks ------------------------------------------------------
@@ -103,7 +103,7 @@ def flatten_video_listing(spark, sf):
 
 @q("flatten_threads")
 def flatten_threads(spark, sf):
-    pages = PL.build_thread_pages(_t(spark, sf, "comments_fx"), P.INLINE_REPLIES)
+    pages = PL.build_thread_pages(_t(spark, sf, "comments_fx"))
     text = PL.payload_text(pages)                          # responses as JSON text
     return PL.flatten_threads(PL.parse_payload(text, "payload", PL.THREAD_PAGE), collect_replies=True)
 
@@ -485,7 +485,7 @@ def cap_posts_per_account(spark, sf):
 
 @q("paged_soft_cap")
 def paged_soft_cap(spark, sf):
-    threads = L.thread_rows(_t(spark, sf, "comments_fx"), True, P.INLINE_REPLIES)
+    threads = L.thread_rows(_t(spark, sf, "comments_fx"), True)
     kept = L.paged_soft_cap(threads, P.ROWS_PER_VIDEO, P.PAGE_SIZE)
     return kept.select("video_id", "thread_id", F.col("thread_rank").cast("bigint").alias("thread_rank"),
                        "n_rows")
@@ -516,7 +516,7 @@ def milestone_reached(spark, sf):
 
 @q("order_by_count")
 def order_by_count(spark, sf):
-    return S.posts_per_account(stamped_posts(spark, sf, collected_posts(spark, sf))).limit(P.TOP_ACCOUNTS)
+    return S.posts_per_account(stamped_posts(spark, sf, collected_posts(spark, sf)))
 
 
 @q("collect_posts")

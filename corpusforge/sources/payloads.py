@@ -104,24 +104,28 @@ def _comment(prefix: str = "") -> F.Column:
                              F.col(f"{prefix}published_at").alias("publishedAt")).alias("snippet"))
 
 
-def build_thread_pages(comments: DataFrame, inline_replies: int = K.INLINE_REPLIES,
-                       page: int = K.PAGE_SIZE) -> DataFrame:
-    """Thread payload pages: top comment + at most ``inline_replies`` embedded replies per thread.
+def build_thread_pages(comments: DataFrame, replies_per_item: int = K.PAGE_SIZE, page: int = K.PAGE_SIZE) -> DataFrame:
+    """Thread payload pages that hold every comment once.
 
-    ``totalReplyCount`` carries the full reply count (an aggregate), while
-    the embedded array is bounded, as in the API; pages hold at most
-    ``page`` threads (grouped by thread id range).
+    An item carries a thread's top comment and at most ``replies_per_item``
+    replies; further replies follow in continuation items, whose top comment
+    is only named by its id.  So no array grows with a thread, and a page
+    holds at most ``page`` items (grouped by thread id range).
     """
-    per_thread = comments.groupBy("video_id", "thread_id").agg(
-        F.count(F.when(F.col("turn") > 0, 1)).cast("bigint").alias("total"),
+    part = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / replies_per_item)).otherwise(F.lit(0))
+    per_item = (comments.withColumn("_part", part).groupBy("video_id", "thread_id", "_part").agg(
+        F.max(F.coalesce("parent_id", "comment_id")).alias("top_id"),
         F.max_by(_comment(), F.when(F.col("turn") == 0, F.lit(1))).alias("top"),
-        F.sort_array(F.collect_list(F.when(F.col("turn").between(1, inline_replies),
-                                           F.struct(F.col("turn"), _comment().alias("c"))))).alias("_r"))
+        F.sort_array(F.collect_list(F.when(F.col("turn") > 0,
+                                           F.struct(F.col("turn"), _comment().alias("c"))))).alias("_r")))
+    totals = comments.groupBy("thread_id").agg(F.count(F.when(F.col("turn") > 0, 1)).cast("bigint").alias("total"))
+    top = F.struct(F.coalesce("top.id", "top_id").alias("id"), F.col("top.snippet").alias("snippet"))
     item = F.struct(
-        F.struct(F.col("video_id").cast("string").alias("videoId"), F.col("top").alias("topLevelComment"),
+        F.struct(F.col("video_id").cast("string").alias("videoId"), top.alias("topLevelComment"),
                  F.col("total").alias("totalReplyCount")).alias("snippet"),
         F.struct(F.transform("_r", lambda x: x["c"]).alias("comments")).alias("replies"))
-    return (per_thread.groupBy("video_id", F.floor(F.col("thread_id") / page).alias("_page"))
+    return (per_item.join(totals, "thread_id")
+            .groupBy("video_id", F.floor(F.col("thread_id") / page).alias("_page"), "_part")
             .agg(F.collect_list(item).alias("items"))
             .select("items", F.lit(None).cast("string").alias("nextPageToken")))
 
@@ -130,7 +134,8 @@ def flatten_threads(pages: DataFrame, collect_replies: bool = True) -> DataFrame
     """S3: one row per top-level comment (parent null, reply_count = total) plus one per embedded reply.
 
     Replies are emitted only when collected and the thread reports replies;
-    a missing ``replies`` field yields none.
+    a missing ``replies`` field yields none.  A continuation item, whose top
+    comment has no snippet, emits its replies only.
     """
     items = pages.select(F.explode("items").alias("it"))
     top = F.col("it.snippet.topLevelComment")
@@ -145,7 +150,7 @@ def flatten_threads(pages: DataFrame, collect_replies: bool = True) -> DataFrame
                         c["snippet"]["publishedAt"].alias("published_at"),
                         rc.cast("bigint").alias("reply_count"))
 
-    top_row = F.array(row(top, F.lit(None).cast("string"), total))
+    top_row = F.filter(F.array(row(top, F.lit(None).cast("string"), total)), lambda _: top["snippet"].isNotNull())
     replies = F.coalesce(F.col("it.replies.comments"), F.array().cast(T_.ArrayType(COMMENT)))
     reply_rows = F.transform(replies, lambda r: row(r, top["id"], F.lit(0)))
     if collect_replies:

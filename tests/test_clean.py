@@ -56,3 +56,11 @@ def test_all_dropped_keeps_schema(spark):
     df = spark.createDataFrame([(1, "👍", 1)], "comment_id long, text string, ord long")
     out = C.clean_corpus(df)
     assert out.count() == 0 and "text_original" in out.columns
+
+
+def test_null_order_keeps_the_row(spark):
+    """A comment without an order survives whole, after those that have one."""
+    rows = spark.createDataFrame([(1, "one good comment here", None), (2, "two good comments here", None),
+                                  (3, "Two good  comments here", 5)], "id int, text string, ord int")
+    got = {(r["id"], r["text"]) for r in C.clean_corpus(rows).collect()}
+    assert got == {(1, "one good comment here"), (3, "Two good  comments here")}

@@ -94,3 +94,17 @@ def test_report_text_sink(spark):
     IO.write_report_text(C.cleaning_report(df), path + "/r")
     lines = spark.read.text(path + "/r").collect()
     assert any(r.value == "original_count: 2.0" for r in lines)
+
+
+def test_long_thread_is_split_over_payload_items(spark):
+    """Every reply of a long thread comes back once, no item holds more than the bound."""
+    rows = [("t", None, 1, 7, 0, "top", "a", 3, "2024-01-01")]
+    rows += [(f"r{i}", "t", 1, 7, i, f"reply {i}", "b", 0, "2024-01-02") for i in range(1, 8)]
+    comments = spark.createDataFrame(rows, "comment_id string, parent_id string, video_id long, thread_id long, turn int, "
+                                           "text string, author string, like_count long, published_at string")
+    pages = PL.parse_payload(PL.payload_text(PL.build_thread_pages(comments, replies_per_item=3)),
+                                   "payload", PL.THREAD_PAGE)
+    assert pages.selectExpr("max(aggregate(items, 0, (m, x) -> greatest(m, size(x.replies.comments))))").first()[0] == 3
+    got = {r["comment_id"]: (r["parent_id"], r["text"], r["reply_count"]) for r in PL.flatten_threads(pages).collect()}
+    assert PL.flatten_threads(pages).count() == 8
+    assert got == {"t": (None, "top", 7)} | {f"r{i}": ("t", f"reply {i}", 0) for i in range(1, 8)}
