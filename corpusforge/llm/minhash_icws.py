@@ -7,11 +7,14 @@ weighs tf * idf.  A pair that is similar enough shares most of its weight, so a
 and is done.  The others get ``BANDS * ROWS`` consistent weighted samples, banded.  Classes that meet in a band
 are compared with the band's center by their exact weighted Jaccard similarity (the plain one counts too, which
 a large group of copies would otherwise push under the threshold by its own document frequencies).  Links make
-components.  After each round the bands that still hold different components get other centers, twice as many
-as before; bands of few members are compared whole.  The rounds end when no band holds different components or
-when a round finds no link at all, so a band full of texts below the threshold is not expanded into all pairs.
-
-No bucket is capped: its members link to the first centers, and a bucket of one component is done.
+components.  After each of the first rounds the bands that still hold different components get other centers,
+twice as many as before; bands of few members are compared whole.  The last round takes every band that still holds
+different components: its members outside the band's largest component meet all others.  Of these pairs those go
+on to the exact comparison whose odd sketches (parities of hashed shingles, which can only understate the
+difference of two texts) leave the threshold within reach.
+
+No bucket is capped and no link between texts that share a band is lost: a pair is compared, or lies in one component,
+or its sketches or sizes prove it to be below the threshold.
 Texts of fewer than five words have one shingle of all their words; texts without words are near-duplicates
 only of equal texts.  Nulls are empty texts.  Rows with a null id get a class but never name one unless the
 whole class has no id.  Repeated rows are copies.
@@ -24,7 +27,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -34,11 +37,13 @@ from .common import BLOCK_BYTES, block_count, map_batches, ship_package, text_of
 TOKEN = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 3
-MIN_ROUNDS = 3               # from then on a round without a link is the last one
+CENTER_ROUNDS = 3            # rounds that compare with few centers, before the one that compares the rest
 SMALL_BUCKET = 16            # buckets of so few members are compared whole after the first round
 KEY_BITS = 48
 MAX_PARTS = 4096
 TABLE = 1 << 14              # rows of random variates; a shingle's row is a hash of its key
+SKETCH_WORDS = 8             # 64-bit words of an odd sketch
+LEVELS = (1.0, 4.0, 7.0)     # a sketch for the keys whose idf reaches each; every idf is 1 or more
 
 
 class WordHashes(dict):
@@ -104,6 +109,39 @@ def icws_bands(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def odd_sketches(keys: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """For each level the parities of the numbers of keys in each of 64 * SKETCH_WORDS bins."""
+    size = 64 * SKETCH_WORDS
+    at = (mix(keys) >> np.uint64(40)).astype(np.int64) % size
+    odd = [np.bincount(at[idf >= low], minlength=size).astype(np.uint8) & 1 for low in LEVELS]
+    return np.packbits(np.concatenate(odd)).view(np.int64)
+
+
+def within_reach(threshold: float) -> Column:
+    """Whether sizes and sketches leave the plain or the weighted similarity of a row's pair (columns n, weight,
+    sketch and c_n, c_weight, c_sketch) room to reach the threshold.
+
+    A key that only one text has flips one bit, so differing bits are at most as many as such keys.  Each of
+    them weighs its idf or more, which is the sum of the steps between the levels that it reaches."""
+    differ = []
+    for level in range(len(LEVELS)):
+        bits = [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("c_sketch")[i]))
+                for i in range(level * SKETCH_WORDS, (level + 1) * SKETCH_WORDS)]
+        differ.append(sum(bits[1:], bits[0]))
+    steps = np.diff(LEVELS, prepend=0.0).tolist()
+    least = {"n": differ[0], "weight": sum((x * step for x, step in zip(differ[1:], steps[1:])), differ[0] * steps[0])}
+
+    def room(c: str) -> Column:
+        both = F.col(c) + F.col(f"c_{c}")
+        return _near(c, threshold) & (both - least[c] >= (threshold - 1e-5) * (both + least[c]))
+
+    return room("n") | room("weight")
+
+
+def _near(c: str, threshold: float) -> Column:
+    return F.least(c, f"c_{c}") >= (threshold - 1e-5) * F.greatest(c, f"c_{c}")
+
+
 def _first_texts(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, digest, text): each text once per task, so that a hot text is not shuffled by its copies."""
     def run(batches):
@@ -161,11 +199,11 @@ def document_frequencies(texts: DataFrame, parts: int) -> DataFrame:
 
 
 def signatures(texts: DataFrame, frequencies: DataFrame, n_texts: int, threshold: float) -> DataFrame:
-    """(digest, bands, keys, weights, weight, n) of the classes that can have a partner; keys and weights are
-    those of the shared shingles, weight and n count all."""
+    """(digest, bands, sketch, keys, weights, weight, n) of the classes that can have a partner; keys and weights
+    are those of the shared shingles, the rest counts all."""
     def sign(docs, answers):
         if not len(docs):
-            return pd.DataFrame(columns=["digest", "bands", "keys", "weights", "weight", "n"])
+            return pd.DataFrame(columns=["digest", "bands", "sketch", "keys", "weights", "weight", "n"])
         own = list(_texts(docs))
         keys, _ = _block_keys([k for _, k, _ in own])
         answers = answers.sort_values("part")
@@ -180,12 +218,12 @@ def signatures(texts: DataFrame, frequencies: DataFrame, n_texts: int, threshold
             shared = df[at] >= 2
             if shared.sum() < (threshold - 1e-9) * len(k) and w[shared].sum() < (threshold - 1e-9) * w.sum():
                 continue
-            rows.append((digest, icws_bands(k, w).tolist(), pack_sorted(k[shared]),
+            rows.append((digest, icws_bands(k, w).tolist(), odd_sketches(k, idf[at]).tolist(), pack_sorted(k[shared]),
                          w[shared].astype("<f4").tobytes(), float(w.sum()), len(k)))
-        return pd.DataFrame(rows, columns=["digest", "bands", "keys", "weights", "weight", "n"])
+        return pd.DataFrame(rows, columns=["digest", "bands", "sketch", "keys", "weights", "weight", "n"])
 
     return (texts.groupBy("block").cogroup(frequencies.groupBy("block")).applyInPandas(
-        sign, "digest binary, bands array<long>, keys binary, weights binary, weight double, n long"))
+        sign, "digest binary, bands array<long>, sketch array<long>, keys binary, weights binary, weight double, n long"))
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
@@ -227,14 +265,18 @@ def components(links: DataFrame) -> DataFrame:
         roots = new.select("digest", "root")
 
 
+def _named(live: DataFrame, roots: DataFrame | None) -> DataFrame:
+    root = F.col("digest").alias("root") if roots is None else F.coalesce("root", "digest").alias("root")
+    named = live if roots is None else live.join(roots, "digest", "left")
+    return named.select("digest", "weight", "n", "bucket", root)
+
+
 def _meetings(live: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
     """The members of the buckets that still hold different components, and which of them are centers of round k.
 
     Round 0 takes the least digest, so that a group of copies has one center in all its buckets; later rounds
     take others in every bucket, twice as many each round.  Small buckets end at once."""
-    root = F.col("digest").alias("root") if roots is None else F.coalesce("root", "digest").alias("root")
-    named = live if roots is None else live.join(roots, "digest", "left")
-    named = named.select("digest", "weight", "n", "bucket", root)
+    named = _named(live, roots)
     mixed = (named.groupBy("bucket").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("members"),
                                          F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo <> hi").drop("lo", "hi"))
@@ -246,16 +288,26 @@ def _meetings(live: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
                                                           center.alias("center")), "nd_members")
 
 
-def _candidates(member: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): centers with the members of other components, unless their sizes rule out the threshold."""
-    center = member.where("center").select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("digest", "root", "weight", "n")])
+def _rest(live: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """As _meetings, with all members outside a bucket's largest component as centers: of two members of different
+    components one at least is a center."""
+    named = _named(live, roots)
+    largest = (named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("members"))
+               .groupBy("bucket").agg(F.max(F.struct("members", "root"))["root"].alias("largest"),
+                                      F.count(F.lit(1)).alias("roots"))
+               .where("roots > 1").drop("roots"))
+    return materialize(named.join(largest, "bucket").select("digest", "weight", "n", "bucket", "root",
+                                                            (F.col("root") != F.col("largest")).alias("center")), "nd_members")
 
-    def near(c: str):
-        return F.least(c, f"c_{c}") >= (threshold - 1e-5) * F.greatest(c, f"c_{c}")
 
+def _candidates(member: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): centers with the members of other components, unless sizes or sketches rule out the threshold."""
+    member = member.join(signed.select("digest", "sketch"), "digest")
+    center = member.where("center").select(
+        "bucket", *[F.col(c).alias(f"c_{c}") for c in ("digest", "root", "weight", "n", "sketch")])
     return (member.join(center, "bucket")
             .where((F.col("root") != F.col("c_root")) & (~F.col("center") | (F.col("c_digest") < F.col("digest")))
-                   & (near("n") | near("weight")))
+                   & within_reach(threshold))
             .select(F.least("digest", "c_digest").alias("a"), F.greatest("digest", "c_digest").alias("b")).distinct())
 
 
@@ -274,27 +326,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
                                     threshold), "nd_signed")
     live = materialize(signed.select("digest", "weight", "n", F.explode("bands").alias("bucket")), "nd_buckets")
     links = signed.sparkSession.createDataFrame([], "a binary, b binary, weighted double, plain double")
-    tried, roots, k = None, None, 0
-    while True:
-        member = _meetings(live, roots, k)
+    tried, roots = None, None
+    for k in range(CENTER_ROUNDS + 1):
+        member = _meetings(live, roots, k) if k < CENTER_ROUNDS else _rest(live, roots)
         if member.isEmpty():
             break
         live = member.where(~F.col("center")).select("digest", "weight", "n", "bucket")
-        pairs = _candidates(member, threshold)
+        pairs = _candidates(member, signed, threshold)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "nd_pairs")
-        k += 1
-        if pairs.isEmpty():
-            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialize(_verified(pairs, signed, threshold), "nd_found")
-        if found.isEmpty():
-            if k > MIN_ROUNDS:
-                break
-            continue
-        links = links.unionByName(found)
-        roots = components(links)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
     if roots is None:
         return (ids.join(classes, "digest").select(key, F.col("least").alias("class_id"), "n_copies"), links)
     rooted = classes.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables, and their defined edge cases."""
 
+import collections
 import itertools
 import random
 import re
@@ -336,6 +337,48 @@ def test_hot_copies_and_edges(spark, odd, empty):
     assert minhash_icws.near_duplicates(empty)[0].count() == 0
 
 
+def test_odd_sketches_never_overstate_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (3, 50, 400, 5000):
+        keys = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        idf = 1 + rng.random(len(keys)) * 9
+        one, two = rng.random(len(keys)) < 0.9, rng.random(len(keys)) < 0.9
+        x = minhash_icws.odd_sketches(keys[one], idf[one]) ^ minhash_icws.odd_sketches(keys[two], idf[two])
+        bits = np.bitwise_count(x.view(np.uint64)).reshape(len(minhash_icws.LEVELS), -1).sum(axis=1)
+        assert bits[0] <= (one ^ two).sum()
+        assert (bits * np.diff(minhash_icws.LEVELS, prepend=0)).sum() <= idf[one ^ two].sum() + 1e-9
+
+
+def test_buckets_of_many_texts_around_the_threshold_lose_no_link(spark):
+    rng = random.Random(12)
+    base = words(rng, 120, 5000).split()
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for at in rng.sample(range(len(text)), rng.choice([1, 2, 3, 4, 6, 9])):
+            text[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(text)))
+    classes, links = minhash_icws.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["class_id"] for r in classes.collect()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    df = collections.Counter(s for x in sets.values() for s in x)
+    weight = {s: np.log((len(rows) + 1) / (n + 1)) + 1 for s, n in df.items()}
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both, any_ = sets[a] & sets[b], sets[a] | sets[b]
+        if len(both) >= 0.8 * len(any_) or sum(map(weight.get, both)) >= 0.8 * sum(map(weight.get, any_)):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in range(len(rows))}
+    assert len(set(got.values())) > 20          # many texts are below the threshold to all others
+
+
 def test_icws_collision_rate_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 48, 400).astype(np.uint64))
