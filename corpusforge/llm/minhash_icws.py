@@ -37,7 +37,7 @@ from .common import BLOCK_BYTES, block_count, map_batches, ship_package, text_of
 TOKEN = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 3
-CENTER_ROUNDS = 3            # rounds that compare with few centers, before the one that compares the rest
+CENTER_ROUNDS = 2            # rounds that compare with few centers, before the one that compares the rest
 SMALL_BUCKET = 16            # buckets of so few members are compared whole after the first round
 KEY_BITS = 48
 MAX_PARTS = 4096
