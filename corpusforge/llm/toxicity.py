@@ -2,8 +2,8 @@
 
 Every token gets a log-odds score under an informative Dirichlet prior (its background rate), taken
 at the lower end of its confidence interval; a token without evidence of its own takes the score of
-its 4- or 5-letter stem.  All other tokens, and repeats in the same text, score ``-DRIFT``.  A linear-time scan (Ruzzo and Tompa) finds
-every maximal segment of a text.  Karlin-Altschul parameters, fitted on the clean training texts, turn
+its 4- or 5-letter stem.  All other tokens score ``-DRIFT``; a repeat scores like the first occurrence, so a
+passage counts wherever else its words stand.  A linear-time scan (Ruzzo and Tompa) finds every maximal segment of a text.  Karlin-Altschul parameters, fitted on the clean training texts, turn
 a segment's score into an E-value for a text of that length; the sum of ``-ln E`` over the
 significant segments (the sum statistic of extreme values) is calibrated to a probability.
 
@@ -137,14 +137,6 @@ def _evidence(model: ToxicModel):
         if not tokens:
             return 0.0, 0, []
         scores = np.fromiter(map(cache.__getitem__, tokens), float, len(tokens))
-        hits = np.flatnonzero(scores > 0)
-        if not len(hits):
-            return 0.0, 0, []
-        seen: set[str] = set()
-        for i in hits.tolist():      # a token is evidence once: repeats say nothing new
-            if tokens[i] in seen:
-                scores[i] = -DRIFT
-            seen.add(tokens[i])
         found = maximal_segments(scores)
         if not found:
             return 0.0, 0, []

@@ -82,6 +82,18 @@ def test_toxicity_learns_words_and_stems(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_toxic_passage_counts_though_its_words_stood_before():
+    rng = random.Random(7)
+    bad = ["scumbag", "zorgish", "fool", "vermin"]
+    of = toxicity._evidence(toxicity.ToxicModel(dict.fromkeys(bad, 4.0), 2.0, 0.05, -5.0, 1.0))
+    clean = words(rng, 20_000, 5000).split()
+    alone = of(" ".join(clean + bad))
+    assert alone[1] == 1 and alone[2][0][:2] == (20_000, 20_004)
+    for i, w in enumerate(bad):          # once each, far apart, before the passage
+        clean[3000 * (i + 1)] = w
+    assert of(" ".join(clean + bad)) == alone
+
+
 def test_toxicity_edges(odd, empty, labels):
     model = toxicity.fit(odd, labels)
     out = toxicity.score(odd, model, keep=tuple(odd.columns[:3])).collect()
