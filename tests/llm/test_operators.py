@@ -533,6 +533,22 @@ def test_decontamination(spark, odd, empty):
     assert decontam.drop_leaks(odd, bench).count() == odd.count()
 
 
+def test_excerpts_of_long_items_are_found_wherever_they_start(spark):
+    rng = random.Random(21)
+    items = [(i, words(rng, n, 3000)) for i, n in enumerate((128, 200, 300))]
+    docs, want = [(i, words(rng, 200, 3000)) for i in range(60)], set()
+    for item, text in items:
+        own = text.split()
+        for size in (30, 50):
+            for at in range(0, len(own) - size + 1, 5):
+                rest = words(rng, 100, 3000).split()
+                want.add((len(docs), item))
+                docs.append((len(docs), " ".join(rest[:60] + own[at:at + size] + rest[60:])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(frame, bench).collect()} == want
+
+
 # ---- queries against their SQL, and the pipeline -------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
