@@ -275,6 +275,17 @@ def test_html_blocks_and_differencing(spark):
     assert htmldiff.extract(pages.limit(0)).count() == 0
 
 
+def test_html_copies_on_one_host_lose_the_furniture(spark):
+    def page(own):
+        return f"<html><body><div>Plain menu of the host</div><div>{own}</div><div>Plain notice of the host</div></body>"
+
+    rows = [(1, "http://h.com/a", page("Text of one")), (7, "http://h.com/z", page("Text of seven"))]
+    rows += [(i, f"http://h.com/m/{i}", page("Text that five pages share")) for i in range(2, 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmldiff.extract(pages).collect()}
+    assert got == {1: "Text of one", 7: "Text of seven"} | dict.fromkeys(range(2, 7), "Text that five pages share")
+
+
 def test_html_equals_articles_of_the_pages(spark, sf_dir):
     import html
     out = QUERIES["op5_page_differencing"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").collect()
