@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, htmldiff, linededup, lm_ctw, minhash_icws, packing, quality_qda, toxicity, urlfilter
+from . import (decontam, fertility, hard_negatives, htmldiff, interleave, linededup, lm_ctw, minhash_icws, packing, quality_qda, spelling,
+               toxicity, urlfilter)
 from .common import crc_fold, table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -67,5 +68,22 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = interleave.interleave(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_secondary_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, shifted)
+
+
 QUERIES = {f.__name__: f for f in (op1_toxic_segments, op2_context_tree, op3_digest_url_filter, op4_line_runs, op5_page_differencing,
-                                   op6_weighted_minhash, op7_quality_qda, op8_fertility_rules, op9_packing, op10_latent_decontamination)}
+                                   op6_weighted_minhash, op7_quality_qda, op8_fertility_rules, op9_packing, op10_latent_decontamination,
+                                   op11_interleaved_shards, op12_variable_grams, op13_secondary_sort_negatives)}
