@@ -9,6 +9,7 @@ Counts are cast to BIGINT on both sides.
 from __future__ import annotations
 
 from ..functions import consts as K
+from ..sources import payloads as PL
 from . import params as P
 from . import views as V
 
@@ -58,6 +59,17 @@ def pct1(x: str, n: str) -> str:
     return f"round(100.0 * ({x}) / greatest({n}, 1), 1)"
 
 
+def refs(x: str) -> str:
+    """Character references decoded: numeric ones, then the few names, ``&amp;`` last."""
+    parts = f"string_split(regexp_replace({x}, '&#([0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});', chr(2) || '\\1' || chr(3), 'g'), chr(2))"
+    code = "split_part(p, chr(3), 1)"
+    char = f"chr(CASE WHEN {code}[1] IN ('x', 'X') THEN CAST('0x' || {code}[2:] AS INT) ELSE CAST({code} AS INT) END)"
+    out = f"({parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: {char} || split_part(p, chr(3), 2)), ''))"
+    for name, c in PL.REFERENCES.items():
+        out = f"replace({out}, '&{name};', chr({ord(c)}))"
+    return f"replace({out}, '&amp;', '&')"
+
+
 def with_views(body: str, *names: str) -> str:
     ctes = ",\n".join(f"{n} AS ({V.DERIVED_VIEWS[n]})" for n in names)
     return f"WITH {ctes}\n{body}" if names else body
@@ -114,6 +126,7 @@ stamped AS (
          coalesce(substring_index_last, sha256(text)) AS tweet_id,
          username AS source_account, {trim('text')} AS text,
          coalesce(date, '') AS date, coalesce(nullif(likes, ''), '0') AS likes,
+         coalesce(nullif(retweets, ''), '0') AS retweets, coalesce(nullif(replies, ''), '0') AS replies,
          {mixed_posts('text')} AS is_tenglish,
          '{P.SCRAPED_AT}' AS scraped_at
   FROM (SELECT *, split_part(list_last(string_split(href, '/status/')), '?', 1) AS substring_index_last
@@ -126,14 +139,15 @@ dp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY username, post_i
        WHERE rn = 1),
 capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY ord) AS post_rank FROM dp)
            WHERE post_rank <= {P.POSTS_PER_ACCOUNT}),
-acc AS (SELECT account_idx, username, count(*) AS c FROM capped GROUP BY account_idx, username),
-accp AS (SELECT *, coalesce(sum(c) OVER (ORDER BY account_idx, username
+acc AS (SELECT username, count(*) AS c FROM capped GROUP BY username),
+accp AS (SELECT *, coalesce(sum(c) OVER (ORDER BY username
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM acc),
-collected AS (SELECT capped.* FROM capped JOIN accp USING (account_idx, username)
+collected AS (SELECT capped.* FROM capped JOIN accp USING (username)
               WHERE post_rank <= least(c, greatest(0, {P.TOTAL_TARGET} - before)))
 """
 
-# Collected posts stamped: same projection as STAMPED over `collected`.
+# Collected posts, and all known posts, stamped: same projection as STAMPED over `collected` and `dp`.
+KNOWN_STAMPED = STAMPED.replace("stamped AS", "kstamped AS").replace("FROM posts_fx", "FROM dp")
 COLLECTED_STAMPED = STAMPED.replace("stamped AS", "cstamped AS").replace("FROM posts_fx", "FROM collected")
 
 
@@ -177,20 +191,35 @@ def build() -> dict[str, str]:
         f"SELECT c.comment_id, c.parent_id, CAST(c.video_id AS VARCHAR) AS video_id, c.text, c.author, "
         f"c.like_count, c.published_at, CAST(CASE WHEN c.turn = 0 THEN rc.total ELSE 0 END AS BIGINT) AS reply_count "
         "FROM comments_fx c JOIN rc USING (thread_id)", "comments_fx")
-    art = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+    seg = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    attr = lambda tag, name: (f"regexp_extract(regexp_extract(body, '<{tag}[^<>]*>', 0), "
+                              f"'\\s{name}=\"([^\"]*)\"', 1)")
+    stat = lambda mark: f"coalesce(nullif({refs(attr(f'[^<>]*\\sdata-testid=\"{mark}\"', 'aria-label'))}, ''), '0')"
+    line = lambda x: (f"regexp_replace(regexp_replace(regexp_replace({x}, "
+                      f"' ?</?(?:{PL.BLOCKS})(?:[\\s/][^<>]*)?> ?', chr(10), 'gi'), '<[^<>]*>', '', 'g'), ' *\\n[ \\n]*', chr(10), 'g')")
+    hidden = "(?s)<!--.*?(?:-->|$)|<script\\b.*?(?:</script>|$)|<style\\b.*?(?:</style>|$)"
+    flat = "regexp_replace(body, '[ \\t\\r\\n\\f]+', ' ', 'g')"
+    # articles without a marked text element, as all of `pages` are; extract_timeline_posts has the others
     o["extract_posts"] = f"""
-    WITH a AS (SELECT page_id, url, html, {art} AS art FROM pages),
-    b AS (SELECT *, {trim("regexp_extract(art, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS text,
-                 regexp_extract(art, 'href="([^"]*/status/[^"]*)"', 1) AS href,
-                 regexp_extract(url, '^[a-z]+://[^/]+/(?:[^/?#]*/)*([^/?#]*)', 1) AS seg FROM a)
-    SELECT page_id,
-           coalesce(CASE WHEN href <> '' THEN split_part(list_last(string_split(href, '/status/')), '?', 1)
-                         ELSE nullif(seg, '') END, sha256(text)) AS post_id,
-           text, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang,
-           regexp_extract(art, '<time[^>]*datetime="([^"]*)"', 1) AS date,
-           coalesce(nullif(regexp_extract(art, 'data-testid="like"[^>]*aria-label="([^"]*)"', 1), ''), '0') AS likes,
-           CAST(len(regexp_extract_all(art, '<p[ >]')) AS BIGINT) AS n_paragraphs
-    FROM b WHERE text <> ''"""
+    WITH s AS (SELECT page_id, url, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang,
+                      string_split(regexp_replace(html, '<article([\\s>])', chr(1) || '\\1', 'gi'), chr(1))[2:] AS arts FROM pages),
+    a AS (SELECT page_id, url, lang, len(arts) AS n, unnest(range(1, len(arts) + 1)) AS position, unnest(arts) AS art FROM s),
+    b AS (SELECT *, regexp_replace(string_split(substr(art, strpos(art, '>') + 1), '</article')[1], '{hidden}', '', 'g') AS body, {seg} AS path FROM a),
+    c AS (SELECT *, {trim(refs(line(flat)))} AS text,
+                 {refs("nullif(regexp_extract(body, 'href=\"([^\"]*/status/[^\"]*)\"', 1), '')")} AS href FROM b)
+    SELECT page_id, CAST(position AS INT) AS position,
+           coalesce(split_part(list_last(string_split(href, '/status/')), '?', 1),
+                    CASE WHEN n = 1 THEN nullif(list_last(string_split(path, '/')), '') END, sha256(text)) AS post_id,
+           coalesce(nullif(split_part(path, '/', 2), ''), regexp_extract(url, '://([^/?#]*)', 1)) AS username, href, text, lang,
+           {refs(attr('time\\b', 'datetime'))} AS date, {stat('like')} AS likes, {stat('retweet')} AS retweets, {stat('reply')} AS replies,
+           CAST(len(regexp_extract_all(body, '<p[ >]')) AS BIGINT) AS n_paragraphs
+    FROM c WHERE text <> ''"""
+    # what the pages were built from, not their markup
+    o["extract_timeline_posts"] = with_views(f"""
+    SELECT username, CAST(post_id AS VARCHAR) AS post_id, href, {trim('text')} AS text, 'te' AS lang, date,
+           coalesce(nullif(likes, ''), '0') AS likes, coalesce(nullif(retweets, ''), '0') AS retweets,
+           coalesce(nullif(replies, ''), '0') AS replies
+    FROM posts_fx WHERE {trim("coalesce(text, '')")} <> ''""", "posts_fx")
     o["write_corpus"] = _q(RULED, "SELECT * FROM clean", "corpus_fx")
     jt = lambda c: f"coalesce({trim(c, JSWS)}, '') AS {c}"
     o["read_annotation_batch"] = with_views(
@@ -354,13 +383,14 @@ def build() -> dict[str, str]:
                            f"{pct1('tenglish', 'total')} AS pct_tenglish FROM st",
                            "comments_fx", "videos_fx", "channels_fx")
     posts_ctes = COLLECTED_POSTS + "," + COLLECTED_STAMPED
-    o["posts_per_account"] = _q(posts_ctes, "SELECT source_account, CAST(count(*) AS BIGINT) AS n FROM cstamped "
+    known_ctes = COLLECTED_POSTS + "," + KNOWN_STAMPED
+    o["posts_per_account"] = _q(known_ctes, "SELECT source_account, CAST(count(*) AS BIGINT) AS n FROM kstamped "
                                             "GROUP BY source_account", "posts_fx")
-    o["account_mixed_count"] = _q(posts_ctes, f"""
+    o["account_mixed_count"] = _q(known_ctes, f"""
     SELECT source_account, CAST(count(*) AS BIGINT) AS collected,
            CAST(count(*) FILTER (WHERE is_tenglish) AS BIGINT) AS tenglish,
            {pct1('count(*) FILTER (WHERE is_tenglish)', 'count(*)')} AS pct_tenglish
-    FROM cstamped GROUP BY ROLLUP (source_account)""", "posts_fx")
+    FROM kstamped GROUP BY ROLLUP (source_account)""", "posts_fx")
     o["annotation_progress"] = _q(LATEST, """
     SELECT annotator, CAST(count(*) AS BIGINT) AS done, (SELECT CAST(count(*) AS BIGINT) FROM documents) AS total,
            (SELECT CAST(count(*) AS BIGINT) FROM documents) - CAST(count(*) AS BIGINT) AS remaining,
@@ -416,11 +446,12 @@ def build() -> dict[str, str]:
     o["budget_hard"] = _q(COLLECTED_POSTS, "SELECT username, post_id, ord, CAST(post_rank AS BIGINT) AS post_rank "
                                            "FROM collected", "posts_fx")
     o["collect_posts"] = _q(posts_ctes, "SELECT tweet_id, source_account, text, date, likes, "
-                                        "'0' AS retweets, '0' AS replies, "
+                                        "retweets, replies, "
                                         "coalesce(CAST(nullif(replace(regexp_extract(likes, '([0-9][0-9,]*)', 1), "
                                         "',', ''), '') AS BIGINT), 0) AS likes_n, is_tenglish, scraped_at "
                                         "FROM cstamped", "posts_fx")
-    o["order_by_count"] = _q(posts_ctes, f"SELECT source_account, CAST(count(*) AS BIGINT) AS n FROM cstamped "
+    o["collect_posts_from_pages"] = o["collect_posts"]      # the same run, with the posts read back from page text
+    o["order_by_count"] = _q(known_ctes, f"SELECT source_account, CAST(count(*) AS BIGINT) AS n FROM kstamped "
                                          f"GROUP BY source_account ORDER BY n DESC, source_account", "posts_fx")
     o["next_unannotated"] = _q(LATEST + """,
     cur AS (SELECT annotator, item AS cur FROM (SELECT *, row_number() OVER (PARTITION BY annotator

@@ -71,11 +71,22 @@ def stamped_posts(spark, sf, posts=None):
     return L.stamp_posts(posts, F.lit(P.SCRAPED_AT))
 
 
-def collected_posts(spark, sf):
+def collected_posts(spark, sf, posts=None):
     """F5 -> D2 -> W2 -> W5 over the archived posts."""
-    deduped = L.dedup_posts(_t(spark, sf, "posts_fx"))
+    deduped = L.dedup_posts(posts if posts is not None else _t(spark, sf, "posts_fx"))
     capped = L.cap_posts_per_account(deduped, P.POSTS_PER_ACCOUNT)
-    return L.budget_hard(capped, P.TOTAL_TARGET)
+    return L.budget_hard(capped, P.TOTAL_TARGET, ("username",))
+
+
+def known_posts(spark, sf):
+    """Every post of every account once (F5 -> D2), without caps: the input of the account statistics."""
+    return stamped_posts(spark, sf, L.dedup_posts(_t(spark, sf, "posts_fx")))
+
+
+def timeline_posts(spark, sf):
+    """S4 over archived account pages in the collector's markup; ``ord``: page, then place on the page."""
+    posts = PL.extract_posts(PL.build_timeline_pages(_t(spark, sf, "posts_fx")))
+    return posts.withColumn("ord", F.struct("page_id", "position"))
 
 
 def collected_comments(spark, sf):
@@ -113,6 +124,11 @@ def extract_posts(spark, sf):
     return PL.extract_posts(_t(spark, sf, "pages"))
 
 
+@q("extract_timeline_posts")
+def extract_timeline_posts(spark, sf):
+    return timeline_posts(spark, sf).select("username", "post_id", "href", "text", "lang", "date", *PL.STATS)
+
+
 @q("write_corpus")
 def write_corpus(spark, sf):
     path = scratch_path(spark, "clean_corpus")
@@ -409,12 +425,12 @@ def corpus_stats(spark, sf):
 
 @q("posts_per_account")
 def posts_per_account(spark, sf):
-    return S.posts_per_account(stamped_posts(spark, sf, collected_posts(spark, sf)))
+    return S.posts_per_account(known_posts(spark, sf))
 
 
 @q("account_mixed_count")
 def account_mixed_count(spark, sf):
-    return S.account_mixed_count(stamped_posts(spark, sf, collected_posts(spark, sf)))
+    return S.account_mixed_count(known_posts(spark, sf))
 
 
 @q("label_distribution")
@@ -516,7 +532,7 @@ def milestone_reached(spark, sf):
 
 @q("order_by_count")
 def order_by_count(spark, sf):
-    return S.posts_per_account(stamped_posts(spark, sf, collected_posts(spark, sf)))
+    return S.posts_per_account(known_posts(spark, sf))
 
 
 @q("collect_posts")
@@ -525,6 +541,12 @@ def collect_posts(spark, sf):
     return stamped_posts(spark, sf, collected_posts(spark, sf))
 
 
+@q("collect_posts_from_pages")
+def collect_posts_from_pages(spark, sf):
+    """E4 from page text: S4 -> F5 -> D2 -> W2 -> W5, then the raw_tweets schema."""
+    return stamped_posts(spark, sf, collected_posts(spark, sf, timeline_posts(spark, sf)))
+
+
 @q("collect_comments")
 def collect_comments(spark, sf):
     """E2 end to end: listing cut, paged cap, soft budget, enrichment + score."""

@@ -83,14 +83,16 @@ SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS comment_id,
 FROM conversations
 """
 
+# Of 60 documents in a row, the last 20 repeat the post ids of the 20 before (a later crawl of the same posts).
 POSTS_FX = """
-SELECT source AS username, CAST(doc_id % 20 AS INT) AS account_idx, doc_id AS ord,
-  doc_id % 700 AS post_id,
-  concat('https://x.example/', source, '/status/', CAST(doc_id % 700 AS STRING), '?s=20') AS href,
-  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat(CAST(doc_id % 97 AS STRING), ' Likes') END AS likes,
-  concat('2024-03-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'), 'T12:00:00Z') AS date,
+SELECT source AS username, ord, post_id,
+  concat('https://x.example/', source, '/status/', CAST(post_id AS STRING), '?s=20') AS href,
+  CASE WHEN ord % 4 = 0 THEN NULL ELSE concat(CAST(ord % 97 AS STRING), ' Likes') END AS likes,
+  CASE WHEN ord % 3 = 0 THEN NULL ELSE concat('1,', lpad(CAST(ord % 1000 AS STRING), 3, '0'), ' Retweets') END AS retweets,
+  CASE WHEN ord % 5 = 0 THEN '' ELSE concat(CAST(ord % 7 AS STRING), ' replies') END AS replies,
+  concat('2024-03-', lpad(CAST(ord % 28 + 1 AS STRING), 2, '0'), 'T12:00:00Z') AS date,
   text
-FROM documents
+FROM (SELECT source, text, doc_id AS ord, CASE WHEN doc_id % 60 >= 40 THEN doc_id - 20 ELSE doc_id END AS post_id FROM documents) d
 """
 
 LABEL_EVENTS_FX = """

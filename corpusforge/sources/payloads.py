@@ -162,34 +162,132 @@ def flatten_threads(pages: DataFrame, collect_replies: bool = True) -> DataFrame
 
 # --- S4 ----------------------------------------------------------------------
 
-ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
+# Fixed values of the archived markup: what marks a post's text element and its three statistics.
+TEXT_MARK = 'data-testid="tweetText"'
+STATS = {"likes": "like", "retweets": "retweet", "replies": "reply"}
+# Elements that stand on lines of their own, and the character references that are decoded besides numeric ones.
+BLOCKS = ("address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|"
+          "section|table|td|th|tr|ul")
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
 
 
-def extract_posts(pages: DataFrame) -> DataFrame:
-    """Archived page -> post fields; a page whose post has no text is skipped.
+def _after(c: F.Column, mark: str) -> F.Column:
+    """What follows the first ``mark`` (nothing if there is none)."""
+    at = F.instr(c, mark)
+    return F.when(at > 0, F.substring(c, at + len(mark), F.length(c))).otherwise(F.lit(""))
+
+
+def _tag_attribute(markup: F.Column, tag: str, attribute: str) -> F.Column:
+    """An attribute's value in the first start tag that matches ``tag`` ('' if either is missing)."""
+    first = F.regexp_extract(markup, f"<{tag}[^<>]*>", 0)
+    return F.regexp_extract(first, f'\\s{attribute}="([^"]*)"', 1)
+
+
+def decode_references(c: F.Column) -> F.Column:
+    """Character references as characters: numeric ones and the names in ``REFERENCES``; ``&amp;`` last, so nothing is decoded twice."""
+    pieces = F.split(c, "&#(?=[0-9]{1,7};|[xX][0-9a-fA-F]{1,6};)")
+
+    def one(piece: F.Column) -> F.Column:
+        code = F.substring_index(piece, ";", 1)
+        number = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("int")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(char, _after(piece, ";"))).otherwise(F.concat(F.lit("&#"), piece))
+
+    tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), one)
+    text = F.when(F.instr(c, "&#") > 0, F.concat(pieces[0], F.array_join(tail, ""))).otherwise(c)
+    for name, char in REFERENCES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
+def _without_hidden(markup: F.Column) -> F.Column:
+    return F.regexp_replace(markup, r"(?s)<!--.*?(?:-->|$)|<script\b.*?(?:</script>|$)|<style\b.*?(?:</style>|$)", "")
 
-    text = the article heading (trimmed); id = permalink id when the article
-    links a ``/status/`` URL, else the last path segment of the page URL;
-    date = ``<time datetime>`` or ''; stats = aria-label or '0'.
+
+def element_inside(markup: F.Column, mark: str) -> F.Column:
+    """The whole inside of the element whose start tag holds ``mark``, elements of its own name included (null: no such element)."""
+    at = F.instr(markup, mark)
+    name = F.regexp_extract(F.substring_index(F.substring(markup, F.lit(1), at - 1), "<", -1), "^[A-Za-z][A-Za-z0-9]*", 0)
+    pieces = F.split(_after(F.substring(markup, at, F.length(markup)), ">"), F.concat(F.lit("<(?=/?"), name, F.lit("[\\s>])")))
+    # depth after each start or end tag of that name; the element ends where it reaches 0
+    state = F.struct(F.lit(0).alias("i"), F.lit(1).alias("depth"), F.lit(0).alias("end"))
+    last = F.aggregate(pieces, state, lambda a, x: F.struct(
+        (a["i"] + 1).alias("i"),
+        F.when(a["i"] == 0, a["depth"]).when(x.startswith("/"), a["depth"] - 1).otherwise(a["depth"] + 1).alias("depth"),
+        F.when((a["end"] == 0) & (a["i"] > 0) & x.startswith("/") & (a["depth"] == 1), a["i"]).otherwise(a["end"]).alias("end")))
+    inside = F.array_join(F.slice(pieces, F.lit(1), F.when(last["end"] > 0, last["end"]).otherwise(F.size(pieces))), "<")
+    return F.when(at > 0, inside)
+
+
+def post_markup_text(inside: F.Column) -> F.Column:
+    """A post's text element without markup: ``<br>`` a line break, its own white space kept; references still to be decoded."""
+    lines = F.regexp_replace(inside, r"(?i)<br\s*/?>", "\n")
+    return F.regexp_replace(lines, "<[^<>]*>", "")
+
+
+def article_markup_text(body: F.Column) -> F.Column:
+    """An article without markup: one line per block, white space inside a block as one space; references still to be decoded."""
+    flat = F.regexp_replace(body, r"[ \t\r\n\f]+", " ")
+    lines = F.regexp_replace(flat, rf"(?i) ?</?(?:{BLOCKS})(?:[\s/][^<>]*)?> ?", "\n")
+    return F.regexp_replace(F.regexp_replace(lines, "<[^<>]*>", ""), r" *\n[ \n]*", "\n")
+
+
+def extract_posts(pages: DataFrame) -> DataFrame:
+    """Archived page -> one row per post of the page, in page order (``position`` from 1); posts without text are skipped.
+
+    Every ``<article`` starts a post, which goes up to its end tag or the next article.  text = the whole element marked as the
+    post's text, or, in articles without that mark, the whole article; id = permalink id when the article links a ``/status/``
+    URL, else the last path segment of the page's URL if the article is the page's only one, else the digest of the text;
+    account = first path segment of the page's URL (its host if the path is empty); date = ``<time datetime>`` or ''; each of
+    the three statistics = the aria-label of its element or '0'.  Work is linear in the page: it is split once, and every
+    article is parsed on its own piece.
     """
-    art = F.regexp_extract("html", ARTICLE, 1)
-    text = T.unicode_trim(F.regexp_extract(art, r"(?s)<h1[^>]*>(.*?)</h1>", 1))
-    href = F.regexp_extract(art, r"href=\"([^\"]*/status/[^\"]*)\"", 1)
-    seg = F.regexp_extract("url", r"^[a-z]+://[^/]+/(?:[^/?#]*/)*([^/?#]*)", 1)
-    post_id = F.when(href != "", T.permalink_id(href)).otherwise(F.nullif(seg, F.lit("")))
-    date = F.regexp_extract(art, r"<time[^>]*datetime=\"([^\"]*)\"", 1)
-    likes = F.regexp_extract(art, r"data-testid=\"like\"[^>]*aria-label=\"([^\"]*)\"", 1)
+    pieces = F.split("html", r"(?i)<article(?=[\s>])")
+    arts = pages.select("page_id", "url", F.size(pieces).alias("_n"), F.regexp_extract("html", r'<html[^>]*lang="([^"]*)"', 1).alias("lang"),
+                        F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("_p", "_piece"))
+    # One projection a step: what a later step uses several times (body, markup-free text) is computed once per article.
+    body, raw = F.col("_body"), F.col("_raw")
+    marked = F.instr(body, TEXT_MARK) > 0
+    link = F.regexp_extract(body, 'href="([^"]*/status/[^"]*)"', 1)
+    path = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    steps = (arts.withColumn("_body", _without_hidden(F.substring_index(_after(F.col("_piece"), ">"), "</article", 1)))
+             .withColumns({"_inside": F.when(marked, element_inside(body, TEXT_MARK)), "_link": F.nullif(link, F.lit("")), "_path": path})
+             .withColumn("_raw", F.when(F.col("_inside").isNotNull(), post_markup_text(F.col("_inside"))).otherwise(article_markup_text(body)))
+             .withColumns({"_text": T.unicode_trim(decode_references(raw)), "_href": decode_references(F.col("_link"))}))
+    last = F.when(F.col("_n") == 2, F.nullif(F.substring_index("_path", "/", -1), F.lit("")))
+    account = F.coalesce(F.nullif(F.split_part(F.col("_path"), F.lit("/"), F.lit(2)), F.lit("")),
+                         F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     row = F.struct(
-        F.col("page_id"),
-        T.fallback_id(post_id, text).alias("post_id"),
-        text.alias("text"),
-        F.regexp_extract("html", r"<html[^>]*lang=\"([^\"]*)\"", 1).alias("lang"),
-        date.alias("date"),
-        T.default_stat(likes).alias("likes"),
-        F.regexp_count(art, F.lit("<p[ >]")).cast("bigint").alias("n_paragraphs"),
-    )
-    # Emit 0 or 1 rows per page from an array instead of a Filter: a filter
-    # on the extracted text would be pushed below this projection and run
-    # the article regexes a second time.
-    kept = F.filter(F.array(row), lambda r: r["text"] != "")
-    return pages.select(F.inline(kept))
+        F.col("page_id"), (F.col("_p") + 1).alias("position"), F.coalesce(T.permalink_id("_href"), last).alias("post_id"),
+        account.alias("username"), F.col("_href").alias("href"), F.col("_text").alias("text"), F.col("lang"),
+        decode_references(_tag_attribute(body, r"time\b", "datetime")).alias("date"),
+        *[T.default_stat(decode_references(_tag_attribute(body, f'[^<>]*\\sdata-testid="{mark}"', "aria-label"))).alias(name)
+          for name, mark in STATS.items()],
+        F.regexp_count(body, F.lit("<p[ >]")).cast("bigint").alias("n_paragraphs"))
+    # Emit 0 or 1 rows per article from an array instead of a Filter: a filter on the extracted text would be pushed below this
+    # projection and run the article expressions a second time.
+    kept = steps.select(F.inline(F.filter(F.array(row), lambda r: r["text"] != "")))
+    return kept.withColumn("post_id", T.fallback_id("post_id", "text"))
+
+
+def build_timeline_pages(posts: DataFrame, span: int = 1000) -> DataFrame:
+    """Archived account pages in the markup that :func:`extract_posts` reads (one page per account and ``span`` of ``ord``).
+
+    Columns of ``posts``: username, ord, href, text, date, likes, retweets, replies; nulls leave their element out.
+    """
+    def escaped(c: str) -> F.Column:
+        out = F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
+        return F.replace(F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+    parts = [F.concat(F.lit('<a href="'), escaped("href"), F.lit('"><time datetime="'), escaped("date"), F.lit('"></time></a>')),
+             F.concat(F.lit(f'<div lang="te" {TEXT_MARK}><span>'), escaped("text"), F.lit("</span></div>")),
+             *[F.concat(F.lit(f'<div role="button" data-testid="{mark}" aria-label="'), escaped(name), F.lit('"></div>'))
+               for name, mark in STATS.items()]]
+    article = F.concat(F.lit('<article data-testid="tweet"><div>'), *[F.coalesce(p, F.lit("")) for p in parts], F.lit("</div></article>"))
+    page = F.floor(F.col("ord") / span).cast("bigint")
+    grouped = (posts.select("username", "ord", page.alias("page_no"), article.alias("_a"))
+               .groupBy("username", "page_no").agg(F.sort_array(F.collect_list(F.struct("ord", "_a"))).alias("_as")))
+    html = F.concat(F.lit('<!DOCTYPE html><html lang="te"><body><main>'), F.array_join(F.transform("_as", lambda x: x["_a"]), ""),
+                    F.lit("</main></body></html>"))
+    return grouped.select(F.col("page_no").alias("page_id"), F.concat(F.lit("https://x.example/"), "username").alias("url"), html.alias("html"))

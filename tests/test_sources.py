@@ -1,5 +1,6 @@
 """Sources and sinks: CSV sentinels and quoting, payload flattening, page extraction, snapshots."""
 
+import hashlib
 import json
 import os
 
@@ -52,18 +53,61 @@ def test_listing_without_items(spark):
     assert PL.flatten_video_listing(df).count() == 0
 
 
-def test_extract_posts_with_status_and_time(spark):
-    html = ('<html lang="te"><body><article><h1> Post text here </h1><a href="https://x.example/u/status/99?s=1">l</a>'
-            '<time datetime="2024-05-01T10:00:00Z"></time><div data-testid="like" aria-label="12 Likes"></div>'
-            '<p>a</p></article></body></html>')
-    empty = '<html lang="en"><article><h1>  </h1></article></html>'
-    df = spark.createDataFrame([(1, "https://e.com/a/b", html), (2, "https://e.com/c", empty)],
-                               "page_id long, url string, html string")
-    rows = PL.extract_posts(df).collect()
-    assert len(rows) == 1
-    r = rows[0]
-    assert (r.post_id, r.text, r.lang, r.date, r.likes, r.n_paragraphs) == \
-        ("99", "Post text here", "te", "2024-05-01T10:00:00Z", "12 Likes", 1)
+POST_PAGE = """<!DOCTYPE html><html lang="te"><body><nav><p>menu</p></nav>
+<article data-testid="tweet"><a href="https://x.example/u/status/99?s=1&amp;t=2"><time datetime="2024-05-01T10:00:00Z"></time></a>
+<div lang="te" data-testid="tweetText"><span>Fish &amp;amp; <div>nested <div>twice</div></div> chips</span><br>line  2 &#128077;&#x41;&lt;b&gt; </div>
+<div aria-label="12 Likes" data-testid="like"></div><button data-testid="retweet" aria-label="1,204 Retweets"></button>
+<div data-testid="reply" aria-label=""></div>not text</article>
+<article class="x"><!-- <p>hidden</p> --><h1>plain  one</h1><p>two<b>bold</b></p><script>x="<p>no</p>"</script>&#0; &nope; last</article>
+<article data-testid="tweet"><div data-testid="tweetText">  </div><time></article>
+<ARTICLE data-testid="tweet"><a href="/u/status/7"></a><span data-testid="tweetText">unclosed <i>post"""
+
+
+def test_every_article_of_a_page_is_a_post(spark):
+    df = spark.createDataFrame([(1, "https://x.example/account?x=1", POST_PAGE)], "page_id long, url string, html string")
+    rows = PL.extract_posts(df).orderBy("position").collect()
+    assert [r.position for r in rows] == [1, 2, 4]
+    first, plain, last = rows
+    assert (first.post_id, first.href, first.username) == ("99", "https://x.example/u/status/99?s=1&t=2", "account")
+    assert first.text == "Fish &amp; nested twice chips\nline  2 \U0001F44DA<b>"
+    assert (first.date, first.likes, first.retweets, first.replies) == ("2024-05-01T10:00:00Z", "12 Likes", "1,204 Retweets", "0")
+    assert plain.text == "plain one\ntwobold\n&#0; &nope; last" and plain.n_paragraphs == 1
+    assert plain.post_id == hashlib.sha256(plain.text.encode()).hexdigest() and plain.date == ""
+    assert (last.post_id, last.text, last.likes) == ("7", "unclosed post", "0")
+
+
+def test_single_article_takes_its_id_from_the_url(spark):
+    rows = [(1, "https://e.com/a/b.html?q=1", "<html lang='x'><article><h1> Title </h1><p>a</p></article>"), (2, "https://e.com/", "<article>x y</article>"),
+            (3, "https://e.com/c", "<html><article><h1>  </h1></article>"), (4, None, None), (5, "", "<p>no article</p>")]
+    got = {r.page_id: r for r in PL.extract_posts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].post_id, got[1].text, got[1].lang, got[1].username) == ("b.html", "Title\na", "", "a")
+    assert got[2].post_id == hashlib.sha256(b"x y").hexdigest() and got[2].username == "e.com"
+
+
+def test_broken_markup_takes_linear_time(spark):
+    """Unclosed comments, tags, articles and references of a large page."""
+    import time
+    html = "<article><p>a" + "<!-- x " * 40_000 + "</article>" + "<article" * 40_000 + "<article>" + "<a b " * 40_000 + "&#12" * 40_000
+    df = spark.createDataFrame([(1, "https://e.com/a", html)], "page_id long, url string, html string")
+    PL.extract_posts(df.limit(0)).collect()
+    start = time.time()
+    PL.extract_posts(df).collect()
+    assert time.time() - start < 20
+
+
+def test_timeline_pages_give_the_posts_back(spark):
+    """Texts with markup characters and line breaks, missing elements, several pages of an account."""
+    rows = [("a", 5, "https://x.example/a/status/5?s=20", 'x < y & "z"\n\nnext  line', "2024-01-01", "3 Likes", None, ""),
+            ("a", 2500, "https://x.example/a/status/25?s=20", "  later &lt; page ", "2024-01-02", None, "1", "2"),
+            ("b", 6, None, "no link", None, None, None, None), ("b", 7, "https://x.example/b/status/1", None, "d", "1", "1", "1")]
+    posts = spark.createDataFrame(rows, "username string, ord long, href string, text string, date string, likes string, retweets string, replies string")
+    pages = PL.build_timeline_pages(posts)
+    assert pages.count() == 3
+    got = {(r.username, r.text): (r.post_id, r.date, r.likes, r.retweets, r.replies) for r in PL.extract_posts(pages).collect()}
+    assert got == {("a", 'x < y & "z"\n\nnext  line'): ("5", "2024-01-01", "3 Likes", "0", "0"),
+                   ("a", "later &lt; page"): ("25", "2024-01-02", "0", "1", "2"),
+                   ("b", "no link"): (hashlib.sha256(b"no link").hexdigest(), "", "0", "0", "0")}
 
 
 def test_restore_progress_object(spark):
