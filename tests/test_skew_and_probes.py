@@ -82,7 +82,7 @@ def test_survey_probed_figures(spark):
     posts = V.view(spark, SF01, "posts_fx")
     deduped = L.dedup_posts(posts)
     assert deduped.count() == 677 and deduped.select("username").distinct().count() == 20
-    hard = L.budget_hard(L.cap_posts_per_account(deduped, 20), 300)
+    hard = L.budget_hard(L.cap_posts_per_account(deduped, 20), 300, ("username",))
     assert hard.count() == 300 and hard.select("username").distinct().count() == 15
     from corpusforge.operators import agreement as G
     pairs = V.view(spark, SF01, "raters_fx").withColumn("task", F.lit("toxicity"))
