@@ -64,3 +64,47 @@ def test_null_order_keeps_the_row(spark):
                                   (3, "Two good  comments here", 5)], "id int, text string, ord int")
     got = {(r["id"], r["text"]) for r in C.clean_corpus(rows).collect()}
     assert got == {(1, "one good comment here"), (3, "Two good  comments here")}
+
+
+def test_rows_verdicts_and_counts_agree_on_ties(spark):
+    """Null, equal and missing orders, equal ids, whole rows repeated: one row a key, the same one everywhere."""
+    rows = [(1, "one good comment here", None), (2, "One good  comment here", None), (3, "two good comments here", 7),
+            (4, "Two good comments here", 7), (5, "three good comments here", 1), (5, "three good comments here", 1), (5, "Three good comments here", 1),
+            (None, "four good comments here", None), (None, "four good comments here", None), (6, None, 2), (None, "ok", None)]
+    df = spark.createDataFrame(rows, "comment_id long, text string, ord long").repartition(3)
+    for id_col in (None, "comment_id"):
+        kept = C.clean_corpus(df, id_col=id_col).collect()
+        marked = C.per_row_reason(df, id_col=id_col).collect()
+        counts = {r.drop_reason: r.n for r in C.drop_reason_counts(df).collect()}
+        assert len(kept) == 4 and sum(r.drop_reason is None for r in marked) == 4 and len(marked) == len(rows)
+        assert counts == {"empty_or_nan": 1, "emoji_or_symbol_only": 0, "too_short_no_telugu": 1, "exact_duplicate": 5}
+        assert sorted(str(r.comment_id) for r in kept) == sorted(str(r.comment_id) for r in marked if r.drop_reason is None)
+        if id_col:
+            assert sorted(str(r.comment_id) for r in kept) == ["1", "3", "5", "None"]
+    summary = C.cleaning_summary(df).first()
+    assert summary.original == len(rows) == summary.final + sum(counts.values())
+
+
+def test_table_without_texts_counts_every_row_as_empty(spark):
+    df = spark.createDataFrame([(1, 1), (2, 2)], "comment_id long, ord long")
+    assert C.clean_corpus(df).collect() == []
+    assert {r.drop_reason: r.n for r in C.drop_reason_counts(df).collect()}["empty_or_nan"] == 2
+    assert [r.drop_reason for r in C.per_row_reason(df).collect()] == ["empty_or_nan"] * 2
+
+
+def test_empty_table_has_a_report(spark):
+    df = spark.createDataFrame([], "comment_id long, text string, ord long")
+    assert C.cleaning_summary(df).first().asDict() == {"original": 0, "final": 0, "dropped": 0, "pct_dropped": 0.0}
+
+
+def test_no_text_is_a_key_in_any_cleaning_plan(spark):
+    """Exchanges, aggregates and joins go by the two longs of the digest."""
+    import contextlib
+    import io
+    import re
+    for make in (C.clean_corpus, C.per_row_reason, C.drop_reason_counts):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            make(corpus(spark)).explain()
+        keys = re.findall(r"(?:hashpartitioning\(|Aggregate\(keys?=\[|Join \[)([^\])]*)", out.getvalue())
+        assert keys and not any("text" in k or "dedup_key" in k for k in keys), keys
