@@ -87,24 +87,6 @@ def with_rule_columns(df: DataFrame, text_col: str = "text", block: K.ScriptBloc
     return step3.withColumn(KEY, F.when(F.col(REASON).isNull(), T.dedup_key(s)))
 
 
-def keep_first_per_key(ruled: DataFrame, order_col: str = "ord", id_col: str | None = None) -> DataFrame:
-    """Among rule survivors keep the first row (in :func:`total_order`) per normalized key.
-
-    Rows are grouped by the key's digest; ``min_by`` over a struct of the
-    row is a declarative aggregate, so Spark runs a partial aggregation per
-    input partition before the shuffle: a hot key costs one row per
-    partition on the wire, never a whole group.  Dropped rows share the
-    null digest (one group, collapsed by the partial aggregation) and are
-    removed *after* the aggregate: a filter on the rule verdict before it
-    would be pushed into the scan and re-run the whole regex chain there.
-    """
-    cols = [c for c in ruled.columns if c not in (KEY, TIE)]
-    tie = F.col(TIE) if TIE in ruled.columns else row_hash(ruled)
-    digested = ruled.select(*cols, tie, *key_digest(F.col(KEY)))
-    firsts = digested.groupBy(*DIGEST).agg(F.min_by(F.struct(*cols), total_order(order_col, id_col)).alias("_row"))
-    return firsts.where(F.col(f"_row.{REASON}").isNull()).select("_row.*").drop(REASON)
-
-
 def clean_corpus(df: DataFrame, text_col: str = "text", order_col: str = "ord",
                  block: K.ScriptBlock = K.TELUGU, min_words: int = K.MIN_WORDS, id_col: str | None = None) -> DataFrame:
     """The cleaned corpus: survivors, first per key, ``text`` = stripped, ``text_original`` = trimmed.
@@ -115,12 +97,30 @@ def clean_corpus(df: DataFrame, text_col: str = "text", order_col: str = "ord",
     rows only.
     """
     df = df if text_col in df.columns else df.withColumn(text_col, F.lit(None).cast("string"))
-    ruled = with_rule_columns(df.withColumn(TIE, row_hash(df)), text_col, block, min_words).drop(text_col, "text_stripped")
-    kept = keep_first_per_key(ruled, order_col, id_col)
+    kept = first_rows(df, text_col, order_col, block, min_words, id_col).drop(*DIGEST)
     out = kept.withColumn(text_col, T.strip_emoji(F.col("text_original")))
     return out.select(*[c for c in df.columns], "text_original")
 
 
+def first_rows(df: DataFrame, text_col: str = "text", order_col: str = "ord", block: K.ScriptBlock = K.TELUGU,
+               min_words: int = K.MIN_WORDS, id_col: str | None = None) -> DataFrame:
+    """Per key of the rule survivors the first row (in :func:`total_order`), ``text_original`` for its text, and the key's digest.
+
+    Rows are grouped by the key's digest; ``min_by`` over a struct of the
+    row is a declarative aggregate, so Spark runs a partial aggregation per
+    input partition before the shuffle: a hot key costs one row per
+    partition on the wire, never a whole group.  Dropped rows share the
+    null digest (one group, collapsed by the partial aggregation) and are
+    removed *after* the aggregate: a filter on the rule verdict before it
+    would be pushed into the scan and re-run the whole regex chain there.
+    """
+    ruled = with_rule_columns(df.withColumn(TIE, row_hash(df)), text_col, block, min_words)
+    cols = [*[c for c in df.columns if c != text_col], "text_original", REASON]
+    digested = ruled.select(*cols, TIE, *key_digest(F.col(KEY)))
+    firsts = digested.groupBy(*DIGEST).agg(F.min_by(F.struct(*cols), total_order(order_col, id_col)).alias("_row"))
+    return firsts.where(F.col(f"_row.{REASON}").isNull()).select("_row.*", *DIGEST).drop(REASON)
+
+
 def verdicts(df: DataFrame, text_col: str = "text", block: K.ScriptBlock = K.TELUGU, min_words: int = K.MIN_WORDS) -> DataFrame:
     """The narrow table that F4 and the reports work on: every row without its texts, its hash, verdict of rules 1-3, digest of its key."""
     ruled = with_rule_columns(df.withColumn(TIE, row_hash(df)), text_col, block, min_words)

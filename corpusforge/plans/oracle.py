@@ -558,7 +558,7 @@ def build() -> dict[str, str]:
                             "comments_fx", "videos_fx", "channels_fx", "posts_fx")
 
     # ---- streaming (batch answers)
-    o["stream_clean"] = _q(RULED, "SELECT DISTINCT dkey AS dedup_key FROM ruled WHERE reason IS NULL", "corpus_fx")
+    o["stream_clean"] = _q(RULED, "SELECT comment_id, ord, text, text_original FROM clean", "corpus_fx")
     o["stream_label_distribution"] = o["label_distribution"]
     o["stream_rate"] = with_views(f"""
     SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,

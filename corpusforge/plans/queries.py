@@ -606,7 +606,7 @@ def _stream_corpus(spark, sf):
 def stream_clean(spark, sf):
     out, ck = ST.scratch_pair(spark, "stream_clean")
     ST.stream_clean(_stream_corpus(spark, sf), out, ck)
-    return spark.read.parquet(out).select("dedup_key")
+    return spark.read.parquet(out).select("comment_id", "ord", "text", "text_original")
 
 
 def _stream_label_events(spark, sf):

@@ -5,27 +5,31 @@ location under the shared checkpoint folder (restartable after executor or
 driver loss), and can run as ``availableNow`` (drain what is there, stop) or
 on a processing-time trigger.
 
-* T1 cleans arriving comments and drops normalized repeats with keyed state
-  (RocksDB state store, partitioned by key).
+* T1 cleans arriving comments, collapses repeats inside each micro-batch and
+  drops keys seen before with keyed state on digests (RocksDB state store).
 * T2 keeps the latest label per (annotator, item) as a streaming
   aggregation (``max_by`` by (ts, event_id)) in update mode; every batch's
-  changed rows are appended, idempotently per batch id, to a change table.
-  The live distribution is the A7 aggregate over the newest change per key,
-  so a re-label replaces the old one (retraction without a custom operator).
+  changed rows are written, idempotently per batch id, beside a versioned
+  label table.  The live distribution is the A7 aggregate over the newest
+  change per key, so a re-label replaces the old one (retraction without a
+  custom operator).
 * T3 counts labels per day and annotator with a watermark, append mode:
   a day is emitted once the watermark passes its end.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import consts as K
+from ..functions import text as T
 from ..operators import annotate as A
 from ..operators import clean as C
 from ..session import scratch_path
+from ..sources import versions
 
 
 def _run(writer, available_now: bool = True, processing_time: str | None = None):
@@ -60,32 +64,42 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1
 
 def stream_clean(comments: DataFrame, out_path: str, checkpoint: str,
                  block: K.ScriptBlock = K.TELUGU, min_words: int = K.MIN_WORDS,
-                 available_now: bool = True, event_time: str | None = None, delay: str = "7 days"):
+                 available_now: bool = True, event_time: str | None = None, delay: str = "7 days",
+                 order_col: str = "ord", id_col: str | None = None):
     """Rules 1–3 + emoji strip on arriving rows, first arrival per normalized key kept.
 
-    Without ``event_time`` every key ever seen is kept in state (exact
-    batch answer; state grows with distinct keys, partitioned by key).
-    With ``event_time`` the state is bounded by the watermark
-    (``dropDuplicatesWithinWatermark``): repeats further apart than
-    ``delay`` both pass, so the batch D1 stays the reference answer.
+    Of one micro-batch the first row (in the cleaner's total order) of a key
+    stands for all: a grouped aggregation with map-side combine, so a key
+    that a third of the rows share reaches the keyed state once a batch.
+    Those rows are written to a staging folder under the batch's id (a
+    replayed batch replaces its own) and pass a second query, drained
+    before the next batch starts, whose state holds the 128-bit digest of
+    every key seen and no text.  So earlier batches win, and within a batch
+    the earlier row.  Rows carry one text, the trimmed one, until the kept
+    ones are written; staged files are removed once they are processed.
+
+    Without ``event_time`` every digest ever seen is kept in state (exact
+    answer; 16 bytes a key, partitioned by key).  With ``event_time`` the
+    state is bounded by the watermark (``dropDuplicatesWithinWatermark``):
+    repeats further apart than ``delay`` both pass, so the batch D1 stays
+    the reference answer.
     """
-    ruled = C.with_rule_columns(comments, "text", block, min_words)
-    # Deduplicate first, filter after: a filter on the rule verdict placed
-    # before the dedup would be pushed into the file scan and re-run the
-    # regex chain there.  Rows dropped by rules 1-3 get one of 64 salted
-    # keys (NUL + bucket, never a survivor key) so they spread over the
-    # state partitions and hold 64 state entries in total.
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in comments.columns]), F.lit(64)).cast("string")
-    ruled = ruled.withColumn("_skey", F.coalesce(F.col(C.KEY), F.concat(F.lit("\u0000"), salt)))
-    if event_time:
-        deduped = ruled.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_skey"])
-    else:
-        deduped = ruled.dropDuplicates(["_skey"])
-    kept = (deduped.where(F.col(C.REASON).isNull())
-            .withColumn("text", F.col("text_stripped")).drop("text_stripped", C.REASON, "_skey"))
-    w = (kept.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint).outputMode("append"))
-    return _run(w, available_now)
+    staging = f"{checkpoint}/staging"
+
+    def collapse(batch: DataFrame, batch_id: int) -> None:
+        firsts = C.first_rows(batch, "text", order_col, block, min_words, id_col)
+        firsts.write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
+        staged = (batch.sparkSession.readStream.schema(firsts.schema).option("cleanSource", "delete")
+                  .parquet(staging).drop("batch_id"))
+        if event_time:
+            deduped = staged.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(C.DIGEST))
+        else:
+            deduped = staged.dropDuplicates(list(C.DIGEST))
+        kept = deduped.drop(*C.DIGEST).withColumn("text", T.strip_emoji("text_original"))
+        _run(kept.select(*batch.columns, "text_original").writeStream.format("parquet").option("path", out_path)
+             .option("checkpointLocation", f"{checkpoint}/keys").outputMode("append"))
+
+    return _run(comments.writeStream.option("checkpointLocation", f"{checkpoint}/batches").foreachBatch(collapse), available_now)
 
 
 # --- T2 ----------------------------------------------------------------------
@@ -100,21 +114,16 @@ def _newest(df: DataFrame) -> DataFrame:
     return last.select("annotator", "item", "_l.*")
 
 
-def _read_batches(spark: SparkSession, path: str) -> DataFrame | None:
-    """A folder of ``batch_id=<n>`` sub-folders as one table (partition discovery), or None."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def stream_latest_labels(events: DataFrame, changes_path: str, checkpoint: str,
+def stream_latest_labels(events: DataFrame, table_path: str, checkpoint: str,
                          available_now: bool = True, compact_every: int = 20):
-    """T2 state: latest complete label per (annotator, item); changed keys appended per batch.
-
-    Every ``compact_every`` batches the sink also writes a compacted label
-    table (newest per key over the previous compaction plus the changes
-    since), so readers never scan the whole history.
+    """Latest complete label per (annotator, item); changed keys written per batch, compacted now and then.
+
+    Every ``compact_every`` batches the label table up to that batch is
+    published as a new version (see ``sources.versions``): newest per key
+    over the version before and the changes since.  Changes that the
+    version *before* already held are then removed, so a reader that still
+    holds the older pointer finds its files, and there are never more than
+    about ``2 * compact_every`` change folders and two versions.
     """
     latest = (events.where(A.complete_label())
               .groupBy("annotator", "item")
@@ -123,35 +132,38 @@ def stream_latest_labels(events: DataFrame, changes_path: str, checkpoint: str,
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # Overwriting the batch's own folder makes a replayed batch idempotent.
-        # (the batch id lives in the folder name, read back as a partition column)
         (batch.select("annotator", "item", "_l.*")
-         .write.mode("overwrite").parquet(f"{changes_path}/changes/batch_id={batch_id}"))
-        if compact_every and batch_id % compact_every == compact_every - 1:
-            current_labels(spark, changes_path).write.mode("overwrite") \
-                .parquet(f"{changes_path}/compacted/batch_id={batch_id}")
+         .write.mode("overwrite").parquet(f"{table_path}/changes/batch_id={batch_id}"))
+        if not compact_every or batch_id % compact_every != compact_every - 1:
+            return
+        before = versions.read_pointer(spark, f"{table_path}/compacted")
+        if before is None or before["version"] < batch_id:   # else: a replay of a batch whose version is out already
+            versions.publish(current_labels(spark, table_path), f"{table_path}/compacted", batch_id)
+            for n in versions.numbered(spark, f"{table_path}/changes", "batch_id"):
+                if before is not None and n <= before["version"]:
+                    versions.remove(spark, f"{table_path}/changes/batch_id={n}")
 
     w = (latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(sink))
     return _run(w, available_now)
 
 
-def current_labels(spark: SparkSession, changes_path: str) -> DataFrame:
+def current_labels(spark: SparkSession, table_path: str) -> DataFrame:
     """The label table as of the last completed batch: newest change per key.
 
-    Reads the latest compaction (if any) plus the change folders written
-    after it; older history is never scanned.
+    Reads the version that the pointer names and the change folders after
+    it; older history is never scanned.
     """
-    changes = _read_batches(spark, f"{changes_path}/changes")
-    if changes is None:
-        raise ValueError(f"no label batches under {changes_path}")
+    says = versions.read_pointer(spark, f"{table_path}/compacted")
+    upto = -1 if says is None else says["version"]
+    recent = [n for n in versions.numbered(spark, f"{table_path}/changes", "batch_id") if n > upto]
+    parts = [spark.read.parquet(f"{table_path}/changes/batch_id={n}") for n in recent]
+    if says is not None:
+        parts.append(spark.read.parquet(f"{table_path}/compacted/version={upto}"))
+    if not parts:
+        raise ValueError(f"no label batches under {table_path}")
     cols = ["annotator", "item", *LABEL_COLS]
-    compacted = _read_batches(spark, f"{changes_path}/compacted")
-    if compacted is None:
-        return _newest(changes.select(*cols))
-    upto = compacted.agg(F.max("batch_id")).scalar()
-    recent = changes.where(F.col("batch_id") > upto).select(*cols)
-    base = compacted.where(F.col("batch_id") == upto).select(*cols)
-    return _newest(base.unionByName(recent))
+    return _newest(reduce(DataFrame.unionByName, [p.select(*cols) for p in parts]))
 
 
 # --- T3 ----------------------------------------------------------------------
