@@ -26,25 +26,24 @@ from .session import build_session
 from .sources import files as IO
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, landing: str) -> DataFrame:
+    """Rows of a CSV (landed under ``landing`` first) or of a Parquet table, with their order in ``IO.LANDED``."""
     if path.endswith(".csv"):
-        header = spark.read.options(header="true", multiLine="true", escape='"').csv(path).columns
-        return IO.read_corpus_csv(spark, path, header)
-    return spark.read.parquet(path)
+        return IO.corpus_rows(IO.land_csv(spark, path, landing))
+    table = spark.read.parquet(path)
+    return table if IO.LANDED in table.columns else table.withColumn(IO.LANDED, IO.file_order())
 
 
 def cmd_clean(spark: SparkSession, src: str, out: str) -> None:
-    raw = _read(spark, src)
-    if "ord" not in raw.columns:
-        # File order as the "first wins" order: (split, row position) is stable for the
-        # same input files (multi-line CSV files are read whole, one split per file).
-        raw = raw.withColumn("ord", F.monotonically_increasing_id())
-    IO.write_corpus_csv(C.clean_corpus(raw).drop("ord"), f"{out}/clean_csv")
+    """The file order decides which of equal rows comes first, and the clean CSV keeps it."""
+    raw = _read(spark, src, f"{out}/landing")
+    clean = C.clean_corpus(raw, order_col=IO.LANDED).orderBy(IO.LANDED).drop(IO.LANDED)
+    IO.write_corpus_csv(clean, f"{out}/clean_csv")
     IO.write_report_text(C.cleaning_report(raw), f"{out}/cleaning_report")
 
 
 def cmd_card(spark: SparkSession, src: str, out: str) -> None:
-    comments = _read(spark, src)
+    comments = _read(spark, src, f"{out}/landing")
     S.corpus_stats(comments.withColumn("is_tenglish", F.col("is_tenglish").cast("boolean"))
                    .withColumn("has_telugu_script", F.col("has_telugu_script").cast("boolean"))) \
         .write.mode("overwrite").parquet(f"{out}/corpus_stats")
@@ -52,8 +51,8 @@ def cmd_card(spark: SparkSession, src: str, out: str) -> None:
 
 def cmd_export(spark: SparkSession, corpus: str, labels: str, out: str, annotator: int, name: str,
                export_date: str | None = None) -> None:
-    items = _read(spark, corpus)
-    latest = A.latest_labels(_read(spark, labels))
+    items = _read(spark, corpus, f"{out}/corpus_landing").drop(IO.LANDED)
+    latest = A.latest_labels(_read(spark, labels, f"{out}/labels_landing").drop(IO.LANDED))
     IO.write_export_csv(A.export_annotations(items, latest, annotator, name, export_date=export_date),
                         f"{out}/annotated_csv")
 

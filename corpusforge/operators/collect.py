@@ -77,8 +77,8 @@ def paged_soft_cap(threads: DataFrame, cap: int = K.ROWS_PER_VIDEO, page: int =
     """
     rank_cols = rank_cols or (F.col("top_likes").desc(), "thread_id")
     ranked = top_n_per_group(threads, ["video_id"], rank_cols, cap, "thread_rank")
-    per_video = ranked.groupBy("video_id").agg(
-        F.sort_array(F.collect_list(F.struct("thread_rank", "n_rows"))).alias("_t"))
+    fields = ["thread_rank", *[c for c in threads.columns if c != "video_id"]]
+    per_video = ranked.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_t"))
 
     def state(total: Column, left: Column, kept: Column, done: Column) -> Column:
         return F.struct(total.cast("bigint").alias("total"), left.cast("bigint").alias("left"),
@@ -95,9 +95,9 @@ def paged_soft_cap(threads: DataFrame, cap: int = K.ROWS_PER_VIDEO, page: int =
                             acc["kept"] + 1, F.lit(False)))
                 .otherwise(state(acc["total"], F.lit(0), acc["kept"], F.lit(True))))
 
-    kept = per_video.select("video_id", F.aggregate("_t", init, step)["kept"].alias("_kept"))
-    return (ranked.join(kept, "video_id").where(F.col("thread_rank") <= F.col("_kept"))
-            .drop("_kept"))
+    # the fold tells how many threads were fetched; those are the answer, so nothing is joined back
+    fetched = F.slice("_t", F.lit(1), F.aggregate("_t", init, step)["kept"].cast("int"))
+    return per_video.select("video_id", F.inline(fetched)).select(*threads.columns, "thread_rank")
 
 
 def fetched_comment_rows(comments: DataFrame, fetched_threads: DataFrame,
@@ -138,14 +138,15 @@ def enrich_comments(comments: DataFrame, videos: DataFrame, channels: DataFrame,
     if "reply_count" in comments.columns:
         base = comments  # already carries the thread totals (e.g. from a payload)
     else:
-        rc = reply_counts(comments)
-        base = (comments.join(rc, "thread_id", "left")
-                .withColumn("reply_count", F.when(F.col("turn") == 0, F.col("reply_count"))
-                            .otherwise(F.lit(0)).cast("bigint")))
+        # counts meet the ids of top rows; texts are joined once, on the comment id
+        heads = (comments.where(F.col("turn") == 0).select("comment_id", "thread_id").join(reply_counts(comments), "thread_id")
+                 .groupBy("comment_id").agg(F.max("reply_count").alias("_replies")))
+        base = comments.join(heads, "comment_id", "left").withColumn(
+            "reply_count", F.when(F.col("turn") == 0, F.coalesce("_replies", F.lit(0))).otherwise(F.lit(0)).cast("bigint"))
     v = videos.select("video_id", "channel_idx", "video_title",
                       F.col("published_at").alias("video_published_at"))
     joined = base.join(v, "video_id").join(channels, "channel_idx")
-    score = T.code_mix_score(F.col("text"), block)
+    score = T.code_mix_score(F.coalesce("text", F.lit("")), block)     # a missing text has no score: 0 and false
     return joined.select(
         "comment_id", "parent_id", "video_id", "text", "author", "like_count", "published_at",
         "reply_count", "channel_name", "channel_id", "video_title", "video_published_at",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RELEASE_COLUMNS = ("comment_id", "parent_id", "video_id", "channel_name", "channel_id",
@@ -18,9 +19,30 @@ def release_view(enriched: DataFrame, columns: Sequence[str] = RELEASE_COLUMNS)
     return enriched.select(*[c for c in columns if c not in forbidden])
 
 
-def anonymize_author(author: Column, salt: str) -> Column:
-    """R2: salted SHA-256 of the author name (salt from configuration)."""
-    return F.sha2(F.concat(F.lit(salt), F.coalesce(author, F.lit(""))), 256)
+RELEASE_KEY_CONF = "spark.corpusforge.release.key"
+HASH_BLOCK = 64     # bytes of a SHA-256 block
+
+
+def release_key(spark: SparkSession) -> str:
+    """The secret key of a release, from the session's configuration; there is no default."""
+    key = spark.conf.get(RELEASE_KEY_CONF, None)
+    if not key:
+        raise ValueError(f"{RELEASE_KEY_CONF} is not set: names are only released under a secret key of the release's own")
+    return key
+
+
+def anonymize_author(author: Column, key: str) -> Column:
+    """R2: HMAC-SHA-256 of the author name under a secret key (a null name counts as an empty one).
+
+    Two native digests over the padded key.  Without the key, names can't be guessed back from a list of candidates.
+    """
+    if not key:
+        raise ValueError("the key must not be empty")
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > HASH_BLOCK else raw).ljust(HASH_BLOCK, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in raw)) for pad in (0x36, 0x5C))
+    name = F.coalesce(author, F.lit("")).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, name), 256))), 256)
 
 
 def row_digest(cols: Sequence[str]) -> Column:

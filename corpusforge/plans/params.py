@@ -17,7 +17,8 @@ MILESTONE = 100
 ANNOTATOR = 0
 ANNOTATORS = (0, 1)
 ANNOTATOR_NAME = "annotator_0"
-SALT = "corpusforge-release-salt"
+# Key of the registered query over synthetic names. Releases take theirs from the session (operators.release.release_key).
+FIXTURE_KEY = "not a secret"
 SCRAPED_AT = "2024-04-01T00:00:00+00:00"
 EXPORT_DATE = "2024-04-02"
 RATE_WINDOW = "1 day"

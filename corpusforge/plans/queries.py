@@ -102,7 +102,7 @@ def collected_comments(spark, sf):
 def read_corpus(spark, sf):
     path = scratch_path(spark, "corpus_csv")
     IO.write_corpus_csv(corpus(spark, sf).select("comment_id", "text"), path)
-    return IO.read_corpus_csv(spark, path, ["comment_id", "text"])
+    return IO.corpus_rows(IO.land_csv(spark, path, scratch_path(spark, "corpus_landing"))).drop(IO.LANDED)
 
 
 @q("flatten_video_listing")
@@ -141,7 +141,7 @@ def read_annotation_batch(spark, sf):
     cols = ["comment_id", "author", "published_at", "text"]
     path = scratch_path(spark, "annotation_batch")
     IO.write_corpus_csv(_t(spark, sf, "comments_fx").select(*cols), path)
-    return IO.read_annotation_batch(spark, path, cols)
+    return IO.annotation_rows(IO.land_csv(spark, path, scratch_path(spark, "annotation_landing"))).drop(IO.LANDED)
 
 
 @q("export_annotations")
@@ -153,7 +153,7 @@ def export_annotations(spark, sf):
 @q("restore_labels")
 def restore_labels(spark, sf):
     path = scratch_path(spark, "label_snapshot")
-    IO.snapshot_labels(latest(spark, sf), path, P.SCRAPED_AT)
+    IO.snapshot_labels(latest(spark, sf), path, P.SCRAPED_AT, A.cursor(label_events(spark, sf)), items(spark, sf).count())
     return IO.restore_labels(spark, path)
 
 
@@ -637,7 +637,7 @@ def release_view(spark, sf):
 @q("anonymize_author")
 def anonymize_author(spark, sf):
     e = _t(spark, sf, "comments_fx")
-    return e.select("comment_id", R.anonymize_author(F.col("author"), P.SALT).alias("author_hash"))
+    return e.select("comment_id", R.anonymize_author(F.col("author"), P.FIXTURE_KEY).alias("author_hash"))
 
 
 @q("locked_snapshot")

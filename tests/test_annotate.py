@@ -104,3 +104,31 @@ def test_rejected_submission_and_foreign_labels(spark):
     labels = spark.createDataFrame([(0, 1), (0, 5)], "annotator int, item long")
     got = A.annotation_progress(corpus.where("item <= 3"), labels).first()
     assert (got.done, got.total, got.remaining) == (1, 3, 2)
+
+
+def test_kappa_takes_two_aggregates_over_the_pairs(spark):
+    import contextlib
+    import io
+
+    from corpusforge.operators import agreement as G
+    rows = [("t", i % 3, (i * i) % 3) for i in range(50)] + [("one", 1, 1)] * 4 + [("t", None, 1), ("t", 2, None)]
+    pairs = spark.createDataFrame(rows, "task string, a int, b int")
+    got = {r.task: r for r in G.cohens_kappa(pairs).collect()}
+    both = [r[1:] for r in rows if r[0] == "t" and None not in r]
+    n, agree = len(both), sum(a == b for a, b in both)
+    pe = sum(sum(a == k for a, _ in both) * sum(b == k for _, b in both) for k in range(3)) / n ** 2
+    assert (got["t"].n, got["t"].p_o, got["t"].p_e) == (n, round(agree / n, 6), round(pe, 6))
+    assert abs(got["t"].kappa - (agree / n - pe) / (1 - pe)) < 1e-6
+    assert got["one"].kappa is None and not got["one"].meets_target
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        G.cohens_kappa(pairs).explain()
+    assert out.getvalue().count("Exchange hashpartitioning") == 2
+
+
+def test_paired_ratings_need_both_raters(spark):
+    from corpusforge.operators import agreement as G
+    labels = spark.createDataFrame([(0, 1, 0, 1, 2), (1, 1, 0, 2, None), (0, 2, 1, 1, 1), (2, 2, 1, 1, 1)],
+                                   "annotator int, item long, sent int, tox int, sta int")
+    got = sorted((r["item"], r.task, r.a, r.b) for r in G.paired_ratings(labels).collect())
+    assert got == [(1, "sentiment", 0, 0), (1, "toxicity", 1, 2)]

@@ -47,3 +47,19 @@ def test_cli_card(spark):
     cmd_card(spark, f"{base}/comments", f"{base}/out")
     r = spark.read.parquet(f"{base}/out/corpus_stats").first()
     assert (r.total, r.tenglish, r.has_script, r.roman_only, r.pct_tenglish) == (3, 2, 1, 1, 66.7)
+
+
+def test_cli_clean_keeps_file_order_and_columns(spark):
+    """The row of the earlier file wins, the output is in file order, and a column called ``ord`` is data like any other."""
+    base = scratch_path(spark, "t_cli_order")
+    local = base[len("file:"):] if base.startswith("file:") else base
+    os.makedirs(f"{local}/in.csv")
+    with open(f"{local}/in.csv/1.csv", "w", encoding="utf-8") as f:
+        f.write("comment_id,ord,text\n9,10,one good comment\n8,9,two good comments\n")
+    with open(f"{local}/in.csv/2.csv", "w", encoding="utf-8") as f:
+        f.write("comment_id,ord,text\n1,1,One  good comment\n2,2,three good comments\n")
+    cmd_clean(spark, f"{base}/in.csv", f"{base}/out")
+    files = sorted(n for n in os.listdir(f"{local}/out/clean_csv") if n.startswith("part-"))
+    lines = [x for n in files for x in open(f"{local}/out/clean_csv/{n}", encoding="utf-8").read().splitlines() if not x.startswith('"comment_id"')]
+    assert lines == ['"9","10","one good comment","one good comment"', '"8","9","two good comments","two good comments"',
+                     '"2","2","three good comments","three good comments"']

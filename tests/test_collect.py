@@ -84,3 +84,35 @@ def test_recent_videos_top_n(spark):
                                "video_id long, channel_idx int, published_at string")
     got = sorted((r.channel_idx, r.video_id) for r in L.recent_videos_per_channel(df, 2).collect())
     assert got == [(0, 6), (0, 8), (1, 7), (1, 9)]
+
+
+def _plan(df):
+    import contextlib
+    import io
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def test_missing_text_scores_nothing_and_counts_carry_no_text(spark):
+    comments = spark.createDataFrame(
+        [("t", None, 1, 5, 0, None, "a", 1, "2024"), ("r1", "t", 1, 5, 1, "bagundi bro", "b", 1, "2024"), ("r2", "t", 1, 5, 2, None, "b", 1, "2024"),
+         ("t", None, 1, 5, 0, "the same id again", "a", 1, "2024"), (None, None, 1, 6, 0, "no id", "a", 1, "2024")],
+        "comment_id string, parent_id string, video_id long, thread_id long, turn int, text string, author string, like_count long, published_at string")
+    videos = spark.createDataFrame([(1, 0, "v", "2024")], "video_id long, channel_idx int, video_title string, published_at string")
+    channels = spark.createDataFrame([(0, "c", "UC")], "channel_idx int, channel_name string, channel_id string")
+    out = L.enrich_comments(comments, videos, channels)
+    got = sorted((r.comment_id or "", r.reply_count, r.roman_telugu_hits, r.is_tenglish) for r in out.collect() if r.text is None)
+    assert got == [("r2", 0, 0, False), ("t", 2, 0, False)]
+    assert out.count() == 5
+    for line in _plan(out).splitlines():
+        assert not ("Exchange hashpartitioning(thread_id" in line and "text" in line)
+
+
+def test_soft_cap_is_one_window_and_no_join(spark):
+    threads = spark.createDataFrame([(1, i, 3, i % 5, 4) for i in range(30)], "video_id long, thread_id long, reply_count long, top_likes long, n_rows long")
+    kept = L.paged_soft_cap(threads, 10, 2)
+    plan = _plan(kept)
+    assert plan.count("Window [") == 1 and "Join" not in plan
+    assert kept.columns == [*threads.columns, "thread_rank"] and kept.count() == 4     # two pages of two threads: 16 rows, over the cap

@@ -152,3 +152,37 @@ def test_long_thread_is_split_over_payload_items(spark):
     got = {r["comment_id"]: (r["parent_id"], r["text"], r["reply_count"]) for r in PL.flatten_threads(pages).collect()}
     assert PL.flatten_threads(pages).count() == 8
     assert got == {"t": (None, "top", 7)} | {f"r{i}": ("t", f"reply {i}", 0) for i in range(1, 8)}
+
+
+def test_landing_keeps_cells_names_and_file_order(spark):
+    """Two files land in name order, quoted line breaks inside; a data column called ``ord`` passes through untouched."""
+    path, local = local_dir(spark, "t_land_src")
+    with open(f"{local}/a.csv", "w", encoding="utf-8") as f:
+        f.write('comment_id,ord, text \n1,z,"first ""one""\nline"\n2,,NA\n')
+    with open(f"{local}/b.csv", "w", encoding="utf-8") as f:
+        f.write('comment_id,ord, text \n3,y,  padded \n')
+    landing = IO.land_csv(spark, path, scratch_path(spark, "t_land"))
+    rows = landing.orderBy(IO.LANDED).collect()
+    assert [(r.comment_id, r.ord, r[" text "]) for r in rows] == [("1", "z", 'first "one"\nline'), ("2", None, "NA"), ("3", "y", "  padded ")]
+    assert [r[" text "] for r in IO.corpus_rows(landing).orderBy(IO.LANDED).collect()] == ['first "one"\nline', None, "  padded "]
+    batch = IO.annotation_rows(landing)
+    assert batch.columns == ["comment_id", "ord", "text", IO.LANDED]
+    assert [(r.ord, r.text) for r in batch.orderBy(IO.LANDED).collect()] == [("z", 'first "one"\nline'), ("", "NA"), ("y", "padded")]
+
+
+def test_snapshot_versions_hold_labels_cursor_and_total(spark, monkeypatch):
+    monkeypatch.setattr(IO, "LABELS_PER_OBJECT", 2)
+    labels = spark.createDataFrame([(0, i, i % 3, 0, 1) for i in range(7)] + [(1, 3, 2, 2, None)],
+                                   "annotator int, item long, sent int, tox int, sta int")
+    cursors = spark.createDataFrame([(0, 6), (2, 9)], "annotator int, cur long")
+    path = scratch_path(spark, "t_snapshots")
+    assert IO.snapshot_labels(labels.limit(0), path, "2024-01-01") == 0
+    assert IO.restore_labels(spark, path).collect() == []
+    assert IO.snapshot_labels(labels, path, "2024-01-02", cursors, 10) == 1
+    got = sorted(tuple(r) for r in IO.restore_labels(spark, path).collect())
+    assert got == [(0, i, i % 3, 0, 1, 6, 10) for i in range(7)] + [(1, 3, 2, 2, None, 0, 10)]
+    assert sorted(tuple(r) for r in IO.restore_cursors(spark, path).collect()) == [
+        (0, 6, 10, "2024-01-02"), (1, 0, 10, "2024-01-02"), (2, 9, 10, "2024-01-02")]
+    # what a snapshot wrote is read by the reader of progress objects, too
+    objects = IO.restore_progress_object(spark, f"{path}/version=1", multi_line=False).collect()
+    assert sorted((r.key, r.sent, r.cur, r.total) for r in objects if r.cur == 6) == [(str(i), i % 3, 6, 10) for i in range(7)]
