@@ -1,4 +1,4 @@
-"""Corpus statistics and the dataset card.
+"""Corpus statistics; runs and the dataset card (A12) are in ``runs``.
 
 Every statistic is one grouped aggregate; per-video figures are aggregated
 on the comment side first (map-side combine) and only then joined to the
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialize
 
 
 def per_video_log(videos: DataFrame, channels: DataFrame, enriched: DataFrame) -> DataFrame:
@@ -51,42 +50,3 @@ def account_mixed_count(posts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("collected"),
         F.count(F.when(F.col("is_tenglish"), 1)).cast("bigint").alias("tenglish"))
         .withColumn("pct_tenglish", T.pct_one_dp(F.col("tenglish"), F.col("collected"))))
-
-
-def dataset_card(videos: DataFrame, channels: DataFrame, enriched: DataFrame) -> DataFrame:
-    """The dataset card as long-form ``(section, item, metric, value)`` rows.
-
-    The scored comments are aggregated once into a small per-video table
-    (written once); the source log, the corpus statistics and the collection
-    window are all derived from it, so the expensive scoring runs once.
-    """
-    per_video = materialize(enriched.groupBy("video_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_comments"),
-        F.count(F.when(F.col("is_tenglish"), 1)).cast("bigint").alias("tenglish"),
-        F.count(F.when(F.col("has_telugu_script"), 1)).cast("bigint").alias("has_script"),
-        F.min(F.substring("published_at", 1, 10)).alias("first_date"),
-        F.max(F.substring("published_at", 1, 10)).alias("last_date")), "card_per_video")
-    log = (videos.join(channels, "channel_idx").join(per_video, "video_id", "left")
-           .select(F.col("channel_name").alias("channel"), "video_id",
-                   F.coalesce("total_comments", F.lit(0)).cast("bigint").alias("total_comments"),
-                   F.coalesce("tenglish", F.lit(0)).cast("bigint").alias("tenglish")))
-    sources = log.select(F.lit("sources").alias("section"),
-                         F.concat_ws(":", "channel", F.col("video_id").cast("string")).alias("item"),
-                         F.stack(F.lit(2), F.lit("comments"), F.col("total_comments").cast("string"),
-                                 F.lit("tenglish"), F.col("tenglish").cast("string")).alias("metric", "value"))
-    tot = per_video.agg(F.coalesce(F.sum("total_comments"), F.lit(0)).cast("bigint").alias("total"),
-                        F.coalesce(F.sum("tenglish"), F.lit(0)).cast("bigint").alias("tenglish"),
-                        F.coalesce(F.sum("has_script"), F.lit(0)).cast("bigint").alias("has_script"),
-                        F.min("first_date").alias("a"), F.max("last_date").alias("b"))
-    pct = T.pct_one_dp(F.col("tenglish"), F.col("total"))
-    stat_rows = tot.select(F.lit("statistics").alias("section"), F.lit("corpus").alias("item"),
-                           F.stack(F.lit(5),
-                                   F.lit("total"), F.col("total").cast("string"),
-                                   F.lit("tenglish"), F.col("tenglish").cast("string"),
-                                   F.lit("telugu_script"), F.col("has_script").cast("string"),
-                                   F.lit("roman_only"), (F.col("tenglish") - F.col("has_script")).cast("string"),
-                                   F.lit("pct_tenglish"), pct.cast("string")).alias("metric", "value"))
-    window_rows = tot.select(F.lit("collection").alias("section"), F.lit("window").alias("item"),
-                             F.stack(F.lit(2), F.lit("first_date"), F.col("a"),
-                                     F.lit("last_date"), F.col("b")).alias("metric", "value"))
-    return sources.unionByName(stat_rows).unionByName(window_rows)

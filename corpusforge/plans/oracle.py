@@ -184,11 +184,13 @@ def build() -> dict[str, str]:
         f"SELECT CAST(comment_id AS VARCHAR) AS comment_id, "
         f"CASE WHEN text IN ({na}) THEN NULL ELSE text END AS text FROM corpus_fx", "corpus_fx")
     o["flatten_video_listing"] = with_views(
-        "SELECT CAST(video_id AS VARCHAR) AS video_id, video_title, published_at, channel_name "
+        "SELECT channel_id, CAST(video_id AS VARCHAR) AS video_id, video_title, published_at, channel_name "
         "FROM videos_fx JOIN channels_fx USING (channel_idx)", "videos_fx", "channels_fx")
     o["flatten_threads"] = _q(
         "rc AS (SELECT thread_id, count(*) FILTER (WHERE turn > 0) AS total FROM comments_fx GROUP BY thread_id)",
-        f"SELECT c.comment_id, c.parent_id, CAST(c.video_id AS VARCHAR) AS video_id, c.text, c.author, "
+        f"SELECT c.comment_id, c.parent_id, CAST(c.video_id AS VARCHAR) AS video_id, "
+        f"coalesce(c.parent_id, c.comment_id) AS thread_id, CAST(CASE WHEN c.turn = 0 THEN 0 ELSE row_number() OVER (PARTITION BY "
+        f"c.thread_id, c.turn > 0, (c.turn - 1) // {K.PAGE_SIZE} ORDER BY c.turn) END AS INT) AS turn, c.text, c.author, "
         f"c.like_count, c.published_at, CAST(CASE WHEN c.turn = 0 THEN rc.total ELSE 0 END AS BIGINT) AS reply_count "
         "FROM comments_fx c JOIN rc USING (thread_id)", "comments_fx")
     seg = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -422,6 +424,17 @@ def build() -> dict[str, str]:
     SELECT annotator, task, max(n) AS max_n, min(n) AS min_n,
            CASE WHEN min(n) > 0 THEN round(max(n) / min(n), 4) END AS imbalance
     FROM ({dist}) GROUP BY annotator, task""", "label_events_fx")
+    def card_rows(comments: str, method: dict) -> str:
+        """Rows of the card that no ledger row gives: run window, comment dates, method, detection rule."""
+        fixed = [("collection", "window", "first_date", P.RUN_STARTED[:10]), ("collection", "window", "last_date", P.RUN_ENDED[:10]),
+                 *[("collection", "method", k, v) for k, v in method.items()],
+                 ("detection", "any_of", "native_script", "U+0C00-U+0C7F"), ("detection", "any_of", "script_mix_ratio", f">= {K.MIX_RATIO}"),
+                 ("detection", "any_of", "vocabulary", f">= 1 of {len(set(L))} words")]
+        values = ", ".join("('" + "', '".join(map(str, r)) + "')" for r in fixed)
+        return (f"UNION ALL SELECT 'collection', 'comments', 'first_date', min(substring(published_at, 1, 10)) FROM {comments} "
+                f"UNION ALL SELECT 'collection', 'comments', 'last_date', max(substring(published_at, 1, 10)) FROM {comments} "
+                f"UNION ALL SELECT * FROM (VALUES {values})")
+
     o["dataset_card"] = _q(per_video + "," + stats, f"""
     SELECT 'sources' AS section, channel || ':' || CAST(video_id AS VARCHAR) AS item, 'comments' AS metric,
            CAST(total_comments AS VARCHAR) AS value FROM pv UNION ALL
@@ -431,8 +444,7 @@ def build() -> dict[str, str]:
     UNION ALL SELECT 'statistics', 'corpus', 'telugu_script', CAST(has_script AS VARCHAR) FROM st
     UNION ALL SELECT 'statistics', 'corpus', 'roman_only', CAST(tenglish - has_script AS VARCHAR) FROM st
     UNION ALL SELECT 'statistics', 'corpus', 'pct_tenglish', CAST({pct1('tenglish', 'total')} AS VARCHAR) FROM st
-    UNION ALL SELECT 'collection', 'window', 'first_date', min(substring(published_at, 1, 10)) FROM enriched
-    UNION ALL SELECT 'collection', 'window', 'last_date', max(substring(published_at, 1, 10)) FROM enriched""",
+    {card_rows('enriched', P.METHOD)}""",
                            "comments_fx", "videos_fx", "channels_fx")
 
     # ---- dedup / windows / limits
@@ -520,6 +532,8 @@ def build() -> dict[str, str]:
     WHERE c.video_id IN (SELECT video_id FROM pvb WHERE rows_before < {P.TOTAL_TARGET})""",
                                 "videos_fx", "comments_fx", "channels_fx").replace("WITH ", "WITH RECURSIVE ", 1))
 
+    o["collect_comments_from_payloads"] = o["collect_comments"]      # the same run, with its tables read back from payload text
+
     o["collection_log"] = (_q(soft + "," + ENRICHED, f"""
     SELECT ch.channel_name AS channel, v.video_id, substring(v.video_title, 1, 80) AS video_title,
            CAST(count(e.comment_id) AS BIGINT) AS total_comments,
@@ -551,8 +565,8 @@ def build() -> dict[str, str]:
     UNION ALL SELECT 'statistics', 'corpus', 'telugu_script', CAST(has_script AS VARCHAR) FROM cst
     UNION ALL SELECT 'statistics', 'corpus', 'roman_only', CAST(tenglish - has_script AS VARCHAR) FROM cst
     UNION ALL SELECT 'statistics', 'corpus', 'pct_tenglish', CAST({pct1('tenglish', 'total')} AS VARCHAR) FROM cst
-    UNION ALL SELECT 'collection', 'window', 'first_date', min(substring(published_at, 1, 10)) FROM coll
-    UNION ALL SELECT 'collection', 'window', 'last_date', max(substring(published_at, 1, 10)) FROM coll""",
+    {card_rows('coll', {'comment_order': 'relevance', 'replies_collected': 'true', 'videos_per_channel': P.VIDEOS_PER_CHANNEL,
+                        'rows_per_video': P.ROWS_PER_VIDEO, 'target': P.TOTAL_TARGET})}""",
                                  "videos_fx", "comments_fx", "channels_fx").replace("WITH ", "WITH RECURSIVE ", 1))
 
     # ---- set operations

@@ -19,6 +19,8 @@ ANNOTATORS = (0, 1)
 ANNOTATOR_NAME = "annotator_0"
 # Key of the registered query over synthetic names. Releases take theirs from the session (operators.release.release_key).
 FIXTURE_KEY = "not a secret"
+RUN_STARTED, RUN_ENDED = "2024-03-30T22:00:00+00:00", "2024-04-01T01:00:00+00:00"
+METHOD = {"source": "archived payloads", "comment_order": "relevance", "replies_collected": "true"}
 SCRAPED_AT = "2024-04-01T00:00:00+00:00"
 EXPORT_DATE = "2024-04-02"
 RATE_WINDOW = "1 day"

@@ -19,6 +19,7 @@ from ..operators import annotate as A
 from ..operators import clean as C
 from ..operators import collect as L
 from ..operators import release as R
+from ..operators import runs as RUN
 from ..operators import stats as S
 from ..session import scratch_path
 from ..sources import files as IO
@@ -96,6 +97,30 @@ def collected_comments(spark, sf):
                                   P.PAGE_SIZE, P.TOTAL_TARGET, True)
 
 
+def collection_run(spark, sf):
+    """E2 as a recorded run; returns its folder."""
+    path = scratch_path(spark, "run")
+    RUN.collect_run(path, _t(spark, sf, "videos_fx"), _t(spark, sf, "comments_fx"), _t(spark, sf, "channels_fx"), P.VIDEOS_PER_CHANNEL,
+                    P.ROWS_PER_VIDEO, P.PAGE_SIZE, P.TOTAL_TARGET, True, P.RUN_STARTED, P.RUN_ENDED)
+    return path
+
+
+def payload_tables(spark, sf):
+    """(videos, comments) read back from payload text: S2 and S3 with the keys that the collection needs.
+
+    The stand-in payloads carry numeric ids as text; they are cast back so that ties are ordered as in the tables.
+    """
+    channels = _t(spark, sf, "channels_fx")
+    listing = PL.payload_text(PL.build_video_listing(_t(spark, sf, "videos_fx"), channels))
+    videos = (PL.flatten_video_listing(PL.parse_payload(listing, "payload", PL.VIDEO_LISTING)).drop("channel_name")
+              .join(channels.select("channel_id", "channel_idx"), "channel_id").withColumn("video_id", F.col("video_id").cast("bigint")))
+    threads = PL.payload_text(PL.build_thread_pages(_t(spark, sf, "comments_fx")))
+    comments = (PL.flatten_threads(PL.parse_payload(threads, "payload", PL.THREAD_PAGE)).drop("reply_count")
+                .withColumns({"video_id": F.col("video_id").cast("bigint"),
+                              "thread_id": F.split_part("thread_id", F.lit("-"), F.lit(1)).cast("bigint")}))
+    return videos, comments
+
+
 # --- 2.1 sources and sinks ------------------------------------------------------
 
 @q("read_corpus")
@@ -467,7 +492,10 @@ def class_imbalance(spark, sf):
 
 @q("dataset_card")
 def dataset_card(spark, sf):
-    return S.dataset_card(_t(spark, sf, "videos_fx"), _t(spark, sf, "channels_fx"), enriched(spark, sf))
+    path = scratch_path(spark, "card_ledger")
+    RUN.write_ledger(path, _t(spark, sf, "videos_fx"), _t(spark, sf, "channels_fx"), RUN.video_counts(enriched(spark, sf)),
+                     P.RUN_STARTED, P.RUN_ENDED, P.METHOD)
+    return RUN.run_card(spark, path)
 
 
 # --- 2.6 dedup, windows, limits ----------------------------------------------------
@@ -554,20 +582,25 @@ def collect_comments(spark, sf):
     return e.select("comment_id", "parent_id", "video_id", "reply_count", "channel_name", "is_tenglish")
 
 
+@q("collect_comments_from_payloads")
+def collect_comments_from_payloads(spark, sf):
+    """E2 from payload text: S2, S3 -> W1 -> W3 -> W4 -> J1 + P10."""
+    videos, comments = payload_tables(spark, sf)
+    _, e = L.collect_comment_rows(videos, comments, _t(spark, sf, "channels_fx"), P.VIDEOS_PER_CHANNEL, P.ROWS_PER_VIDEO,
+                                  P.PAGE_SIZE, P.TOTAL_TARGET, True)
+    return e.select("comment_id", "parent_id", "video_id", "reply_count", "channel_name", "is_tenglish")
+
+
 @q("collection_log")
 def collection_log(spark, sf):
-    """A3 as the collection run writes it: processed videos only, with their collected rows."""
-    done, e = collected_comments(spark, sf)
-    videos = _t(spark, sf, "videos_fx").join(done.select("video_id"), "video_id", "left_semi")
-    return S.per_video_log(videos, _t(spark, sf, "channels_fx"), e)
+    """A3 as the collection run records it: processed videos only, with their collected rows."""
+    return RUN.run_log(spark, f"{collection_run(spark, sf)}/ledger")
 
 
 @q("collection_card")
 def collection_card(spark, sf):
-    """A12 as the collection run writes it: log of processed videos + stats of the collected rows."""
-    done, e = collected_comments(spark, sf)
-    videos = _t(spark, sf, "videos_fx").join(done.select("video_id"), "video_id", "left_semi")
-    return S.dataset_card(videos, _t(spark, sf, "channels_fx"), e)
+    """A12 of the same run: window and method, log of processed videos, statistics of the collected rows, detection rule."""
+    return RUN.run_card(spark, f"{collection_run(spark, sf)}/ledger")
 
 
 # --- 2.7 set operations -----------------------------------------------------------

@@ -86,10 +86,10 @@ def build_video_listing(videos: DataFrame, channels: DataFrame, page: int = 50)
 
 
 def flatten_video_listing(payload: DataFrame) -> DataFrame:
-    """Listing payload -> (video_id, video_title, published_at, channel_name); no items -> no rows."""
+    """Listing payload -> (channel_id, video_id, video_title, published_at, channel_name); no items -> no rows."""
     it = payload.select("channelId", F.explode(F.coalesce(
         "items", F.array().cast(T_.ArrayType(VIDEO_ITEM)))).alias("it"))
-    return it.select(F.col("it.id.videoId").alias("video_id"), F.col("it.snippet.title").alias("video_title"),
+    return it.select(F.col("channelId").alias("channel_id"), F.col("it.id.videoId").alias("video_id"), F.col("it.snippet.title").alias("video_title"),
                      F.col("it.snippet.publishedAt").alias("published_at"),
                      F.col("it.snippet.channelTitle").alias("channel_name"))
 
@@ -135,24 +135,27 @@ def flatten_threads(pages: DataFrame, collect_replies: bool = True) -> DataFrame
 
     Replies are emitted only when collected and the thread reports replies;
     a missing ``replies`` field yields none.  A continuation item, whose top
-    comment has no snippet, emits its replies only.
+    comment has no snippet, emits its replies only.  ``thread_id`` is the top
+    comment's id on every row of a thread; ``turn`` is 0 on the top comment and
+    the place among its item's replies (from 1) on the others, as the paged
+    collection needs them.
     """
     items = pages.select(F.explode("items").alias("it"))
     top = F.col("it.snippet.topLevelComment")
     total = F.col("it.snippet.totalReplyCount")
     vid = F.col("it.snippet.videoId")
 
-    def row(c, parent, rc):
+    def row(c, parent, rc, turn):
         return F.struct(c["id"].alias("comment_id"), parent.alias("parent_id"), vid.alias("video_id"),
-                        c["snippet"]["textDisplay"].alias("text"),
+                        top["id"].alias("thread_id"), turn.cast("int").alias("turn"), c["snippet"]["textDisplay"].alias("text"),
                         c["snippet"]["authorDisplayName"].alias("author"),
                         c["snippet"]["likeCount"].alias("like_count"),
                         c["snippet"]["publishedAt"].alias("published_at"),
                         rc.cast("bigint").alias("reply_count"))
 
-    top_row = F.filter(F.array(row(top, F.lit(None).cast("string"), total)), lambda _: top["snippet"].isNotNull())
+    top_row = F.filter(F.array(row(top, F.lit(None).cast("string"), total, F.lit(0))), lambda _: top["snippet"].isNotNull())
     replies = F.coalesce(F.col("it.replies.comments"), F.array().cast(T_.ArrayType(COMMENT)))
-    reply_rows = F.transform(replies, lambda r: row(r, top["id"], F.lit(0)))
+    reply_rows = F.transform(replies, lambda r, i: row(r, top["id"], F.lit(0), i + 1))
     if collect_replies:
         rows = F.when(total > 0, F.concat(top_row, reply_rows)).otherwise(top_row)
     else:
