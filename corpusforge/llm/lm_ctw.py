@@ -277,10 +277,20 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", block_bytes: int
         columns = [key, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         if not len(pdf):
             return pd.DataFrame(columns=columns)
-        codes, _ = block_grams(pdf)
+        # each chunk's distinct grams once, with every gram's place among them; the block's list as `_extract` made it
+        data = [t.encode().lower() for t in pdf["text"]]
+        chunks, waiting, size = [], [], 0
+        for k, d in enumerate(data, 1):
+            waiting.append(grams(d))
+            size += len(waiting[-1])
+            if size > AT_ONCE or k == len(data):
+                own, place = np.unique(np.concatenate(waiting), return_inverse=True)
+                chunks.append((own, place.astype(np.int32), np.cumsum([0, *map(len, waiting[:-1])])))
+                waiting, size = [], 0
+        codes = np.unique(np.concatenate([own for own, _, _ in chunks]))
         at, ans = part_of(codes, parts), ans.sort_values("part")
         bits = np.zeros(len(codes))
-        names = sorted({w for t in pdf["text"] for w in t.encode().lower().split()} | {END_WORD})
+        names = sorted({w for d in data for w in d.split()} | {END_WORD})
         word_at, count = word_part(names, parts), {}
         order, cuts = np.argsort(at, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(at, minlength=parts))))
         word_order = np.argsort(word_at, kind="stable")
@@ -291,14 +301,12 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", block_bytes: int
             count.update(zip(own, unpack_numbers(c, "<u8").tolist()))
         gain = {w: (np.log10(n + 1.0), n > 0) for w, n in count.items()}
         end = gain[END_WORD]
+        lengths = np.concatenate([np.add.reduceat(bits[np.searchsorted(codes, own)][place], first) for own, place, first in chunks])
         out = []
-        for k, text in zip(pdf["_key"], pdf["text"]):
-            data = text.encode().lower()
-            words = [gain[w] for w in data.split()] + [end]
-            code = grams(data)
-            length = float(bits[np.searchsorted(codes, code)].sum())
+        for k, d, length in zip(pdf["_key"], data, lengths.tolist()):
+            words = [gain[w] for w in d.split()] + [end]
             out.append((k, len(words), sum(x for _, x in words), learned, sum(x for x, _ in words) - len(words) * log_all,
-                        -length * np.log10(2.0), length / len(code)))
+                        -length * np.log10(2.0), length / (len(d) + 1)))
         return pd.DataFrame(out, columns=columns)
 
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
