@@ -20,6 +20,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,8 @@ from .common import map_batches, text_of
 
 SIZE, END_ID = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
-#: white space to ``str.split`` but not to the tokenizer
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
 CACHE_CHUNKS = 250_000
+CHARS_AT_ONCE = 8 << 20
 
 
 def _vocabulary_path(name: str) -> str:
@@ -38,37 +39,99 @@ def _vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: stands between words that are encoded together; words that hold it are encoded alone
+SEPARATOR, WORDS_AT_ONCE = "\x01", 100
+#: what counts as white space within Latin-1 besides the blank
+OTHER_SPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+
+
 class Encoder:
-    """Token ids of whole texts.  The vocabulary never joins across white space, so chunks between white
-    space are encoded once and remembered; texts with unusual separators go to the tokenizer whole."""
+    """Token ids of whole texts, as the bytes of little-endian 32-bit numbers.  The vocabulary never joins across white space, so
+    chunks between ASCII white space are encoded once and remembered (other white space stays inside a chunk).
+
+    New chunks are encoded many at once, with a separator between whose single id no other chunk gives (checked when the
+    vocabulary is loaded; else one by one), and cut apart there."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for lo in range(0, len(texts), 200):
-            out += self._encode(texts[lo:lo + 200])
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.separator = self._separator()
+        letters = "".join(chr(c) for c in range(33, 256) if chr(c).isalpha())
+        self.lowers = self._ids(letters) == self._ids(letters.lower())
+        self.bare = Tokenizer.from_file(path)         # without normalising, for words that it would not change
+        self.bare.normalizer = normalizers.Sequence([])
+        signs = "".join(chr(c) for c in range(33, 256) if chr(c) not in OTHER_SPACE).lower()
+        self.lowers &= self.bare.encode(signs, add_special_tokens=False).ids == self._ids(signs)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _separator(self) -> int | None:
+        """The separator's id if it has one of its own (not one that stands for unknown characters) and splits what it stands between."""
+        own = self._ids(SEPARATOR)
+        if len(own) != 1 or any(own[0] in self._ids(x) for x in ("\x02", "\uffff", "\U0010ffff", "a")):
+            return None
+        return own[0] if self._ids(f"ab {SEPARATOR} cd") == self._ids("ab") + own + self._ids("cd") else None
+
+    def _is_plain(self, text: str) -> bool:
+        """Whether the vocabulary's normalising would leave the text as it is: lower-case Latin-1 with no white space but blanks."""
+        return self.lowers and latin(text) and text == text.lower() and not any(c in text for c in OTHER_SPACE)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, worked off in groups of about ``CHARS_AT_ONCE`` characters (a longer text alone)."""
+        out: list[bytes] = []
+        ends = np.cumsum([len(t) for t in texts]) // CHARS_AT_ONCE
+        for group in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+            out += self._encode([texts[i] for i in group]) if len(group) else []
         return out
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of chunks; a few thousand at a time, so that the tokenizer's own results stay small."""
+        chunks = self.chunks
+        for lo in range(0, len(new), 64 * WORDS_AT_ONCE):
+            some = new[lo:lo + 64 * WORDS_AT_ONCE]
+            joined = [w for w in some if SEPARATOR not in w] if self.separator is not None else []
+            groups = [joined[k:k + WORDS_AT_ONCE] for k in range(0, len(joined), WORDS_AT_ONCE)]
+            lines: list[tuple] = []
+            for plain in (True, False):
+                own = [(g, t) for g in groups if self._is_plain(t := f" {SEPARATOR} ".join(g)) == plain]
+                use = self.bare if plain else self.tokenizer
+                lines += zip([g for g, _ in own], use.encode_batch_fast([t for _, t in own], add_special_tokens=False))
+            for group, line in lines:
+                ids = np.array(line.ids, dtype="<u4")
+                data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.separator)).tolist()
+                chunks.update(zip(group, [data[i:j] for i, j in zip([0, *[x + 4 for x in ends]], [*ends, len(data)])]))
+            if len(joined) < len(some):
+                chunks.update((w, np.array(self._ids(w), dtype="<u4").tobytes()) for w in some if w not in chunks)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        split = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
-        new = list({w for ws in split if ws for w in ws if w not in self.chunks})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.chunks[w] = np.array(e.ids, dtype="<u4")
-        nothing, get = np.zeros(0, dtype="<u4"), self.chunks.__getitem__
-        out = []
-        for t, ws in zip(texts, split):
-            if ws is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4"))
-            else:
-                out.append(np.concatenate([nothing, *map(get, ws)]))
-        return out
+            self.chunks = {"": b""}
+        # the vocabulary lowers letters; within Latin-1 Python does it alike, so fewer chunks differ
+        lowered = [t.lower() if self.lowers and latin(t) else t for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn([w for w in words if w not in self.chunks])
+        known = list(map(self.chunks.__getitem__, words))
+        # ids of the whole batch: each chunk's ids, chunk after chunk, then cut by text
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first, n = (np.cumsum(size) - size)[at], size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        places = np.repeat(first - ends[:-1], n) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(known), "<u4")[places].tobytes()
+        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _ENCODERS: dict[str, Encoder] = {}   # per worker process; workers are reused between tasks
@@ -143,15 +206,16 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, end
         from pyspark import TaskContext
         task, seen = TaskContext.get().partitionId(), Counter()
         path = name if os.path.sep in name else path_of(name)
-        enc = encoder(path)
+        enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
             rows = []
             for k, ids in zip(pdf[key], enc.encode(pdf["_text"].tolist())):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), size):
-                    part = ids[start:start + size]
-                    rows.append((k, start, len(part), zlib.crc32(part.tobytes()), len(ids), task, seen[len(part)]))
-                    seen[len(part)] += 1
+                ids += end
+                for lo in range(0, len(ids), 4 * size):
+                    part = ids[lo:lo + 4 * size]
+                    n = len(part) // 4
+                    rows.append((k, lo // 4, n, zlib.crc32(part), len(ids) // 4, task, seen[n]))
+                    seen[n] += 1
             yield pd.DataFrame(rows, columns=[key, "start", "length", "ids_crc32", "doc_tokens", "task", "nth"])
 
     return map_batches(
