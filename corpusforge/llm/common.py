@@ -87,6 +87,20 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+class Carried:
+    """Columns that travel through a task under names of their own (``c0``, ``c1``, ...), so that no name of a table can clash with
+    the names an operator uses; :meth:`back` gives them their names again."""
+
+    def __init__(self, df: DataFrame, names: list[str] | tuple[str, ...]):
+        kinds = dict(df.dtypes)
+        self.names, self.own = list(names), [f"c{i}" for i in range(len(names))]
+        self.columns = [F.col(f"`{n}`").alias(c) for n, c in zip(self.names, self.own)]
+        self.schema = ", ".join(f"{c} {kinds[n]}" for n, c in zip(self.names, self.own))
+
+    def back(self, without: tuple[str, ...] | list[str] = ()) -> list[Column]:
+        return [F.col(c).alias(n) for n, c in zip(self.names, self.own) if n not in without]
+
+
 def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """Number of blocks so that one holds about ``block_bytes`` of text (one cheap scan)."""
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0

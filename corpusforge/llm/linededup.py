@@ -36,10 +36,11 @@ def digest(key: Column) -> Column:
 
 
 def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, digest): the keys that take part, once per row that holds them."""
-    keys = F.array_distinct(F.transform(F.split(text_of(), "\n", -1), line_key))
-    return (docs.select("doc_id", F.explode(keys).alias("key")).where(F.char_length("key") >= min_chars)
-            .select("doc_id", digest(F.col("key")).alias("digest")))
+    """(doc_id, content, place, digest): every line whose key takes part, by its place in the row's text; ``content`` is a hash of it."""
+    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("content"), F.split(text_of(), "\n", -1).alias("lines"))   # once per text
+    lines = texts.select("doc_id", "content", F.posexplode("lines").alias("place", "line"))
+    return (lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
+            .select("doc_id", "content", "place", digest(F.col("key")).alias("digest")))
 
 
 @dataclass
@@ -93,31 +94,36 @@ def _merge(runs: list[DataFrame]) -> DataFrame:
 
 def drop_lists(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
                fanout: int = FANOUT) -> DataFrame:
-    """(doc_id, drop): per document the digests of the lines it loses (only documents that lose some)."""
+    """(doc_id, content, drop): the places of the lines that a document's text loses (only texts that lose some)."""
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     lines = materialize(line_digests(docs, min_chars).withColumn("batch", batch), "line_digests")
     runs = LineRuns(fanout)
     for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).drop("batch"))
+        runs.add(lines.where(F.col("batch") == b).select("doc_id", "digest"))
     repeated = runs.totals().where(F.col("n_docs") >= min_docs)
-    # in repeated rows a few digests have many documents: the join splits hot keys (AQE), the sets are per document
+    # in repeated rows a few digests have many documents: the join splits hot keys (AQE), the sets are per text
     hit = lines.join(repeated, "digest").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    return hit.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
+    return hit.groupBy("doc_id", "content").agg(F.collect_set("place").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
-                fanout: int = FANOUT) -> DataFrame:
-    """All columns of ``docs`` with ``text`` rewritten, and n_lines (before), n_dropped.
+                fanout: int = FANOUT, counts: bool = True) -> DataFrame:
+    """All columns of ``docs`` with ``text`` rewritten, and, if ``counts``, n_lines (before) and n_dropped in place of columns so called.
 
-    A line whose key is held by at least ``min_docs`` documents stays only in the one with the largest id.
+    A line whose key is held by at least ``min_docs`` documents stays only in the one with the largest id.  Work is linear in
+    the lines of a document: the places that stay are a set difference, and their lines are looked up by place.
     """
-    drops = drop_lists(docs, min_chars, min_docs, batches, fanout).withColumnsRenamed({"doc_id": "_id", "drop": "_drop"})
-    lines = F.split(text_of(), "\n", -1)
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), digest(line_key(x))))
-    text = F.when(F.col("_drop").isNull(), text_of()).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.size(lines).cast("bigint")
-    n_dropped = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(n_lines - F.size(kept)).cast("bigint")
-    own = [F.col(c) for c in docs.columns if c != "text"]
-    return joined.select(*own, text.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped")).select(
-        *[c for c in docs.columns], "n_lines", "n_dropped")
+    drops = drop_lists(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_key"),
+                       F.xxhash64(text_of()).alias("_content"))
+    on = F.col("_key").eqNullSafe(F.col("doc_id")) & (F.col("_content") == F.col("content"))
+    split = (rows.join(drops, on, "left").select("_row", "drop", F.coalesce("_row.text", F.lit("")).alias("_text"))
+             .withColumn("_lines", F.split("_text", "\n", -1)))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("drop"))
+    placed = split.withColumn("_stays", F.when(F.col("drop").isNotNull(), stays))
+    text = F.when(F.col("drop").isNull(), F.col("_text")).otherwise(
+        F.array_join(F.transform("_stays", lambda i: F.col("_lines")[i]), "\n"))
+    n_dropped = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("drop"))
+    told = {"n_lines": F.size("_lines").cast("bigint"), "n_dropped": n_dropped.cast("bigint")} if counts else {}
+    own = [text.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in told]
+    return placed.select(*own, *[x.alias(c) for c, x in told.items()])

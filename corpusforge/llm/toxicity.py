@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fit_logistic, labelled_sample, map_batches, sigmoid, text_of
+from .common import Carried, fit_logistic, labelled_sample, map_batches, sigmoid, text_of
 
 TOKEN = re.compile(r"[^\W_]+")
 DRIFT = 0.5
@@ -210,25 +210,37 @@ def karlin_altschul(s: np.ndarray, n: np.ndarray, total: float) -> tuple[float,
     return lo, float(min(1.0, max(1e-12, rate * np.exp(lo * s[s > 0].min()))))
 
 
-def score(docs: DataFrame, model: ToxicModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and score, predicted, evidence (sum of -ln E), n_segments, and the token
-    spans (starts, ends) of the significant segments."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", score double, predicted int, evidence double, " \
-        "n_segments int, starts array<int>, ends array<int>"
+RESULTS = ("score", "predicted", "evidence", "n_segments", "starts", "ends")
+
+
+def _scored(docs: DataFrame, model: ToxicModel, carried: Carried) -> DataFrame:
+    """The carried columns and :data:`RESULTS`, each under a name of its own."""
+    shared, own = docs.sparkSession.sparkContext.broadcast(model), carried.own
 
     def run(batches):
         m = shared.value
         of = _evidence(m)
         for pdf in batches:
-            found = [of(x) for x in pdf["_text"]]
+            found = [of(x) for x in pdf["text"]]
             t = np.array([x[0] for x in found], dtype=float)
             p = sigmoid(m.a + m.b * np.minimum(t, 200.0))
-            out = {c: pdf[c] for c in keep}
-            yield pd.DataFrame(out | {
+            yield pd.DataFrame({c: pdf[c] for c in own} | {
                 "score": p, "predicted": (p >= 0.5).astype("int32"), "evidence": t,
                 "n_segments": np.array([x[1] for x in found], dtype="int32"),
                 "starts": [[s for s, _, _ in x[2]] for x in found], "ends": [[e for _, e, _ in x[2]] for x in found]})
 
-    return map_batches(docs.select(*keep, text_of().alias("_text")), run, schema)
+    return map_batches(docs.select(*carried.columns, text_of().alias("text")), run,
+                       f"{carried.schema}, score double, predicted int, evidence double, n_segments int, starts array<int>, ends array<int>")
+
+
+def score(docs: DataFrame, model: ToxicModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` and score, predicted, evidence (sum of -ln E), n_segments, and the token
+    spans (starts, ends) of the significant segments.  A kept column with the name of a result is left out."""
+    carried = Carried(docs, keep)
+    return _scored(docs, model, carried).select(*carried.back(without=RESULTS), *RESULTS)
+
+
+def without_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever these are called."""
+    carried = Carried(docs, docs.columns)
+    return _scored(docs, model, carried).where("predicted = 0").select(*carried.back())
