@@ -31,8 +31,8 @@ from .common import map_batches
 from .decontam import common_subsequence
 from .urlfilter import host_of, path_of
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-                 re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*(?:>|(?=<)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)", re.S)
+QUOTE_OR_END = re.compile(r"[>\"']")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "xmp"}
 DROP = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head"} | RAW
 MAIN = {"article", "main"}
@@ -45,44 +45,83 @@ ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"},
                "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 P_ENDS_AT = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4",
              "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", "figure"}
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|"
-    r"gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|replies|"
-    r"share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: names of what is not main text, as words of a class or id; on their own, last in a compound (``cookie-notice``), or before a holder
+FURNITURE = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist",
+             "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation",
+             "newsletter", "notice", "pagination", "popup", "promo", "related", "replies", "share", "sharing", "sidebar", "social", "sponsor",
+             "sponsored", "subscribe", "toolbar", "widget"}
+HOLDERS = {"area", "bar", "block", "body", "bottom", "box", "container", "content", "inner", "item", "items", "left", "links", "list", "main",
+           "outer", "panel", "posts", "primary", "right", "row", "secondary", "section", "slot", "top", "unit", "widgets", "wrap", "wrapper"}
+#: a compound with one of these tells a page's state (``no-sidebar``), not what the element is
+STATES = {"disabled", "fixed", "has", "hidden", "is", "no", "not", "off", "on", "open", "sticky", "with", "without"}
+#: elements that are never furniture by their class: they hold the main text
+HOLD_ALL = {"html", "body", "main", "article"}
+ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"}
 NEAR = 0.8      # neighbours that share more of the candidate lines than this are copies and tell nothing
 
 
+def _names_furniture(word: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+", word.lower()) if x]
+    if not parts or STATES.intersection(parts):
+        return False
+    return parts[-1] in FURNITURE or (parts[0] in FURNITURE and all(x in HOLDERS or x in FURNITURE or x.isdigit() for x in parts[1:]))
+
+
 def _furniture(attributes: str) -> bool:
     if "=" not in attributes:
         return False
     for m in ATTRIBUTE.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        if FURNITURE.search(value) or value.lower() in ROLES:
+        words = (m[2] or m[3] or m[4] or "").split()
+        if m[1].lower() == "role":
+            if any(w.lower() in ROLES for w in words):
+                return True
+        elif any(_names_furniture(w) for w in words):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, lies in the marked article, may be main text) of each block with text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+def tag_end(page: str, at: int, whole: bool) -> int:
+    """Where a tag ends (the place of its ``>``), quoted values passed over; -1 if it doesn't.
+
+    ``whole`` False: at the next ``>`` or before the next ``<``, whatever is quoted.  A page with a quote that is never closed is read
+    that way from there on, so that no part of it is searched again and again.
+    """
+    if not whole:
+        ends = [x for x in (page.find(">", at), page.find("<", at) - 1) if x >= at - 1 and x != -2]
+        return min(ends, default=len(page))
+    while m := QUOTE_OR_END.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            break
+    return -1
+
+
+def blocks_of(page: str) -> list[tuple[str, int, bool]]:
+    """(text, number of the marked article it lies in, may be main text) of each block with text, in page order.
+
+    0: in none; 1: in ``main`` but in no ``article``; from 2: the outermost ``article`` elements of the page.
+    """
+    out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []         # open elements: name, is article, is furniture
     buffer: list[str] = []
-    at, n, article, furniture = 0, len(page), 0, 0
+    at, n, article, furniture, inside, articles, whole = 0, len(page), 0, 0, 0, 1, True
 
     def flush() -> None:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                out.append((text, article > 0, furniture == 0))
+                out.append((text, (articles if inside else 1) if article else 0, furniture == 0))
 
     def close(to: int) -> None:
-        nonlocal article, furniture
+        nonlocal article, furniture, inside
         flush()
-        for _, a, f in stack[to:]:
+        for name, a, f in stack[to:]:
             article -= a
+            inside -= a and name == "article"
             furniture -= f
         del stack[to:]
 
@@ -97,6 +136,10 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
         name = (m[2] or "").lower()
         if not name:
             continue
+        end = tag_end(page, at, whole)
+        if end < 0:
+            whole, end = False, tag_end(page, at, False)
+        attributes, at = page[at:end], end + 1
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -115,7 +158,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
         if name in INLINE:
             if name == "br":
                 buffer.append(" ")
-            elif name not in VOID and _furniture(m[3]):
+            elif name not in VOID and _furniture(attributes):
                 flush()
                 stack.append((name, False, True))
                 furniture += 1
@@ -130,18 +173,21 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
                 break
             if stack[k][0] in ("ul", "ol", "table", "article", "div"):
                 break
-        if m[3].endswith("/"):
+        if attributes.endswith("/"):
             continue
         is_article = name in MAIN and not furniture
-        is_furniture = name in DROP or _furniture(m[3])
+        is_furniture = name in DROP or name not in HOLD_ALL and _furniture(attributes)
         stack.append((name, is_article and not is_furniture, is_furniture))
         article += stack[-1][1]
+        if is_article and name == "article":
+            articles += not inside
+            inside += 1
         furniture += is_furniture
     flush()
     return out
 
 
-def line_hashes(blocks: list[tuple[str, bool, bool]]) -> list[int]:
+def line_hashes(blocks: list[tuple[str, int, bool]]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t, _, _ in blocks]
 
 
@@ -163,11 +209,18 @@ def shared_lines(own: list[int], candidate: list[bool], other: list[int]) -> set
     return shared
 
 
-def main_text(blocks: list[tuple[str, bool, bool]], shared: set[int]) -> str:
-    """The candidate blocks that differencing leaves; inside a marked article all candidates."""
+def main_text(blocks: list[tuple[str, int, bool]], shared: set[int]) -> str:
+    """The candidate blocks that differencing leaves; inside a marked article all candidates.
+
+    Of several articles beside each other those shorter than half the longest are teasers of other pages and stay out.
+    """
     marked = [i for i, (_, a, ok) in enumerate(blocks) if a and ok]
     if marked:
-        return "\n".join(blocks[i][0] for i in marked)
+        length: dict[int, int] = {}
+        for i in marked:
+            length[blocks[i][1]] = length.get(blocks[i][1], 0) + len(blocks[i][0])
+        least = max((n for a, n in length.items() if a > 1), default=0) / 2
+        return "\n".join(blocks[i][0] for i in marked if blocks[i][1] == 1 or length[blocks[i][1]] >= least)
     left = [t for i, (t, _, ok) in enumerate(blocks) if ok and i not in shared]
     return "\n".join(left)
 
