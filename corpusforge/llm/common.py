@@ -63,6 +63,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers stay alive between tasks, and what they hold counts."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):      # not the GNU C library
+        pass
+
+
 def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInPandas`` with the package at hand in the workers."""
     ship_package(df.sparkSession)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import map_batches, text_of
+from .common import map_batches, release_memory, text_of
 
 SIZE, END_ID = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
@@ -217,6 +217,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, end
                     rows.append((k, lo // 4, n, zlib.crc32(part), len(ids) // 4, task, seen[n]))
                     seen[n] += 1
             yield pd.DataFrame(rows, columns=[key, "start", "length", "ids_crc32", "doc_tokens", "task", "nth"])
+        release_memory()
 
     return map_batches(
         docs.select(key, text_of().alias("_text")), run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, task int, nth long")

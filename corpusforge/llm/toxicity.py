@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Carried, fit_logistic, labelled_sample, map_batches, sigmoid, text_of
+from .common import Carried, fit_logistic, labelled_sample, map_batches, release_memory, sigmoid, text_of
 
 TOKEN = re.compile(r"[^\W_]+")
 DRIFT = 0.5
@@ -228,6 +228,7 @@ def _scored(docs: DataFrame, model: ToxicModel, carried: Carried) -> DataFrame:
                 "score": p, "predicted": (p >= 0.5).astype("int32"), "evidence": t,
                 "n_segments": np.array([x[1] for x in found], dtype="int32"),
                 "starts": [[s for s, _, _ in x[2]] for x in found], "ends": [[e for _, e, _ in x[2]] for x in found]})
+        release_memory()
 
     return map_batches(docs.select(*carried.columns, text_of().alias("text")), run,
                        f"{carried.schema}, score double, predicted int, evidence double, n_segments int, starts array<int>, ends array<int>")
