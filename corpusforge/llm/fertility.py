@@ -1,18 +1,25 @@
 """Quality rules by tokeniser fertility.
 
-Public vocabularies measure each text: characters per token, the share of byte-fallback tokens and the
-entropy of its tokens (bits, over the log of the number of tokens, so that long texts compare with short
-ones).  For each group (language if given, else the text's main script) the quartiles of the measures over
-all documents set a band; a text outside its group's band in any measure is rejected.  The plain base rules
-(word count, repeated three-word windows) come first.
-
-Words are ``[^\\x20\\x09-\\x0D]+`` and are tokenized one by one.  Nulls and empty texts have no words and fail the
-base rules.  Repeated rows are judged alike; a null language is a group of its own.  Texts that fail the
-base rules don't take part in the bands.
+Public vocabularies measure each text: characters per token under a vocabulary with byte fallback and under a
+byte-level one for many languages, the share of byte-fallback tokens, and the entropy of the tokens (bits, over the
+log of their number).  How far a measure of good texts strays depends on the language and on the length, so bands
+belong to a group (language if given, else the text's main script) and a length class (words up to the next power of
+two).  A band reaches from the quartiles by a multiple of their distance, at least by what chance does to a text of
+that length.  Classes of fewer than ``CLASS_TEXTS`` texts take the wider band of their whole group.  A text
+outside a band in any measure is rejected.  The plain base rules (word count, repeated three-word windows) come first.
+
+Words are ``[^\\x20\\x09-\\x0D]+`` and are tokenized one by one; every text is measured whole, however long.  Nulls and
+empty texts have no words and fail the base rules.  Texts of equal measures (copies) count once in the quartiles and
+are judged alike, a tie with a limit is inside.  A null language is a group of its own, an empty table gives no rows.
+Texts that fail the base rules don't take part in the bands.  Columns of the input beyond those asked for are ignored, and
+those asked for travel under names of their own, so that no name clashes inside; a column asked for that is named like
+a result column is refused.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,45 +30,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD_PATTERN, map_batches, text_of
+from .common import WORD_PATTERN, Carried, map_batches, text_of
 
 WORD = re.compile(WORD_PATTERN)
 SYMBOL = re.compile(r"[#*$%&|<>]")
 FALLBACK_VOCABULARY = "piece_bpe_32k.model"
+BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 200_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: a band reaches so many interquartile ranges beyond the quartiles, and at least so far
+#: texts of different measures from which on a length class has bands of its own
+CLASS_TEXTS = 30
+#: a class's band reaches so many interquartile ranges beyond the quartiles, and at least so far; the ratios of
+#: characters to tokens are means over the words, so chance moves them by the inverse root of the number of words
+CLASS_REACH = 2.75
+CLASS_LEAST = {"chars_per_token": 0.02, "chars_per_token_bytes": 0.02, "fallback_share": 0.05, "entropy": 0.06}
+CLASS_CHANCE = {"chars_per_token": 2.0, "chars_per_token_bytes": 2.0, "fallback_share": 0.0, "entropy": 0.0}
+#: the same for a whole group, whose texts differ in length
 REACH = 6.0
-LEAST = {"chars_per_token": 0.4, "fallback_share": 0.05, "entropy": 0.12}
+LEAST = {"chars_per_token": 0.4, "chars_per_token_bytes": 0.4, "fallback_share": 0.05, "entropy": 0.12}
+MEASURES = tuple(LEAST)
 BASE_SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-               "chars_per_token double, fallback_share double, entropy double, script string")
+               "chars_per_token double, chars_per_token_bytes double, fallback_share double, entropy double, script string")
+RESULTS = tuple(x.split()[0] for x in BASE_SCHEMA.split(", "))
 
 
 class PieceCounter:
-    """Token ids of words under a vocabulary with byte fallback, remembered up to a bound."""
+    """Token ids of words under a vocabulary with byte fallback and token numbers under a byte-level one, remembered up to a bound."""
 
-    def __init__(self, path: str):
+    def __init__(self, pieces: str, ranks: str):
         import sentencepiece
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        import tiktoken
+        from public_tokenizers import PATTERN
+        self.model = sentencepiece.SentencePieceProcessor(model_file=pieces)
         n = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) or self.model.is_unknown(i) for i in range(n)])
-        self.words: dict[str, np.ndarray] = {}
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.bytewise = tiktoken.Encoding(os.path.basename(ranks), pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        self.words: dict[str, tuple[np.ndarray, int]] = {}
 
-    def learn(self, words: set[str]) -> None:
+    def of(self, words: list[str]) -> list[tuple[np.ndarray, int]]:
+        """Per word the ids under the first vocabulary and the number of tokens under the second."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         new = [w for w in words if w not in self.words]
         for w, ids in zip(new, self.model.encode(new, num_threads=1)):
-            self.words[w] = np.array(ids, dtype=np.int32)
+            self.words[w] = np.array(ids, dtype=np.int32), len(self.bytewise.encode_ordinary(w))
+        return [self.words[w] for w in words]
 
 
-_COUNTERS: dict[str, PieceCounter] = {}   # per worker process
+_COUNTERS: dict[tuple[str, str], PieceCounter] = {}   # per worker process
 
 
-def counter(path: str) -> PieceCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PieceCounter(path)
-    return _COUNTERS[path]
+def place(vocabulary: str) -> str:
+    """The path of a public vocabulary's file (a path stays as it is)."""
+    if "/" in vocabulary:
+        return vocabulary
+    import public_tokenizers
+    return public_tokenizers.path(vocabulary)
+
+
+def counter(pieces: str = FALLBACK_VOCABULARY, ranks: str = BYTE_VOCABULARY) -> PieceCounter:
+    if (pieces, ranks) not in _COUNTERS:
+        _COUNTERS[pieces, ranks] = PieceCounter(place(pieces), place(ranks))
+    return _COUNTERS[pieces, ranks]
 
 
 def repeat_words(ids: np.ndarray, distinct: int) -> int:
@@ -108,70 +140,76 @@ def measure(text: str, pieces: PieceCounter) -> tuple:
     base = (len(words), sum(map(len, words)), len(SYMBOL.findall(text)), len(lines) - len(set(lines)),
             repeat_words(ids, len(index)))
     if not words:
-        return base + (0.0, 0.0, 0.0, "NONE")
-    pieces.learn(set(index))
-    each = [pieces.words[w] if w in pieces.words else np.array(pieces.model.encode(w), dtype=np.int32) for w in index]
+        return base + (0.0, 0.0, 0.0, 0.0, "NONE")
+    each = pieces.of(list(index))
     times = np.bincount(ids, minlength=len(index))
-    sizes = np.array([len(x) for x in each])
-    tokens = np.concatenate(each) if each else np.zeros(0, np.int32)
-    weight = np.repeat(times, sizes).astype(float)
+    tokens = np.concatenate([x for x, _ in each])
+    weight = np.repeat(times, [len(x) for x, _ in each]).astype(float)
     n = weight.sum()
+    per_byte_token = base[1] / max(1, int(times @ np.array([k for _, k in each])))
     if not n:
-        return base + (0.0, 0.0, 0.0, script_of(text))
+        return base + (0.0, per_byte_token, 0.0, 0.0, script_of(text))
     _, inverse = np.unique(tokens, return_inverse=True)
     p = np.bincount(inverse, weights=weight) / n
     entropy = float(-(p * np.log2(p)).sum() / np.log2(n + 2))
-    return base + (base[1] / n, float(weight[pieces.is_byte[tokens]].sum() / n), entropy, script_of(text))
+    return base + (base[1] / n, per_byte_token, float(weight[pieces.is_byte[tokens]].sum() / n), entropy, script_of(text))
+
 
+def measures(docs: DataFrame, carried: Carried, pieces: str = FALLBACK_VOCABULARY, ranks: str = BYTE_VOCABULARY) -> DataFrame:
+    """The carried columns, the base counts and the fertility measures of the whole text."""
 
-def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: str = FALLBACK_VOCABULARY) -> DataFrame:
-    """Columns ``keep``, the base counts and the fertility measures of the whole text."""
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = [x.split()[0] for x in BASE_SCHEMA.split(", ")]
+    own = carried.own
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path = vocabulary
-        if "/" not in path:
-            import public_tokenizers
-            path = public_tokenizers.path(vocabulary)
-        pieces = counter(path)
+        count = counter(pieces, ranks)
         for pdf in batches:
-            got = pd.DataFrame([measure(t, pieces) for t in pdf["_text"]], columns=names)
-            yield pd.concat([pdf[list(keep)].reset_index(drop=True), got], axis=1)
+            got = pd.DataFrame([measure(t, count) for t in pdf["_text"]], columns=list(RESULTS))
+            yield pd.concat([pdf[own].reset_index(drop=True), got], axis=1)
 
-    return map_batches(
-        docs.select(*keep, text_of().alias("_text")), run, ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", " + BASE_SCHEMA)
+    return map_batches(docs.select(*carried.columns, text_of().alias("_text")), run, f"{carried.schema}, {BASE_SCHEMA}")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def bands(measured: DataFrame, group: str) -> DataFrame:
-    """Per group the limits of each measure: quartiles over all documents that pass the base rules.
+def bands(texts: DataFrame, by: list[str], reach: float, least: dict[str, float], chance: dict[str, float]) -> DataFrame:
+    """Per group of ``by`` the number of texts and, as arrays in the order of MEASURES, the lower and upper limits.
 
     The quantile sketches are mergeable: each task sends one sketch per group."""
-    cols = []
-    for m, least in LEAST.items():
+    low, high = [], []
+    for m in MEASURES:
         q = F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 1000)
-        span = F.greatest(REACH * (q[1] - q[0]), F.lit(least))
-        cols += [(q[0] - span).alias(f"{m}_low"), (q[1] + span).alias(f"{m}_high")]
-    return measured.where(~F.col("base_failed")).groupBy(group).agg(*cols)
+        span = F.greatest(reach * (q[1] - q[0]), F.lit(least[m]) + F.lit(chance[m]) / F.sqrt(F.min("n_words")))
+        low.append(q[0] - span)
+        high.append(q[1] + span)
+    return texts.groupBy(*by).agg(F.count(F.lit(1)).alias("texts"), F.array(*low).alias("low"), F.array(*high).alias("high"))
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group: str | None = "lang",
-          vocabulary: str = FALLBACK_VOCABULARY) -> DataFrame:
+          pieces: str = FALLBACK_VOCABULARY, ranks: str = BYTE_VOCABULARY) -> DataFrame:
     """Columns ``keep``, the counts and measures, base_failed and kept.  ``group`` names the language column;
     None takes each text's main script."""
-    with_group = keep if group is None or group in keep else (*keep, group)
-    measured = materialize(measures(docs, with_group, vocabulary).withColumn("base_failed", base_failed()), "fertility")
-    by = group or "script"
-    limits = bands(measured, by).withColumnRenamed(by, "_group")
+    if clash := {c.lower() for c in keep} & {*RESULTS, "base_failed", "kept"}:
+        raise ValueError(f"columns named like results: {sorted(clash)}")
+    names = list(keep) if group is None or group in keep else [*keep, group]
+    carried = Carried(docs, names)
+    by = F.col("script") if group is None else F.col(carried.own[names.index(group)])
+    measured = materialize(
+        measures(docs, carried, pieces, ranks).withColumn("base_failed", base_failed()).withColumn("of", by)
+        .withColumn("length", F.length(F.bin("n_words"))), "fertility")
+    # copies count once: texts of equal length and measures are one text for the quartiles
+    texts = measured.where(~F.col("base_failed")).dropDuplicates(["of", "length", "n_words", "word_chars", *MEASURES])
+    classes = bands(texts, ["of", "length"], CLASS_REACH, CLASS_LEAST, CLASS_CHANCE).where(F.col("texts") >= CLASS_TEXTS)
+    groups = bands(texts, ["of"], REACH, LEAST, dict.fromkeys(MEASURES, 0.0))
+    # a row per group, and one per group and length class (some 40 at most); the joins pick broadcast or shuffle by size
+    judged = (measured.alias("m")
+              .join(classes.alias("c"), F.col("m.of").eqNullSafe(F.col("c.of")) & (F.col("m.length") == F.col("c.length")), "left")
+              .join(groups.alias("g"), F.col("m.of").eqNullSafe(F.col("g.of")), "left"))
+    low, high = F.coalesce("c.low", "g.low"), F.coalesce("c.high", "g.high")
     inside = F.lit(True)
-    for m in LEAST:
-        inside = inside & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
-    # one row per language or script; the join picks broadcast or shuffle by its size
-    judged = measured.join(limits, F.col(by).eqNullSafe(F.col("_group")), "left")
+    for i, m in enumerate(MEASURES):
+        inside = inside & F.col(f"m.{m}").between(low[i], high[i])
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    names = [x.split()[0] for x in BASE_SCHEMA.split(", ")]
-    return judged.select(*keep, *names, "base_failed", kept.alias("kept"))
+    back = [c for c, n in zip(carried.back(), names) if n in keep]
+    return judged.select(*back, *(f"m.{c}" for c in RESULTS), "base_failed", kept.alias("kept"))

@@ -57,7 +57,7 @@ def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fertility.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      "kept", "chars_per_token", "fallback_share", "entropy")
+                      "kept", "chars_per_token", "chars_per_token_bytes", "fallback_share", "entropy")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

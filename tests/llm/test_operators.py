@@ -460,9 +460,70 @@ def test_fertility_bands(spark, odd, empty):
     got = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i]["kept"] for i in range(200)) and not got[200]["kept"] and got[200]["fallback_share"] > 0.5
     assert fertility.judge(odd).count() == odd.count() == fertility.judge(odd, group=None).count()
+    clash = odd.withColumns({c: F.col("score") for c in ("n_words", "entropy", "of", "c0", "low", "_text", "kept")})
+    assert fertility.judge(clash, keep=("doc_id", "label", "of", "c0")).columns[:4] == ["doc_id", "label", "of", "c0"]
+    assert fertility.judge(clash, keep=("doc_id", "of")).count() == odd.count()
+    with pytest.raises(ValueError):
+        fertility.judge(clash, keep=("doc_id", "kept"))
     assert fertility.judge(empty).count() == 0
 
 
+def test_fertility_verdicts_equal_brute_force(spark):
+    """Measures, bands of length classes and verdicts again, from the definitions, token by token."""
+    import base64
+
+    import public_tokenizers as P
+    import sentencepiece
+    import tiktoken
+    rng = random.Random(21)
+    junk = lambda n: " ".join(f"w{rng.randrange(60)}x###" for _ in range(n))
+    rows = [(i, words(rng, rng.choice([50, 55, 63, 64, 90, 127, 128, 200])), rng.choice(["en", "fr", None])) for i in range(400)]
+    rows += [(400 + i, junk(80) if i % 2 else words(rng, 80), "en") for i in range(20)] + [(500 + i, rows[3][1], "en") for i in range(90)]
+    rows += [(600, words(rng, 20_000, 4000), "en"), (601, "x y " * 100, "en")]
+    got = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    piece = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    multi = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    seen, measured = {}, {}
+    for i, t, lang in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        for w in set(ws) - set(seen):
+            seen[w] = piece.encode(w), multi.encode_ordinary(w)
+        tokens = [x for w in ws for x in seen[w][0]]
+        counts = np.array(list(collections.Counter(tokens).values()))
+        share = counts / counts.sum()
+        chars = sum(map(len, ws))
+        measured[i] = (chars / len(tokens), chars / sum(len(seen[w][1]) for w in ws), sum(piece.is_byte(x) for x in tokens) / len(tokens),
+                       float(-(share * np.log2(share)).sum() / np.log2(len(tokens) + 2)))
+        r = got[i]
+        assert np.allclose([r[m] for m in fertility.MEASURES], measured[i])
+        assert r["base_failed"] == (len(ws) < 50 or 100 * r["n_repeat_words"] > 50 * len(ws))
+
+    def limits(ids, reach, least, chance):
+        distinct = {(got[i]["n_words"], got[i]["word_chars"], *(got[i][m] for m in fertility.MEASURES)) for i in ids}
+        out = []
+        for k, m in enumerate(fertility.MEASURES):
+            x = sorted(d[2 + k] for d in distinct)
+            q1, q3 = x[-(-len(x) // 4) - 1], x[-(-3 * len(x) // 4) - 1]
+            span = max(reach * (q3 - q1), least[m] + chance[m] / min(d[0] for d in distinct) ** 0.5)
+            out.append((q1 - span, q3 + span))
+        return len(distinct), out
+
+    small = 0
+    for i, t, lang in rows:
+        if got[i]["base_failed"]:
+            assert not got[i]["kept"]
+            continue
+        group = [j for j, _, other in rows if other == lang and not got[j]["base_failed"]]
+        n, band = limits([j for j in group if int(got[j]["n_words"]).bit_length() == int(got[i]["n_words"]).bit_length()],
+                         fertility.CLASS_REACH, fertility.CLASS_LEAST, fertility.CLASS_CHANCE)
+        if n < fertility.CLASS_TEXTS:
+            small += 1
+            _, band = limits(group, fertility.REACH, fertility.LEAST, dict.fromkeys(fertility.MEASURES, 0.0))
+        assert got[i]["kept"] == all(lo <= got[i][m] <= hi for m, (lo, hi) in zip(fertility.MEASURES, band)), i
+    assert small and not any(got[401 + i]["kept"] for i in range(0, 20, 2)) and sum(r["kept"] for r in got.values()) > 400
+
+
 # ---- packing -----------------------------------------------------------------------------------------------
 
 def check_packing(out, docs, size):
