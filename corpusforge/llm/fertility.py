@@ -22,7 +22,9 @@ import base64
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,13 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD_PATTERN, Carried, map_batches, text_of
+from .common import SPACE, WORD_PATTERN, Carried, map_batches, text_of
 
 WORD = re.compile(WORD_PATTERN)
 SYMBOL = re.compile(r"[#*$%&|<>]")
 FALLBACK_VOCABULARY = "piece_bpe_32k.model"
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 200_000
+CHUNK_CHARS = 1 << 19
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: texts of different measures from which on a length class has bands of its own
 CLASS_TEXTS = 30
@@ -67,16 +70,16 @@ class PieceCounter:
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.bytewise = tiktoken.Encoding(os.path.basename(ranks), pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.words: dict[str, tuple[np.ndarray, int]] = {}
+        self.ids: dict[str, bytes] = {}     # 32-bit ids, end to end
+        self.sizes: dict[str, int] = {}
 
-    def of(self, words: list[str]) -> list[tuple[np.ndarray, int]]:
-        """Per word the ids under the first vocabulary and the number of tokens under the second."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
-        for w, ids in zip(new, self.model.encode(new, num_threads=1)):
-            self.words[w] = np.array(ids, dtype=np.int32), len(self.bytewise.encode_ordinary(w))
-        return [self.words[w] for w in words]
+    def learn(self, words: Iterable[str]) -> None:
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+            self.sizes.clear()
+        new = [w for w in words if w not in self.ids]
+        self.ids.update(zip(new, (array("i", x).tobytes() for x in self.model.encode(new, num_threads=1))))
+        self.sizes.update(zip(new, map(len, map(self.bytewise.encode_ordinary, new))))
 
 
 _COUNTERS: dict[tuple[str, str], PieceCounter] = {}   # per worker process
@@ -132,29 +135,46 @@ def script_of(text: str) -> str:
     return max(sorted(counts), key=counts.get) if counts else "NONE"
 
 
-def measure(text: str, pieces: PieceCounter) -> tuple:
-    words = WORD.findall(text)
-    index: dict[str, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    lines = [x for x in text.split("\n") if WORD.search(x)]
+def measure(text: str, words: list[str], pieces: PieceCounter) -> tuple:
+    """The row of one text; its words are known to ``pieces``."""
+    index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+    lines = [x for x in text.split("\n") if x.strip(SPACE)]
     base = (len(words), sum(map(len, words)), len(SYMBOL.findall(text)), len(lines) - len(set(lines)),
             repeat_words(ids, len(index)))
     if not words:
         return base + (0.0, 0.0, 0.0, 0.0, "NONE")
-    each = pieces.of(list(index))
+    each = list(map(pieces.ids.__getitem__, index))
     times = np.bincount(ids, minlength=len(index))
-    tokens = np.concatenate([x for x, _ in each])
-    weight = np.repeat(times, [len(x) for x, _ in each]).astype(float)
+    tokens = np.frombuffer(b"".join(each), np.int32)
+    weight = np.repeat(times, np.fromiter(map(len, each), np.int64, len(each)) // 4).astype(float)
     n = weight.sum()
-    per_byte_token = base[1] / max(1, int(times @ np.array([k for _, k in each])))
+    per_byte_token = base[1] / max(1, int(times @ np.fromiter(map(pieces.sizes.__getitem__, index), np.int64, len(index))))
     if not n:
         return base + (0.0, per_byte_token, 0.0, 0.0, script_of(text))
-    _, inverse = np.unique(tokens, return_inverse=True)
-    p = np.bincount(inverse, weights=weight) / n
+    p = np.bincount(tokens, weights=weight)
+    p = p[p > 0] / n
     entropy = float(-(p * np.log2(p)).sum() / np.log2(n + 2))
     return base + (base[1] / n, per_byte_token, float(weight[pieces.is_byte[tokens]].sum() / n), entropy, script_of(text))
 
 
+def measure_all(texts: Iterable[str], pieces: PieceCounter) -> Iterator[tuple]:
+    """The rows of texts; the new words of about ``CHUNK_CHARS`` characters are tokenized in one call."""
+    def rows(chunk: list[str]) -> list[tuple]:
+        words = [WORD.findall(t) for t in chunk]
+        pieces.learn(dict.fromkeys(chain.from_iterable(words)))
+        return [measure(t, w, pieces) for t, w in zip(chunk, words)]
+
+    chunk, size = [], 0
+    for t in texts:
+        chunk.append(t)
+        size += len(t)
+        if size >= CHUNK_CHARS:
+            yield from rows(chunk)
+            chunk, size = [], 0
+    yield from rows(chunk)
+
+
 def measures(docs: DataFrame, carried: Carried, pieces: str = FALLBACK_VOCABULARY, ranks: str = BYTE_VOCABULARY) -> DataFrame:
     """The carried columns, the base counts and the fertility measures of the whole text."""
 
@@ -163,7 +183,7 @@ def measures(docs: DataFrame, carried: Carried, pieces: str = FALLBACK_VOCABULAR
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(pieces, ranks)
         for pdf in batches:
-            got = pd.DataFrame([measure(t, count) for t in pdf["_text"]], columns=list(RESULTS))
+            got = pd.DataFrame(list(measure_all(pdf["_text"], count)), columns=list(RESULTS))
             yield pd.concat([pdf[own].reset_index(drop=True), got], axis=1)
 
     return map_batches(docs.select(*carried.columns, text_of().alias("_text")), run, f"{carried.schema}, {BASE_SCHEMA}")
