@@ -42,9 +42,13 @@ def _run(writer, available_now: bool = True, processing_time: str | None = None)
     return q
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1,
+def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None,
                 spread_key: str | None = None) -> DataFrame:
-    """One driver table as a file stream (schema taken from the table).
+    """One driver table, a file or a folder of files, as a file stream (schema taken from the table).
+
+    Without ``max_files`` all files that lie there when the stream starts
+    arrive together, as one micro-batch: which row comes first, and which
+    one is late, then does not depend on how the table is cut into files.
 
     With ``spread_key``, each micro-batch is hash-repartitioned on that key
     when a batch scan of the same files yields fewer splits than cores (the
@@ -52,8 +56,10 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1
     they are.
     """
     batch = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    stream = (spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{table}.parquet")
-              .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    # the braces make the path a pattern: a stream's plain path has to be a folder
+    reader = spark.readStream.schema(batch.schema)
+    reader = reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(f"{sf_dir}/{{{table}}}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if spread_key and batch.rdd.getNumPartitions() < cores:
         stream = stream.repartition(cores, spread_key)

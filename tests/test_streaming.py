@@ -123,3 +123,24 @@ def test_published_version_is_current_and_old_ones_go(spark):
     assert versions.read_current(spark, path).count() == 5
     assert versions.read_pointer(spark, path) == {"version": 5, "note": "n5"}
     assert versions.numbered(spark, path, "version") == [2, 5]
+
+
+def _folder_tables(spark, sf_dir, name, cuts):
+    """The table ``name`` as a folder of files, later keys first, beside nothing else; returns the data folder."""
+    base = scratch_path(spark, f"t_folder_{name}")
+    key = V.SPREAD_KEYS[name]
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df.repartitionByRange(cuts, F.col(key).desc()).write.parquet(f"{base}/{name}.parquet")
+    return base
+
+
+def test_stream_of_a_table_in_several_files(spark, sf_dir):
+    """A table that is a folder of files is read whole, and its cut into files changes nothing."""
+    base = _folder_tables(spark, sf_dir, "documents", 3)
+    assert len(spark.read.parquet(f"{base}/documents.parquet").inputFiles()) == 3
+    whole = _clean(C.clean_corpus(V.view(spark, sf_dir, "corpus_fx")))
+    assert _clean(Q.REGISTRY["stream_clean"](spark, base)) == whole and whole
+    base = _folder_tables(spark, sf_dir, "events", 3)
+    for name in ("stream_rate", "stream_label_distribution"):
+        want = sorted(tuple(r) for r in Q.REGISTRY[name](spark, sf_dir).collect())
+        assert sorted(tuple(r) for r in Q.REGISTRY[name](spark, base).collect()) == want and want
