@@ -3,8 +3,8 @@
 Benchmark items of at most ``PASSAGE`` words are one passage; longer ones are cut into overlapping passages of
 ``PART_WORDS`` words every ``PART_STEP``, so that a verbatim excerpt of ``COVER * PART_WORDS`` words covers enough of
 one of them wherever it starts.  Document frequencies of their words come from all documents.  A distributed randomised SVD (Gaussian range finder with power iterations; Spark sums the
-partial products) of the TF-IDF matrix of the passages and of a bounded sample of corpus windows gives the
-latent space.  A document whose words, wherever they stand, weigh too little for any passage is
+partial products) of the TF-IDF matrix of the passages and of all documents, each with its whole text, gives the
+latent space; the documents' rows are scaled so that together they weigh no more than ``CORPUS_ROWS`` rows.  A document whose words, wherever they stand, weigh too little for any passage is
 passed over (this loses nothing); every other one is cut into overlapping windows, long enough that any passage lies whole in
 one of them.  Windows whose words weigh too little for a passage are passed over in the same way; each other one is projected,
 and every passage whose cosine reaches ``COSINE`` is a candidate, and besides every passage that the window could hold whole by
@@ -19,7 +19,6 @@ nothing; repeated documents are reported alike.  An empty benchmark or table giv
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -37,7 +36,7 @@ PASSAGE, WINDOW, STRIDE = 64, 112, 48
 PART_WORDS, PART_STEP = 40, 16
 ITEMS_PER_BLOCK = 2000
 RANK, EXTRA, POWER = 224, 16, 1
-SAMPLE_DOCS = 2000          # corpus windows (one of each sampled document) that take part in the SVD
+CORPUS_ROWS = 2000          # what all documents weigh together in the SVD, in rows of a passage's weight
 COSINE = 0.15
 COVER, WEIGHTED = 0.6, 0.6                  # share of the passage's words, and of their IDF, in order
 PART, PART_WEIGHTED, ANSWER = 0.45, 0.5, 0.75   # for paraphrases
@@ -78,9 +77,12 @@ class Vocabulary:
         words, known = self._words(text)
         return np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
 
-    def distinct(self, text: str) -> list[int]:
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the known words in the text, and how often each occurs."""
         words, known = self._words(text)
-        return [known[w] for w in known.keys() & set(words)]
+        found = Counter(words)
+        both = known.keys() & found.keys()
+        return np.fromiter(map(known.get, both), np.int32, len(both)), np.fromiter(map(found.get, both), np.int32, len(both))
 
 
 @dataclass
@@ -121,60 +123,43 @@ def cut_items(rows: list[tuple[int, str]]) -> Passages:
     return out
 
 
-def _tf_idf(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms, n = np.unique(ids, return_counts=True)
+def _tf_idf(terms: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     v = n * idf[terms]
-    return terms, v / (np.linalg.norm(v) or 1.0)
+    return v / (np.linalg.norm(v) or 1.0)
 
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each word of the vocabulary occurs, and how many documents there are."""
+def term_rows(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """A row per document: the words of the vocabulary in its whole text (``terms``) and how often each occurs (``n``)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        known, counts, n = Vocabulary(shared.value), Counter(), 0
+        known = Vocabulary(shared.value)
         for pdf in batches:
-            n += len(pdf)
-            for text in pdf["_text"]:
-                counts.update(known.distinct(text))
-        yield pd.DataFrame({"id": [-1, *counts], "n": [n, *counts.values()]})
-
-    df, n = np.zeros(len(vocabulary)), 0
-    for r in (map_batches(docs.select(text_of().alias("_text")), run, "id int, n long").groupBy("id")
-              .agg(F.sum("n").alias("n")).collect()):      # one row per word of the block's vocabulary
-        if r["id"] < 0:
-            n = r["n"]
-        else:
-            df[r["id"]] = r["n"]
-    return df, n
+            yield pd.DataFrame([known.counts(text) for text in pdf["_text"]], columns=["terms", "n"])
+        release_memory()
 
+    return map_batches(docs.select(text_of().alias("_text")), run, "terms array<int>, n array<int>")
 
-def latent_basis(docs: DataFrame, p: Passages, n_docs: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Randomised SVD of the TF-IDF rows; returns the right singular vectors (words x rank)."""
-    spark, d = docs.sparkSession, len(p.vocabulary)
-    width = min(RANK + EXTRA, d, len(p.ids) + sample_docs)
-    share = min(1.0, sample_docs / max(n_docs, 1))
-    vocab, idf = spark.sparkContext.broadcast(p.vocabulary), spark.sparkContext.broadcast(p.idf)
 
-    def rows_of(batches):
-        known = Vocabulary(vocab.value)
-        for pdf in batches:
-            out = []
-            for text in pdf["_text"]:
-                ids = known.numbers_of(text)
-                at = zlib.crc32(text.encode()) % max(1, len(ids) - WINDOW + 1)     # one window of the text, wherever it is
-                ids = ids[at:at + WINDOW]
-                ids = ids[ids >= 0]
-                if len(ids):
-                    terms, v = _tf_idf(ids, idf.value)
-                    out.append((terms.tolist(), v.tolist()))
-            yield pd.DataFrame(out, columns=["terms", "v"])
-
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * share))
-    corpus = map_batches(picked.select(text_of().alias("_text")), rows_of, "terms array<int>, v array<double>")
-    own = [tuple(x.tolist() for x in _tf_idf(ids, p.idf)) for ids in p.ids]
-    rows = materialize(corpus.unionByName(spark.createDataFrame(own, "terms array<int>, v array<double>"))
-                       .coalesce(4), "lsi_rows")
+def document_frequencies(rows: DataFrame, d: int) -> tuple[np.ndarray, int]:
+    """In how many of the documents behind :func:`term_rows` each of the ``d`` words occurs, and how many documents there are."""
+    df = np.zeros(d)
+    for r in rows.select(F.explode("terms").alias("id")).groupBy("id").count().collect():      # one row per word of the block
+        df[r["id"]] = r["count"]
+    return df, rows.count()
+
+
+def latent_basis(rows: DataFrame, p: Passages, n_docs: int) -> np.ndarray:
+    """Randomised SVD of the TF-IDF rows of the passages and of all documents; returns the right singular vectors (words x rank)."""
+    spark, d = rows.sparkSession, len(p.vocabulary)
+    width = min(RANK + EXTRA, d, len(p.ids) + n_docs)
+    idf = spark.sparkContext.broadcast(p.idf)
+    scale = float(np.sqrt(min(1.0, CORPUS_ROWS / max(n_docs, 1))))
+    own = [(*(x.tolist() for x in np.unique(ids, return_counts=True)), 1.0) for ids in p.ids]
+    rows = rows.where(F.size("terms") > 0).withColumn("scale", F.lit(scale)).unionByName(
+        spark.createDataFrame(own, "terms array<int>, n array<int>, scale double"))
+    # every task yields a matrix of its own, so their number follows the cores and not the input
+    rows = rows.coalesce(2 * spark.sparkContext.defaultParallelism)
 
     def gram_times(q: np.ndarray) -> np.ndarray:
         """A^T A q, summed over the tasks slab by slab."""
@@ -184,11 +169,12 @@ def latent_basis(docs: DataFrame, p: Passages, n_docs: int, sample_docs: int = S
             m = shared.value
             out = np.zeros(m.shape, np.float32)
             for pdf in batches:
-                for terms, v in zip(pdf["terms"], pdf["v"]):
-                    t, x = np.asarray(terms, dtype=int), np.asarray(v, np.float32)
+                for t, n, s in zip(pdf["terms"], pdf["n"], pdf["scale"]):
+                    x = (s * _tf_idf(t, n, idf.value)).astype(np.float32)
                     out[t] += np.outer(x, x @ m[t])
             for lo in range(0, len(out), 1024):
                 yield pd.DataFrame({"slab": [lo], "z": [out[lo:lo + 1024].tobytes()]})
+            release_memory()
 
         def add(pdf):
             z = sum(np.frombuffer(b, np.float32) for b in pdf["z"])
@@ -225,9 +211,10 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> list[Passages]:
         p = cut_items([(r["item_id"], r["text"]) for r in own])
         if not p.keys:
             continue
-        df, n_docs = document_frequencies(docs, p.vocabulary)
+        rows = materialize(term_rows(docs, p.vocabulary), "lsi_rows")
+        df, n_docs = document_frequencies(rows, len(p.vocabulary))
         p.idf = np.log((n_docs + 1.0) / (df + 0.5)).clip(min=0.05)
-        basis = latent_basis(docs, p, n_docs)
+        basis = latent_basis(rows, p, n_docs)
         p.basis = basis * p.idf[:, None].astype(np.float32)
         latent = np.stack([p.basis[ids].sum(axis=0) for ids in p.ids])
         p.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)

@@ -605,6 +605,28 @@ def test_decontamination(spark, odd, empty):
     assert decontam.drop_leaks(odd, bench).count() == odd.count()
 
 
+def test_latent_space_comes_from_all_documents(spark, monkeypatch):
+    """Its singular vectors are those of the passages and every document's whole text, however many documents there are."""
+    rng = random.Random(31)
+    monkeypatch.setattr(decontam, "RANK", 4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    text = lambda n, weights=None: " ".join(rng.choices(vocabulary, weights, k=n))
+    items = [(i, text(12)) for i in range(5)]
+    docs = [(i, text(rng.randrange(300), [1 + 9 * (i % 4 == k % 4) for k in range(40)]) + " other") for i in range(2500)] + [(None, None)]
+    p, = decontam.prepare(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+
+    def counts(t):
+        return np.bincount([p.vocabulary[w] for w in t.split() if w in p.vocabulary], minlength=len(p.vocabulary)).astype(float)
+
+    own, rest = (np.stack([counts(t or "") for _, t in rows]) for rows in (items, docs))
+    idf = np.log((len(docs) + 1) / ((rest > 0).sum(axis=0) + 0.5)).clip(min=0.05)
+    assert np.allclose(p.idf, idf)
+    own, rest = (m * idf / np.maximum(np.linalg.norm(m * idf, axis=1, keepdims=True), 1e-9) for m in (own, rest))
+    vectors = np.linalg.eigh(own.T @ own + rest.T @ rest * decontam.CORPUS_ROWS / len(docs))[1][:, -4:]
+    basis = p.basis / idf[:, None]
+    assert np.abs(basis @ basis.T - vectors @ vectors.T).max() < 1e-3
+
+
 def test_excerpts_of_long_items_are_found_wherever_they_start(spark):
     rng = random.Random(21)
     items = [(i, words(rng, n, 3000)) for i, n in enumerate((128, 200, 300))]
