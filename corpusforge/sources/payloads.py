@@ -247,8 +247,11 @@ def extract_posts(pages: DataFrame) -> DataFrame:
     article is parsed on its own piece.
     """
     pieces = F.split("html", r"(?i)<article(?=[\s>])")
-    arts = pages.select("page_id", "url", F.size(pieces).alias("_n"), F.regexp_extract("html", r'<html[^>]*lang="([^"]*)"', 1).alias("lang"),
-                        F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("_p", "_piece"))
+    # What belongs to the page is computed before its articles are exploded: a select with a generator computes its other
+    # expressions once per article, on the whole page each time.
+    whole = pages.select("page_id", "url", F.size(pieces).alias("_n"), F.regexp_extract("html", r'<html[^>]*lang="([^"]*)"', 1).alias("lang"),
+                         F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))).alias("_pieces"))
+    arts = whole.select("page_id", "url", "_n", "lang", F.posexplode("_pieces").alias("_p", "_piece"))
     # One projection a step: what a later step uses several times (body, markup-free text) is computed once per article.
     body, raw = F.col("_body"), F.col("_raw")
     marked = F.instr(body, TEXT_MARK) > 0
@@ -257,16 +260,17 @@ def extract_posts(pages: DataFrame) -> DataFrame:
     steps = (arts.withColumn("_body", _without_hidden(F.substring_index(_after(F.col("_piece"), ">"), "</article", 1)))
              .withColumns({"_inside": F.when(marked, element_inside(body, TEXT_MARK)), "_link": F.nullif(link, F.lit("")), "_path": path})
              .withColumn("_raw", F.when(F.col("_inside").isNotNull(), post_markup_text(F.col("_inside"))).otherwise(article_markup_text(body)))
-             .withColumns({"_text": T.unicode_trim(decode_references(raw)), "_href": decode_references(F.col("_link"))}))
+             .withColumns({"_text": T.unicode_trim(decode_references(raw)), "_href": decode_references(F.col("_link")),
+                           "_date": _tag_attribute(body, r"time\b", "datetime"),
+                           **{f"_{name}": _tag_attribute(body, f'[^<>]*\\sdata-testid="{mark}"', "aria-label") for name, mark in STATS.items()}}))
     last = F.when(F.col("_n") == 2, F.nullif(F.substring_index("_path", "/", -1), F.lit("")))
     account = F.coalesce(F.nullif(F.split_part(F.col("_path"), F.lit("/"), F.lit(2)), F.lit("")),
                          F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     row = F.struct(
         F.col("page_id"), (F.col("_p") + 1).alias("position"), F.coalesce(T.permalink_id("_href"), last).alias("post_id"),
         account.alias("username"), F.col("_href").alias("href"), F.col("_text").alias("text"), F.col("lang"),
-        decode_references(_tag_attribute(body, r"time\b", "datetime")).alias("date"),
-        *[T.default_stat(decode_references(_tag_attribute(body, f'[^<>]*\\sdata-testid="{mark}"', "aria-label"))).alias(name)
-          for name, mark in STATS.items()],
+        decode_references(F.col("_date")).alias("date"),
+        *[T.default_stat(decode_references(F.col(f"_{name}"))).alias(name) for name in STATS],
         F.regexp_count(body, F.lit("<p[ >]")).cast("bigint").alias("n_paragraphs"))
     # Emit 0 or 1 rows per article from an array instead of a Filter: a filter on the extracted text would be pushed below this
     # projection and run the article expressions a second time.

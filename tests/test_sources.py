@@ -186,3 +186,15 @@ def test_snapshot_versions_hold_labels_cursor_and_total(spark, monkeypatch):
     # what a snapshot wrote is read by the reader of progress objects, too
     objects = IO.restore_progress_object(spark, f"{path}/version=1", multi_line=False).collect()
     assert sorted((r.key, r.sent, r.cur, r.total) for r in objects if r.cur == 6) == [(str(i), i % 3, 6, 10) for i in range(7)]
+
+
+def test_a_page_is_parsed_once_and_not_for_each_of_its_articles(spark):
+    """Above the explosion into articles nothing reads the page's markup, so work stays linear in pages of many posts."""
+    article = '<article><a href="/a/status/{0}"></a><div data-testid="tweetText">text {0}</div></article>'
+    html = '<html lang="te">' + "".join(article.format(i) for i in range(300))
+    posts = PL.extract_posts(spark.createDataFrame([(1, "https://x.example/a", html)], "page_id long, url string, html string"))
+    lines = posts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Generate posexplode" in line)
+    assert not [line for line in lines[:at + 1] if "html#" in line]
+    got = sorted((r["position"], r["post_id"], r["text"], r["lang"]) for r in posts.collect())
+    assert got == [(i + 1, str(i), f"text {i}", "te") for i in range(300)]
